@@ -283,7 +283,11 @@ def density_cluster(
     col: str = "point",
 ) -> DataFrame:
     """``(key, topic)`` for every point; -1 is noise."""
-    core = cluster_core(points, eps, min_samples, min_cluster_size, dims, key, col)
+    return label_points(points, cluster_core(points, eps, min_samples, min_cluster_size, dims, key, col), key, col)
+
+
+def label_points(points: DataFrame, core: DataFrame, key: str = "post_id", col: str = "point") -> DataFrame:
+    """``(key, topic)`` of the points that ``cluster_core`` was run on."""
     x = F.transform(F.col(col), lambda v: v.cast("double") + F.lit(0.0))
     return (
         points.select(key, x.alias("x"))

@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from postgrain.config import Config
 from postgrain.functions.text import FENCE, strip_fence, strip_space, truncate, two_decimals
@@ -167,7 +168,7 @@ def infer_batches(
         for batch in batches:
             yield batch.assign(response=[call(p) for p in batch["prompt"]])
 
-    schema = df.schema.add("response", "string") if "response" not in df.columns else df.schema
+    schema = T.StructType([*df.schema.fields, T.StructField("response", T.StringType())])
     return spread.mapInPandas(run, schema)
 
 

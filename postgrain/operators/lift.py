@@ -51,19 +51,27 @@ def lift_matrix(activity: DataFrame, axes: Sequence[str]) -> DataFrame:
     Lift is the active share inside the axis minus the active share outside it; an empty side counts as 0. Features
     below the dead threshold get lift 0.
     """
-    whole = activity.groupBy("feature").agg(F.sum("n").alias("N"), F.sum("active").alias("A"))
-    names = F.array(*(F.lit(a) for a in axes))
-    grid = whole.select("*", F.posexplode(names).alias("ord", "axis"))
-    grid = grid.join(activity.drop("peak"), ["feature", "axis"], "left")
-    n, a = F.coalesce("n", F.lit(0)), F.coalesce("active", F.lit(0))
+    counts = F.struct("axis", F.struct("n", "active"))
+    whole = activity.groupBy("feature").agg(
+        F.sum("n").alias("n_all"),
+        F.sum("active").alias("active_all"),
+        F.map_from_entries(F.collect_list(F.when(F.col("axis").isin(list(axes)), counts))).alias("by_axis"),
+    )
+    grid = whole.select("*", F.posexplode(F.array(*(F.lit(a) for a in axes))).alias("ord", "axis"))
+    side = F.try_element_at("by_axis", F.col("axis"))
+    n, a = F.coalesce(side["n"], F.lit(0)), F.coalesce(side["active"], F.lit(0))
 
     def share(part: Column, of: Column) -> Column:
         return F.when(of > 0, part / F.when(of > 0, of)).otherwise(0.0)
 
-    density = F.col("A") / F.col("N")
-    lift = share(a, n) - share(F.col("A") - a, F.col("N") - n)
+    density = F.col("active_all") / F.col("n_all")
+    lift = share(a, n) - share(F.col("active_all") - a, F.col("n_all") - n)
     return grid.select(
-        "feature", "axis", "ord", density.alias("density"), F.when(density < DEAD_DENSITY, 0.0).otherwise(lift).alias("lift")
+        "feature",
+        "axis",
+        "ord",
+        density.alias("density"),
+        F.when(density < DEAD_DENSITY, 0.0).otherwise(lift).alias("lift"),
     )
 
 

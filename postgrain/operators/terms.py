@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from postgrain.functions.text import words
 from postgrain.functions.vectors import matrix_list
 from postgrain.operators.topn import topn
+from postgrain.session import stage
 
 
 def english_stop_words() -> list[str]:
@@ -53,13 +54,14 @@ def ngram_counts(
     tokenised = docs.select(group, tokens.alias("_tokens"))
     parts = [grams(F.col("_tokens"), m) for m in range(n[0], n[1] + 1)]
     terms = tokenised.select(group, F.explode(F.concat(*parts) if len(parts) > 1 else parts[0]).alias("term"))
-    counts = terms.groupBy(group, "term").agg(F.count(F.lit(1)).alias("tf"))
+    # The texts are read once; vocabulary and result both come from the stored counts.
+    counts = stage(terms.groupBy(group, "term").agg(F.count(F.lit(1)).alias("tf")))
     groups = docs.agg(F.count_distinct(group)).scalar()
     totals = counts.groupBy("term").agg(F.count(F.lit(1)).alias("_df"), F.sum("tf").alias("_total"))
     vocabulary = totals.filter((F.col("_df") >= min_df) & (F.col("_df") <= F.lit(max_df) * groups))
     if max_features is not None:
         vocabulary = topn(vocabulary, [], [F.col("_total").desc(), F.col("term")], max_features)
-    return counts.join(vocabulary.select("term"), "term", "left_semi").select(group, "term", "tf")
+    return stage(counts.join(vocabulary.select("term"), "term", "left_semi").select(group, "term", "tf"))
 
 
 def class_tfidf(counts: DataFrame, group: str = "topic", top: int | None = 10) -> DataFrame:

@@ -1,0 +1,239 @@
+"""Round trips through every stored form, versions, and the streaming jobs."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from postgrain.operators import rewrites as rw
+from postgrain.operators import topn
+from postgrain.plans import curation as plan
+from postgrain.session import shared_folder
+from postgrain.sources import tables as tb
+from postgrain.streaming import posts as st
+from registry import fixtures as fx
+from registry import query
+from registry.curation import SCORE_SQL
+from registry.topics import TERMS_SQL, _counts
+from postgrain.operators import terms
+
+SIX = 6
+
+
+def _fresh(spark, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query("json_roundtrip", f"with {fx.POSTS} select post_id, text, engagement from posts")
+def json_roundtrip(spark, sf):
+    path = _fresh(spark, "posts")
+    tb.write_json(fx.posts(spark, sf).select("post_id", "text", "engagement"), path)
+    return tb.read_posts(spark, path)
+
+
+@query("gzip_roundtrip", f"with {fx.POSTS} select post_id, text, engagement from posts")
+def gzip_roundtrip(spark, sf):
+    path = _fresh(spark, "posts-gz")
+    posts = fx.posts(spark, sf).select("post_id", "text", "engagement")
+    posts.write.option("compression", "gzip").json(path)
+    return tb.read_posts(spark, path, partitions=8)
+
+
+@query("csv_roundtrip", "select cast(doc_id as varchar) as post_id, quality as label from labels")
+def csv_roundtrip(spark, sf):
+    path = _fresh(spark, "labels")
+    fx.labels(spark, sf).write.csv(path, header=True)
+    return tb.read_labels(spark, path)
+
+
+@query(
+    "vector_roundtrip",
+    """select cast(vec_id as varchar) as post_id, len(embedding)::int as dims,
+  round(list_sum(embedding::double[]), 6) as total from embeddings""",
+)
+def vector_roundtrip(spark, sf):
+    path = _fresh(spark, "vectors")
+    tb.write_vectors(fx.vectors(spark, sf), path)
+    total = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double"))
+    return tb.read_vectors(spark, path).select(
+        "post_id", F.size("embedding").alias("dims"), F.round(total, SIX).alias("total")
+    )
+
+
+@query("topic_roundtrip", "select cast(vec_id as varchar) as post_id, label as topic from embeddings")
+def topic_roundtrip(spark, sf):
+    path = _fresh(spark, "topics")
+    tb.write_json(fx.topics(spark, sf), path)
+    return tb.read_topics(spark, path)
+
+
+@query(
+    "score_roundtrip",
+    f"with {fx.DERIVED_SCORES} select post_id, topic_name, cluster_id, round(score, 4) as probability_score from scored",
+)
+def score_roundtrip(spark, sf):
+    path = _fresh(spark, "scores")
+    tb.write_scores(fx.derived_scores(spark, sf), path)
+    return tb.read_scores(spark, path)
+
+
+@query(
+    "pool_from_stored_scores",
+    f"""with {fx.DERIVED_SCORES}, {fx.POSTS}, ranked as (
+  select *, row_number() over (partition by topic_name order by round(score, 4) desc, post_id) as pool_rn from scored)
+select r.post_id, r.topic_name, cluster_id, coalesce(p.text, '') as text, coalesce(p.engagement, 0) as engagement,
+       round(score, 4) as lr_score
+from ranked r left join posts p on p.post_id = r.post_id where pool_rn <= 25""",
+)
+def pool_from_stored_scores(spark, sf):
+    """Scores are built once, reused from the stored table, and the pool goes through its own file."""
+    stored = _fresh(spark, "reuse")
+    for _ in range(2):
+        scores = tb.reuse_or_build(spark, stored, lambda: fx.derived_scores(spark, sf))
+    pool = plan.candidate_pool(scores, fx.posts(spark, sf), fx.N_TOPICS, 25, rounded=True).drop("pool_rn")
+    path = _fresh(spark, "pool")
+    tb.write_json(pool, path)
+    return tb.read_pool(spark, path)
+
+
+@query(
+    "dataset_by_topic",
+    f"""with {fx.AGENT_POOL} select post_id, topic_name, text, engagement, lr_score, coalesce(agent_score, 0) as agent_score
+from pool qualify row_number() over (
+  partition by topic_name order by coalesce(agent_score, 0) desc, pool_rn, post_id) <= 15""",
+)
+def dataset_by_topic(spark, sf):
+    path = _fresh(spark, "dataset")
+    tb.write_by_topic(plan.final_dataset(fx.agent_pool(spark, sf), 15), path)
+    columns = ["post_id", "topic_name", "text", "engagement", "lr_score", "agent_score"]
+    return tb.read_dataset(spark, path).select(*columns)
+
+
+@query(
+    "dataset_update",
+    """select cast(d.doc_id as varchar) as post_id, source as topic_name,
+  case when l.doc_id is not null then '{"tone":' || quality || '}' when d.doc_id % 2 = 0 then '{"tone":0.5}' end as axes_json
+from documents d left join labels l on l.doc_id = d.doc_id""",
+)
+def dataset_update(spark, sf):
+    """A second version adds axes; the reader sees the newest version only."""
+    base = _fresh(spark, "versions")
+    old = F.when(F.col("doc_id") % 2 == 0, F.lit('{"tone":0.5}'))
+    first = fx.posts(spark, sf).select("post_id", "topic_name", old.alias("axes_json"))
+    tb.replace_dataset(first, base, 9)
+    axes = fx.labels(spark, sf).select(
+        "post_id", F.concat(F.lit('{"tone":'), F.col("label").cast("string"), F.lit("}")).alias("axes_json")
+    )
+    current = tb.read_latest(spark, base).drop("version")
+    tb.replace_dataset(plan.annotate(current, axes), base, 10)
+    return tb.read_latest(spark, base).select("post_id", "topic_name", "axes_json")
+
+
+@query(
+    "latest_version",
+    "select 'diff_vectors_' || max(doc_id) as name, max(doc_id)::int as run_n from documents",
+)
+def latest_version(spark, sf):
+    names = fx.table(spark, sf, "documents").select(
+        F.concat(F.lit("diff_vectors_"), F.col("doc_id").cast("string")).alias("name")
+    )
+    return tb.latest_run(names)
+
+
+@query(
+    "topic_info_csv",
+    f"""with {TERMS_SQL}
+select source as topic, count(*) as n,
+  source || '_' || (select string_agg(term, '_' order by rn) from best b where b.topic = source and rn <= 4) as name,
+  (select string_agg(term, ' ' order by rn) from best b where b.topic = source) as terms
+from documents group by source""",
+)
+def topic_info_csv(spark, sf):
+    docs = fx.table(spark, sf, "documents").select(F.col("source").alias("topic"))
+    path = _fresh(spark, "topic-info")
+    tb.write_topic_info(terms.topic_info(docs, terms.class_tfidf(_counts(spark, sf))), path)
+    return spark.read.csv(path, header=True, schema="topic string, n bigint, name string, terms string")
+
+
+_REWRITES_SQL = """rewrites as (
+  select cast(conv_id as varchar) as post_id, list_extract(['reading_level', 'background', 'abstract_concrete'], turn::int + 1) as axis,
+    case when role = 'user' then 'up' else 'down' end as direction, text as rewrite,
+    first_value(text) over (partition by conv_id order by turn) as original
+  from conversations)"""
+
+
+def _rewrites(spark, sf):
+    """Turns of a conversation as rewrites of its first turn; later turns belong to no configured axis."""
+    turns = fx.table(spark, sf, "conversations")
+    first = topn.dedupe(turns, ["conv_id"], ["turn"], keep="first").select("conv_id", F.col("text").alias("original"))
+    axis = F.try_element_at(F.array(*(F.lit(a) for a in fx.AXES[:3])), (F.col("turn") + 1).cast("int"))
+    return turns.join(first, "conv_id").select(
+        F.col("conv_id").cast("string").alias("post_id"),
+        axis.alias("axis"),
+        F.when(F.col("role") == "user", "up").otherwise("down").alias("direction"),
+        "original",
+        F.col("text").alias("rewrite"),
+    )
+
+
+@query(
+    "rewrite_sets",
+    f"""with {_REWRITES_SQL}
+select post_id, axis, direction, original, rewrite,
+  (list_position(['reading_level', 'background', 'abstract_concrete'], axis) - 1)::int as ord
+from rewrites where axis is not null
+qualify count(*) over (partition by post_id) = 3""",
+)
+def rewrite_sets(spark, sf):
+    """Nest per post, store, read back, and keep the pairs of posts with every axis."""
+    path = _fresh(spark, "rewrites")
+    axes = fx.AXES[:3]
+    tb.write_rewrites(rw.nest_rewrites(_rewrites(spark, sf), axes), path)
+    return rw.explode_pairs(tb.read_rewrites(spark, path, "lines"), axes)
+
+
+@query(
+    "restore_rewrites",
+    f"""with {_REWRITES_SQL}, {fx.AXIS_SCORES}
+select r.post_id, r.axis, case when s.post_id is not null and not coalesce(score < 0.5, false) then 'down' else 'up' end as direction,
+  coalesce(s.text, '') as original, rewrite
+from rewrites r left join axis_scores s on s.post_id = r.post_id and s.axis = r.axis where r.axis is not null""",
+)
+def restore_rewrites(spark, sf):
+    from postgrain.operators.axes import axes_long
+
+    cached = _rewrites(spark, sf).filter("axis is not null").select("post_id", "axis", "rewrite")
+    return rw.restore_context(cached, axes_long(fx.axis_scores(spark, sf), fx.AXES, ("post_id", "text")))
+
+
+@query(
+    "stream_prefilter",
+    f"""with {fx.POSTS}
+select post_id, lang, engagement from posts
+where engagement >= 10 and lang = 'en' and length(text) >= 100 and not starts_with(text, '@')
+  and len(regexp_split_to_array(regexp_replace(regexp_replace(text, '^\\s+', ''), '\\s+$', ''), '\\s+')) >= 18
+  and not regexp_matches(text, '(?i)(https?://|www\\.)\\S+')
+  and len(regexp_extract_all(text, '#\\w+')) <= 3""",
+)
+def stream_prefilter(spark, sf):
+    arrived, out, state = (_fresh(spark, n) for n in ("arrived", "kept", "state"))
+    posts = fx.posts(spark, sf).select("post_id", "text", "lang", "engagement")
+    posts.repartition(4, "post_id").write.parquet(arrived)
+    schema = "post_id string, text string, lang string, engagement bigint"
+    stream = st.stream_prefilter(st.stream_table(spark, arrived, schema, files_per_batch=2))
+    st.append_available(stream.select("post_id", "lang", "engagement"), out, state).awaitTermination()
+    return spark.read.parquet(out)
+
+
+@query("stream_score", f"with {SCORE_SQL} select post_id, round(score, 6) as score from scored")
+def stream_score(spark, sf):
+    """Two arrivals, two runs: the second run scores only what the first has not seen."""
+    arrived, out, state = (_fresh(spark, n) for n in ("arrived", "scored", "state"))
+    vectors = fx.vectors(spark, sf)
+    half = F.pmod(F.xxhash64("post_id"), F.lit(2))
+    for part in (0, 1):
+        vectors.filter(half == part).write.mode("append").parquet(arrived)
+        stream = st.stream_table(spark, arrived, tb.VECTOR_SCHEMA)
+        st.stream_score(stream, fx.FIXED_MODEL, out, state).awaitTermination()
+    return spark.read.parquet(out).select("post_id", F.round("score", SIX).alias("score"))
