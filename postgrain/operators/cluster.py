@@ -14,7 +14,6 @@ first. All answers are exact; every loop stops by itself because single position
 
 from __future__ import annotations
 
-import itertools
 import math
 from collections.abc import Sequence
 from functools import reduce
@@ -92,9 +91,17 @@ def _parent(cell: Column) -> Column:
 
 
 def _touching(cell: Column, k: int) -> Column:
-    """The cell and its 3**k - 1 neighbours."""
-    steps = [F.array(*(F.lit(s).cast("bigint") for s in o)) for o in itertools.product((-1, 0, 1), repeat=k)]
-    return F.transform(F.array(*steps), lambda o: F.zip_with(cell, o, lambda c, d: c + d))
+    """The cell and its 3**k - 1 neighbours: the ternary digits of a counter are the steps along the dimensions."""
+    powers = F.array(*(F.lit(3**i).cast("bigint") for i in range(k)))
+    counter = F.sequence(F.lit(0).cast("bigint"), F.lit(3**k - 1).cast("bigint"))
+    return F.transform(
+        counter, lambda o: F.zip_with(cell, powers, lambda c, p: c + F.floor(o / p).cast("bigint") % 3 - 1)
+    )
+
+
+def _fan_out(boxes: DataFrame) -> DataFrame:
+    """Spread a small table whose rows are about to be multiplied, a task per core."""
+    return boxes.repartition(boxes.sparkSession.sparkContext.defaultParallelism, "cell")
 
 
 def _clique_level(k: int) -> int:
@@ -127,7 +134,7 @@ def core_sites(sites: DataFrame, eps: float, min_samples: int, k: int) -> DataFr
     tested = stage(cells.join(dense, "cell", "left_anti").select("sid", "x", "w"))
 
     boxes = stage(_boxes(sites, eps, 0, k))
-    around = boxes.select("cell", F.explode(_touching(F.col("cell"), k)).alias("other")).join(
+    around = _fan_out(boxes).select("cell", F.explode(_touching(F.col("cell"), k)).alias("other")).join(
         boxes.withColumnRenamed("cell", "other"), "other"
     )
     open_ = (
@@ -180,14 +187,14 @@ def linked_cells(core: DataFrame, eps: float, k: int) -> DataFrame:
         return pairs.filter(_near2(*boxes, k) <= eps2).withColumn("joined", _far2(*boxes, k) <= eps2)
 
     boxes = stage(_boxes(core, eps, 0, k))
-    around = side(boxes, "a").withColumn("cell_b", F.explode(_touching(F.col("cell_a"), k)))
+    around = side(_fan_out(boxes), "a").withColumn("cell_b", F.explode(_touching(F.col("cell_a"), k)))
     pairs = judged(around.join(side(boxes, "b"), "cell_b").filter("cell_a <= cell_b"))
     names = stage(
         core.groupBy(_cell(F.col("x"), eps, clique).alias("cell")).agg(F.min("sid").alias("name"))
     )
     for level in range(1, clique + 1):
         boxes = stage(_boxes(core, eps, level, k).withColumn("parent", _parent(F.col("cell"))))
-        opened = pairs.select("cell_a", "cell_b").withColumnsRenamed({"cell_a": "parent_a", "cell_b": "parent_b"})
+        opened = _fan_out(pairs.withColumn("cell", F.col("cell_a"))).select("cell_a", "cell_b").withColumnsRenamed({"cell_a": "parent_a", "cell_b": "parent_b"})
         opened = opened.join(side(boxes, "a"), "parent_a").join(side(boxes, "b"), "parent_b")
         opened = opened.filter("parent_a != parent_b or cell_a <= cell_b").drop("parent_a", "parent_b")
         pairs = stage(judged(opened))
@@ -315,7 +322,7 @@ def assign_topics(
     k, eps2 = dims, F.lit(eps * eps)
     boxes = stage(_boxes(core, eps, 0, k, ["topic"]))
     n_boxes = boxes.count()
-    targets = boxes.select(F.explode(_touching(F.col("cell"), k)).alias("here"), "topic", "cell", "lo", "hi", "n")
+    targets = _fan_out(boxes).select(F.explode(_touching(F.col("cell"), k)).alias("here"), "topic", "cell", "lo", "hi", "n")
     targets = targets.groupBy("here").agg(F.collect_list(F.struct("topic", "cell", "lo", "hi", "n")).alias("boxes"))
     x = F.transform(F.col(col), lambda v: v.cast("double") + F.lit(0.0))
     placed = points.select(F.col(key).alias("id"), x.alias("x")).withColumn("here", _cell(F.col("x"), eps, 0))

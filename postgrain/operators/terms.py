@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from postgrain.functions.text import words
 from postgrain.functions.vectors import matrix_list
 from postgrain.operators.topn import topn
-from postgrain.session import stage
+from postgrain.session import spread, stage
 
 
 def english_stop_words() -> list[str]:
@@ -23,11 +23,13 @@ def english_stop_words() -> list[str]:
 
 def grams(tokens: Column, n: int) -> Column:
     """Runs of ``n`` neighbouring tokens joined by a blank, in order."""
-    if n == 1:
-        return tokens
-    starts = F.when(F.size(tokens) >= n, F.sequence(F.lit(1), F.size(tokens) - (n - 1)))
-    runs = F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, n), " "))
-    return F.coalesce(runs, F.array().cast("array<string>"))
+    runs = tokens
+    for place in range(2, n + 1):
+        many = F.greatest(F.size(tokens) - (place - 1), F.lit(0))
+        runs = F.zip_with(
+            F.slice(runs, F.lit(1), many), F.slice(tokens, F.lit(place), many), lambda a, b: F.concat(a, F.lit(" "), b)
+        )
+    return runs
 
 
 def ngram_counts(
@@ -48,6 +50,7 @@ def ngram_counts(
     sends no more rows than its vocabulary per map task.
     """
     stop = list(english_stop_words() if stop_words is None else stop_words)
+    docs = spread(docs.select(group, text))
     tokens = words(F.col(text))
     if stop:
         tokens = F.filter(tokens, lambda w: ~w.isin(stop))
@@ -120,7 +123,7 @@ def topic_info(topics: DataFrame, terms: DataFrame) -> DataFrame:
 
 
 def hash_embed(
-    docs: DataFrame, text: str = "text", dim: int = 64, seed: int = 42, buckets: int = 1 << 16, spread: int = 4
+    docs: DataFrame, text: str = "text", dim: int = 64, seed: int = 42, buckets: int = 1 << 16, fan: int = 4
 ) -> DataFrame:
     """Add ``embedding``: TF-IDF over hashed words, projected to ``dim`` by seeded signs, unit length.
 
@@ -128,7 +131,7 @@ def hash_embed(
     counted by Spark; the projection is row-local.
     """
     hashes = F.transform(words(F.col(text)), lambda w: F.pmod(F.xxhash64(w), F.lit(buckets)).cast("int"))
-    hashed = docs.withColumn("_h", hashes)
+    hashed = spread(docs).withColumn("_h", hashes)
     df_rows = (
         hashed.select(F.explode(F.array_distinct("_h")).alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n"))
     ).collect()  # at most `buckets` rows
@@ -137,8 +140,8 @@ def hash_embed(
     for row in df_rows:
         idf[row.h] = np.log((n_docs + 1.0) / (row.n + 1.0))
     rng = np.random.default_rng(seed)
-    places = rng.integers(0, dim, size=(buckets, spread))
-    signs = rng.choice([-1.0, 1.0], size=(buckets, spread)) * idf[:, None]
+    places = rng.integers(0, dim, size=(buckets, fan))
+    signs = rng.choice([-1.0, 1.0], size=(buckets, fan)) * idf[:, None]
 
     @F.arrow_udf("array<double>")
     def project(col: pa.Array) -> pa.Array:

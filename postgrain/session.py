@@ -62,6 +62,17 @@ def stage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give CPU-heavy row work a task per core where a read has fewer splits (a gzip file, one large row group).
+
+    A plain read of many files already has more splits than cores and is returned as it is, without a shuffle.
+    """
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        return df  # shuffled before: its partitions are already chosen, and counting them would run the plan
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def broadcast_bounded(df: DataFrame, rows: int) -> DataFrame:
     """Hint a broadcast for a side proven to have at most ``rows`` rows; larger bounds keep the shuffle join."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
