@@ -237,18 +237,18 @@ def components(edges: DataFrame) -> DataFrame:
         return moved.select(F.col("v").alias("u"), F.col("m").alias("v"))
 
     current = stage(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    print_ = None
+    seen = None
     while True:
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = stars(both, True).distinct()
+        large = stars(both, True)
         large = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         low = large.groupBy("u").agg(F.min("v").alias("v"))
         small = stars(large, False).filter("u != v").unionByName(low).distinct()
         current = stage(small)
         check = current.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-        if check == print_:
+        if check == seen:
             break
-        print_ = check
+        seen = check
     roots = current.select(F.col("u").alias("v"), F.col("v").alias("root"))
     own = current.select(F.col("v"), F.col("v").alias("root")).distinct()
     return roots.unionByName(own)
