@@ -7,9 +7,19 @@ from pyspark.sql import functions as F
 
 from postgrain.session import broadcast_bounded
 
-# What counts as a link and as a hashtag.
+# What counts as a link, a word and a hashtag.
 URL_PATTERN = r"(?i)(https?://|www\.)\S+"
-HASHTAG_PATTERN = r"#\w+"
+WORD = r"\S++"
+HASHTAG = r"#\w++"
+
+
+def at_least_words(text: Column, n: int) -> Column:
+    """Anchored and without backtracking, so it reads no further than the ``n``-th word."""
+    return text.rlike(rf"(?U)\A\s*+(?:{WORD}\s++){{{n - 1}}}\S") if n > 0 else F.lit(True)
+
+
+def more_hashtags_than(text: Column, n: int) -> Column:
+    return text.rlike(rf"(?s)\A(?>.*?{HASHTAG}){{{n + 1}}}")
 
 
 def with_keys(df: DataFrame, *cols: str) -> DataFrame:
@@ -40,9 +50,9 @@ def corpus_prefilter(
     tests += [
         F.length(text) >= min_chars,
         ~text.startswith("@"),
-        F.size(F.split(F.regexp_replace(text, r"(?U)\A\s+|\s+\z", ""), r"(?U)\s+")) >= min_words,
-        ~F.regexp_like(text, F.lit(URL_PATTERN)),
-        F.regexp_count(text, F.lit(HASHTAG_PATTERN)) <= max_hashtags,
+        at_least_words(text, min_words),
+        ~text.rlike(URL_PATTERN),
+        ~more_hashtags_than(text, max_hashtags),
     ]
     for test in tests:
         df = df.filter(test)

@@ -71,8 +71,13 @@ def label_counts(labels: DataFrame) -> DataFrame:
 
 
 def missing_counts(df: DataFrame, other: DataFrame, on: str) -> DataFrame:
-    """How many keys of ``df`` find a row in ``other``."""
-    known = other.select(on).distinct().withColumn("_known", F.lit(True))
+    """How many keys of ``df`` find a row in ``other``.
+
+    ``other`` is reduced to the keys of ``df`` first; when those are few, Spark broadcasts them by their measured size
+    and a large ``other`` is never shuffled.
+    """
+    wanted = df.select(on).distinct()
+    known = other.select(on).join(wanted, on).distinct().withColumn("_known", F.lit(True))
     return df.join(known, on, "left").agg(
         F.count(F.lit(1)).alias("total"),
         F.count("_known").alias("matched"),

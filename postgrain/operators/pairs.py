@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -56,17 +58,16 @@ def axis_distribution(diffs: DataFrame) -> DataFrame:
     )
 
 
-def mean_pool(tokens: DataFrame, key: str = "text_id", width: int | None = None) -> DataFrame:
+def mean_pool(tokens: DataFrame, key: str = "text_id") -> DataFrame:
     """Mean of the unmasked token vectors of each text: ``(key, embedding)``.
 
-    ``tokens`` has ``mask`` (0/1) and ``vec``. Sums are combined per map task before the shuffle, one small row per
-    text and dimension, so one very long text is no hot group. A text without unmasked tokens gives zeros.
+    ``tokens`` has ``mask`` (0/1) and ``vec``. Vectors are summed per map task before the shuffle, one vector per text,
+    so one very long text is no hot group. A text without unmasked tokens gives zeros.
     """
-    used = F.when(F.col("mask") == 1, 1).otherwise(0)
-    counts = tokens.select(key, used.alias("_used"), F.posexplode("vec").alias("dim", "x"))
-    per_dim = counts.groupBy(key, "dim").agg(
-        (F.sum(F.col("x").cast("double") * F.col("_used")) / F.greatest(F.sum("_used"), F.lit(1))).alias("value")
+    used = F.col("mask") == 1
+    vec = F.when(used, F.col("vec")).otherwise(F.transform("vec", lambda x: F.lit(0).cast("float")))
+    sums = tokens.groupBy(key).agg(
+        vector_to_array(Summarizer.sum(array_to_vector(vec))).alias("_sum"), F.count_if(used).alias("_n")
     )
-    values = F.array_sort(F.collect_list(F.struct("dim", "value")))
-    pooled = per_dim.groupBy(key).agg(F.transform(values, lambda v: v["value"]).alias("embedding"))
-    return pooled if width is None else pooled.filter(F.size("embedding") == width)
+    mean = F.transform("_sum", lambda x: x / F.greatest("_n", F.lit(1)))
+    return sums.select(key, mean.alias("embedding"))

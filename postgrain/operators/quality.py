@@ -8,7 +8,8 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import StandardScaler
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -35,10 +36,15 @@ class LinearModel:
 
 
 def scaler_stats(vectors: DataFrame, col: str = "embedding") -> DataFrame:
-    """Mean and population deviation of every dimension: ``(dim, mean, std)``."""
-    long = vectors.select(F.posexplode(col).alias("dim", "x"))
-    x = F.col("x").cast("double")
-    return long.groupBy("dim").agg(F.avg(x).alias("mean"), F.stddev_pop(x).alias("std"))
+    """Mean and population deviation of every dimension: ``(dim, mean, std)``, from one vector aggregate."""
+    metrics = Summarizer.metrics("mean", "variance", "count").summary(array_to_vector(col))
+    one = vectors.filter(F.col(col).isNotNull()).select(metrics.alias("s"))
+    sample_to_population = (F.col("s.count") - 1) / F.col("s.count")
+    moments = F.arrays_zip(
+        vector_to_array("s.mean").alias("mean"),
+        F.transform(vector_to_array("s.variance"), lambda v: F.sqrt(v * sample_to_population)).alias("std"),
+    )
+    return one.select(F.posexplode(moments).alias("dim", "m")).select("dim", "m.mean", "m.std")
 
 
 def class_weights(labels: DataFrame) -> DataFrame:

@@ -19,15 +19,18 @@ def explode_rewrites(nested: DataFrame) -> DataFrame:
 
 
 def nest_rewrites(long: DataFrame, axes: Sequence[str]) -> DataFrame:
-    """One row per post with its map of rewrites; (post, axis) must be unique.
+    """One row per post with its map of rewrites of the configured axes.
 
-    A post's map holds the configured axes only, so no group grows with the data.
+    One conditional aggregate per axis, combined before the shuffle: a post's state never grows, however many copies
+    of a rewrite arrive (of several, the greatest text stays).
     """
-    entry = F.struct("axis", F.struct("direction", "rewrite"))
+    entry = F.struct("direction", "rewrite")
+    per_axis = [F.max(F.when(F.col("axis") == a, entry)).alias(f"_{i}") for i, a in enumerate(axes)]
     known = long.filter(F.col("axis").isin(list(axes)))
-    return known.groupBy("post_id").agg(
-        F.min("original").alias("original"), F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("rewrites")
-    )
+    posts = known.groupBy("post_id").agg(F.min("original").alias("original"), *per_axis)
+    entries = F.array(*(F.struct(F.lit(a).alias("axis"), F.col(f"_{i}").alias("r")) for i, a in enumerate(axes)))
+    present = F.filter(entries, lambda e: e["r"].isNotNull())
+    return posts.select("post_id", "original", F.map_from_entries(present).alias("rewrites"))
 
 
 def explode_pairs(long: DataFrame, axes: Sequence[str]) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from postgrain.config import load_config
 from postgrain.operators.quality import LinearModel
 from postgrain.operators.sae import Sae
+from postgrain.session import spread
 
 CONFIG = load_config()
 AXES = CONFIG.axis_names
@@ -40,9 +41,12 @@ def text_id(col: str):
 
 
 def posts(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents as posts; engagement is the number of events of the user with the document's number."""
+    """Documents as posts; engagement is the number of events of the user with the document's number.
+
+    The test file is a single row group: its texts are spread over the cores (no-op for a table of many splits).
+    """
     events = table(spark, sf, "events").groupBy(F.col("user_id").alias("doc_id")).agg(F.count(F.lit(1)).alias("n"))
-    docs = table(spark, sf, "documents").join(events, "doc_id", "left")
+    docs = spread(table(spark, sf, "documents")).join(events, "doc_id", "left")
     engagement = F.coalesce("n", F.lit(0)).alias("engagement")
     return docs.select(text_id("doc_id"), "doc_id", "text", F.col("source").alias("topic_name"), "lang", engagement)
 

@@ -14,7 +14,7 @@ from postgrain.config import axis_dim
 from postgrain.functions import text as tx
 from postgrain.operators import axes as ax
 from postgrain.operators import infer
-from postgrain.session import shared_folder
+from postgrain.session import shared_folder, spread
 from postgrain.sources.tables import append_checkpoint
 from registry import fixtures as fx
 from registry import query
@@ -228,7 +228,7 @@ from documents""",
 def text_functions(spark, sf):
     text = F.col("text")
     name = F.concat_ws("_", F.lit("diff"), "lang", (F.col("doc_id") % 1000).cast("string"))
-    return fx.table(spark, sf, "documents").select(
+    return spread(fx.table(spark, sf, "documents")).select(
         "doc_id",
         tx.truncate(text, 600).alias("head"),
         F.length(tx.truncate(text, 600)).cast("bigint").alias("n_head"),
