@@ -129,9 +129,14 @@ def write_rewrites(nested: DataFrame, path: str) -> None:
     nested.write.json(path)
 
 
-def exists(spark: SparkSession, path: str) -> bool:
+def _file_system(spark: SparkSession, path: str):
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop_path)
+    return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()), hadoop_path
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    system, hadoop_path = _file_system(spark, path)
+    return system.exists(hadoop_path)
 
 
 def read_checkpoint(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -158,10 +163,18 @@ def replace_dataset(df: DataFrame, base: str, version: int) -> str:
 
 
 def read_latest(spark: SparkSession, base: str, column: str = "version") -> DataFrame:
-    """Rows of the numerically largest version; only that partition's files are read."""
-    table = spark.read.parquet(base)
-    newest = table.agg(F.max(column)).scalar()
-    return table.filter(F.col(column) == newest)
+    """Rows of the numerically largest completed version; the files of the others are not touched.
+
+    Versions may have different columns. The folder names decide, so no data is read to find the newest.
+    """
+    system, hadoop_path = _file_system(spark, base)
+    names = [f.getPath().getName() for f in system.listStatus(hadoop_path) if f.isDirectory()]
+    whole = exists(spark, f"{base}/_SUCCESS")  # written in one go, partitioned by the version
+    numbers = [int(n.split("=")[1]) for n in names if n.startswith(f"{column}=") and n.split("=")[1].isdigit()]
+    done = [n for n in numbers if whole or exists(spark, f"{base}/{column}={n}/_SUCCESS")]
+    if not done:
+        raise FileNotFoundError(f"no completed {column} below {base}")
+    return spark.read.option("basePath", base).parquet(f"{base}/{column}={max(done)}")
 
 
 def latest_run(names: DataFrame, col: str = "name") -> DataFrame:

@@ -278,6 +278,10 @@ def test_versions_are_numeric(spark, tmp_path):
     for run in (4900, 15000):
         spark.range(1).select(F.lit(str(run)).alias("v")).write.parquet(f"{base}/run_n={run}")
     assert [r.v for r in tb.read_latest(spark, base, "run_n").collect()] == ["15000"]
+    spark.range(1).select(F.lit("x").alias("other")).write.parquet(f"{base}/run_n=16000")
+    assert tb.read_latest(spark, base, "run_n").columns == ["other", "run_n"]
+    (tmp_path / "runs" / "run_n=16000" / "_SUCCESS").unlink()  # an unfinished version is not current
+    assert [r.v for r in tb.read_latest(spark, base, "run_n").collect()] == ["15000"]
     names = spark.createDataFrame([("diff_vectors_4900",), ("diff_vectors_15000",), ("diff_vectors_x",)], "name string")
     assert tuple(tb.latest_run(names).first()) == ("diff_vectors_15000", 15000)
 
