@@ -14,6 +14,7 @@ first. All answers are exact; every loop stops by itself because single position
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Sequence
 from functools import reduce
@@ -25,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from postgrain.functions.vectors import affine, l2_norm, scale
-from postgrain.session import broadcast_bounded, stage
+from postgrain.session import BROADCAST_ROWS, stage
 
 LEAF = 16  # positions per cell up to which they are compared one by one
 SLACK = 1e-9  # keeps points at distance eps in touching cells in spite of rounding
@@ -90,13 +91,16 @@ def _parent(cell: Column) -> Column:
     return F.transform(cell, lambda c: F.shiftright(c, 1))
 
 
-def _touching(cell: Column, k: int) -> Column:
-    """The cell and its 3**k - 1 neighbours: the ternary digits of a counter are the steps along the dimensions."""
-    powers = F.array(*(F.lit(3**i).cast("bigint") for i in range(k)))
-    counter = F.sequence(F.lit(0).cast("bigint"), F.lit(3**k - 1).cast("bigint"))
-    return F.transform(
-        counter, lambda o: F.zip_with(cell, powers, lambda c, p: c + F.floor(o / p).cast("bigint") % 3 - 1)
-    )
+def _touching(df: DataFrame, cell: str, out: str, k: int) -> DataFrame:
+    """One row for the cell and each of its 3**k - 1 neighbours, named ``out``."""
+    steps = ", ".join(f"array({', '.join(f'{s}L' for s in o)})" for o in itertools.product((-1, 0, 1), repeat=k))
+    stepped = df.withColumn("_step", F.explode(F.expr(f"array({steps})")))
+    return stepped.withColumn(out, F.array(*(F.col(cell)[i] + F.col("_step")[i] for i in range(k)))).drop("_step")
+
+
+def _to_boxes(rows: DataFrame, boxes: DataFrame, n_boxes: int, on: str) -> DataFrame:
+    """Join exploded rows to boxes. Spark underrates exploded rows, so the side to broadcast, if any, is named here."""
+    return rows.join(F.broadcast(boxes) if n_boxes <= BROADCAST_ROWS else boxes.hint("merge"), on)
 
 
 def _fan_out(boxes: DataFrame) -> DataFrame:
@@ -134,12 +138,14 @@ def core_sites(sites: DataFrame, eps: float, min_samples: int, k: int) -> DataFr
     tested = stage(cells.join(dense, "cell", "left_anti").select("sid", "x", "w"))
 
     boxes = stage(_boxes(sites, eps, 0, k))
-    around = _fan_out(boxes).select("cell", F.explode(_touching(F.col("cell"), k)).alias("other")).join(
-        boxes.withColumnRenamed("cell", "other"), "other"
-    )
+    here = _boxes(tested, eps, 0, k).select("cell", F.col("lo").alias("lo_h"), F.col("hi").alias("hi_h"))
+    around = _touching(_fan_out(here), "cell", "other", k)
+    around = _to_boxes(around, boxes.withColumnsRenamed({"cell": "other", "w": "bw"}), boxes.count(), "other")
+    around = around.filter(_near2(*(F.col(c) for c in ("lo_h", "hi_h", "lo", "hi")), k) <= eps2)
+    around = stage(around.drop("lo_h", "hi_h"))
     open_ = (
         tested.select("sid", "x", _cell(F.col("x"), eps, 0).alias("cell"))
-        .join(around.withColumnRenamed("w", "bw"), "cell")
+        .join(around, "cell")
         .select("sid", "x", F.col("other").alias("cell"), "lo", "hi", "n", "bw")
     )
     counts = tested.select("sid", F.lit(0).cast("bigint").alias("c"))
@@ -187,8 +193,8 @@ def linked_cells(core: DataFrame, eps: float, k: int) -> DataFrame:
         return pairs.filter(_near2(*boxes, k) <= eps2).withColumn("joined", _far2(*boxes, k) <= eps2)
 
     boxes = stage(_boxes(core, eps, 0, k))
-    around = side(_fan_out(boxes), "a").withColumn("cell_b", F.explode(_touching(F.col("cell_a"), k)))
-    pairs = judged(around.join(side(boxes, "b"), "cell_b").filter("cell_a <= cell_b"))
+    around = _touching(side(_fan_out(boxes), "a"), "cell_a", "cell_b", k)
+    pairs = judged(_to_boxes(around, side(boxes, "b"), boxes.count(), "cell_b").filter("cell_a <= cell_b"))
     names = stage(
         core.groupBy(_cell(F.col("x"), eps, clique).alias("cell")).agg(F.min("sid").alias("name"))
     )
@@ -322,11 +328,11 @@ def assign_topics(
     k, eps2 = dims, F.lit(eps * eps)
     boxes = stage(_boxes(core, eps, 0, k, ["topic"]))
     n_boxes = boxes.count()
-    targets = _fan_out(boxes).select(F.explode(_touching(F.col("cell"), k)).alias("here"), "topic", "cell", "lo", "hi", "n")
-    targets = targets.groupBy("here").agg(F.collect_list(F.struct("topic", "cell", "lo", "hi", "n")).alias("boxes"))
+    targets = _touching(_fan_out(boxes), "cell", "here", k).groupBy("here").agg(F.collect_list(F.struct("topic", "cell", "lo", "hi", "n")).alias("boxes"))
     x = F.transform(F.col(col), lambda v: v.cast("double") + F.lit(0.0))
     placed = points.select(F.col(key).alias("id"), x.alias("x")).withColumn("here", _cell(F.col("x"), eps, 0))
-    open_ = placed.join(broadcast_bounded(targets, n_boxes * 3**k), "here", "left").drop("here")
+    small = n_boxes * 3**k <= BROADCAST_ROWS  # boxes in all rows of ``targets`` together
+    open_ = placed.join(F.broadcast(targets) if small else targets.hint("merge"), "here", "left").drop("here")
 
     level = 0
     answers: DataFrame | None = None

@@ -9,6 +9,7 @@ import json
 import time
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -172,6 +173,22 @@ def infer_batches(
     return spread.mapInPandas(run, schema)
 
 
+def embed_batches(
+    df: DataFrame, fn: Callable[[list[str]], np.ndarray], size: int = 512, text: str = "text"
+) -> DataFrame:
+    """Add ``embedding``, the rows of the plug-in encoder's matrix for lists of up to ``size`` texts."""
+    schema = T.StructType([*df.schema.fields, T.StructField("embedding", T.ArrayType(T.FloatType()))])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for start in range(0, len(batch), size):
+                part = batch.iloc[start : start + size]
+                matrix = np.asarray(fn(part[text].fillna("").tolist()), dtype=np.float32)
+                yield part.assign(embedding=list(matrix))
+
+    return df.mapInPandas(run, schema)
+
+
 def _per_slot(df: DataFrame, values: Column, value: str) -> DataFrame:
     slots = df.select("*", F.posexplode_outer(values).alias("_i", value)).withColumn("slot", F.col("_i") + 1)
     if "ids" in df.columns:

@@ -132,13 +132,12 @@ def hash_embed(
     """
     hashes = F.transform(words(F.col(text)), lambda w: F.pmod(F.xxhash64(w), F.lit(buckets)).cast("int"))
     hashed = spread(docs).withColumn("_h", hashes)
-    df_rows = (
-        hashed.select(F.explode(F.array_distinct("_h")).alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n"))
-    ).collect()  # at most `buckets` rows
-    n_docs = docs.count()
-    idf = np.full(buckets, np.log(n_docs + 1.0))
-    for row in df_rows:
-        idf[row.h] = np.log((n_docs + 1.0) / (row.n + 1.0))
+    every = F.array_append(F.array_distinct("_h"), F.lit(buckets))  # one more entry counts the texts themselves
+    found = hashed.select(F.explode(every).alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+    counts = np.zeros(buckets + 1)
+    for row in found.collect():  # a fixed-size table: one row per bucket
+        counts[row.h] = row.n
+    idf = np.log((counts[buckets] + 1.0) / (counts[:buckets] + 1.0))
     rng = np.random.default_rng(seed)
     places = rng.integers(0, dim, size=(buckets, fan))
     signs = rng.choice([-1.0, 1.0], size=(buckets, fan)) * idf[:, None]

@@ -238,3 +238,17 @@ def text_functions(spark, sf):
         tx.escape_html(text).alias("escaped"),
         F.size(tx.words(text)).cast("bigint").alias("n_words"),
     )
+
+
+def length_vectors(texts: list[str]) -> list[list[float]]:
+    return [[len(t), len(t) % 7, 1.0] for t in texts]
+
+
+@query(
+    "embed_plugin",
+    """select doc_id, length(text)::double as a, (length(text) % 7)::double as b, 1.0::double as c from documents""",
+)
+def embed_plugin(spark, sf):
+    docs = spread(fx.table(spark, sf, "documents")).select("doc_id", "text")
+    vectors = infer.embed_batches(docs, length_vectors)
+    return vectors.select("doc_id", *(F.get("embedding", F.lit(i)).cast("double").alias(c) for i, c in enumerate("abc")))

@@ -7,16 +7,19 @@ import uuid
 from pyspark.sql import functions as F
 
 from postgrain.operators import rewrites as rw
-from postgrain.operators import topn
+from postgrain.operators import terms, topn
+from postgrain.operators.axes import axes_long
 from postgrain.plans import curation as plan
+from postgrain.plans import features
 from postgrain.session import shared_folder
 from postgrain.sources import tables as tb
 from postgrain.streaming import posts as st
 from registry import fixtures as fx
 from registry import query
 from registry.curation import SCORE_SQL
+from registry.features import LIFT_SQL, _encoded
+from registry.features import _rewrites as pair_texts
 from registry.topics import TERMS_SQL, _counts
-from postgrain.operators import terms
 
 SIX = 6
 
@@ -156,6 +159,13 @@ def topic_info_csv(spark, sf):
     return spark.read.csv(path, header=True, schema="topic string, n bigint, name string, terms string")
 
 
+@query("report_roundtrip", f"with {LIFT_SQL} select feature as f, density, category, best_axis, best_lift from cats")
+def report_roundtrip(spark, sf):
+    path = _fresh(spark, "report")
+    tb.write_report(features.report(_encoded(spark, sf), pair_texts(spark, sf), fx.AXES), path)
+    return spark.read.json(path, schema="f int, density double, category string, best_axis string, best_lift double")
+
+
 _REWRITES_SQL = """rewrites as (
   select cast(conv_id as varchar) as post_id, list_extract(['reading_level', 'background', 'abstract_concrete'], turn::int + 1) as axis,
     case when role = 'user' then 'up' else 'down' end as direction, text as rewrite,
@@ -201,8 +211,6 @@ select r.post_id, r.axis, case when s.post_id is not null and not coalesce(score
 from rewrites r left join axis_scores s on s.post_id = r.post_id and s.axis = r.axis where r.axis is not null""",
 )
 def restore_rewrites(spark, sf):
-    from postgrain.operators.axes import axes_long
-
     cached = _rewrites(spark, sf).filter("axis is not null").select("post_id", "axis", "rewrite")
     return rw.restore_context(cached, axes_long(fx.axis_scores(spark, sf), fx.AXES, ("post_id", "text")))
 
