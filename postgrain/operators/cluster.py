@@ -17,7 +17,6 @@ from __future__ import annotations
 import itertools
 import math
 from collections.abc import Sequence
-from functools import reduce
 
 import numpy as np
 from pyspark.ml.feature import PCA
@@ -48,20 +47,19 @@ def reduce_dim(df: DataFrame, axes: np.ndarray, col: str = "embedding", out: str
 # -- boxes ---------------------------------------------------------------------------------------------------------
 
 
-def _sum(parts: Sequence[Column]) -> Column:
-    return reduce(lambda a, b: a + b, parts)
+def _norm2(parts: list[Column]) -> Column:
+    """Sum of squares. Every part is evaluated once, which keeps the generated code small enough to be compiled."""
+    return F.aggregate(F.array(*parts), F.lit(0.0), lambda total, v: total + v * v)
 
 
 def _near2(lo: Column, hi: Column, lo2: Column, hi2: Column, k: int) -> Column:
     """Squared distance of the nearest points of two boxes."""
-    gaps = [F.greatest(lo[i] - hi2[i], lo2[i] - hi[i], F.lit(0.0)) for i in range(k)]
-    return _sum([g * g for g in gaps])
+    return _norm2([F.greatest(lo[i] - hi2[i], lo2[i] - hi[i], F.lit(0.0)) for i in range(k)])
 
 
 def _far2(lo: Column, hi: Column, lo2: Column, hi2: Column, k: int) -> Column:
     """Squared distance of the farthest corners of two boxes."""
-    spans = [F.greatest(hi[i] - lo2[i], hi2[i] - lo[i]) for i in range(k)]
-    return _sum([s * s for s in spans])
+    return _norm2([F.greatest(hi[i] - lo2[i], hi2[i] - lo[i]) for i in range(k)])
 
 
 def _dist2(a: Column, b: Column, k: int) -> Column:
@@ -322,27 +320,43 @@ def assign_topics(
 ) -> DataFrame:
     """``(key, topic)`` of new points: the topic of the nearest clustered core position within ``eps``, else -1.
 
-    ``core`` comes from ``cluster_core`` on the sample and is small next to ``points``. A point meets the boxes around
-    its cell in one row; most points are settled there without a further shuffle. The smaller topic wins ties.
+    ``core`` comes from ``cluster_core`` on the sample and is small next to ``points``. Two look-ups settle most points
+    where they are read: no core position around (noise), or one topic around and a core position in the point's own
+    small cell. Only points on the border of a cluster are compared with boxes. The smaller topic wins ties.
     """
     k, eps2 = dims, F.lit(eps * eps)
+    clique = _clique_level(k)
     boxes = stage(_boxes(core, eps, 0, k, ["topic"]))
-    n_boxes = boxes.count()
-    targets = _touching(_fan_out(boxes), "cell", "here", k).groupBy("here").agg(F.collect_list(F.struct("topic", "cell", "lo", "hi", "n")).alias("boxes"))
-    x = F.transform(F.col(col), lambda v: v.cast("double") + F.lit(0.0))
-    placed = points.select(F.col(key).alias("id"), x.alias("x")).withColumn("here", _cell(F.col("x"), eps, 0))
-    small = n_boxes * 3**k <= BROADCAST_ROWS  # boxes in all rows of ``targets`` together
-    open_ = placed.join(F.broadcast(targets) if small else targets.hint("merge"), "here", "left").drop("here")
+    width = eps * (1 + SLACK)
+    lo_h = [F.col("here")[i] * F.lit(width) for i in range(k)]
+    hi_h = [(F.col("here")[i] + 1) * F.lit(width) for i in range(k)]
+    reachable = _near2(lo_h, hi_h, F.col("lo"), F.col("hi"), k) <= eps2 * (1 + 1e-6)  # a margin for rounding
+    targets = _touching(_fan_out(boxes), "cell", "here", k).filter(reachable).drop("w")
+    around = stage(targets.groupBy("here").agg(F.min("topic").alias("first"), F.max("topic").alias("last")))
+    own = stage(core.select(_cell(F.col("x"), eps, clique).alias("own"), F.col("topic").alias("own_topic")).distinct())
 
+    x = F.transform(F.col(col), lambda v: v.cast("double") + F.lit(0.0))
+    placed = points.select(F.col(key).alias("id"), x.alias("x"))
+    placed = placed.withColumns({"here": _cell(F.col("x"), eps, 0), "own": _cell(F.col("x"), eps, clique)})
+    placed = _look_up(_look_up(placed, around, "here"), own, "own")
+    alone = (F.col("first") == F.col("last")) & F.col("own_topic").isNotNull()
+    quick = F.when(F.col("first").isNull(), -1).when(alone, F.col("first"))
+    placed = stage(placed.select("id", "x", "here", quick.alias("topic")))
+    border = placed.filter("topic is null").select("id", "x", "here")
+
+    targets = targets.join(border.select("here").distinct(), "here", "left_semi")
+    rows = border.join(targets.hint("merge"), "here").drop("here")
+    rows = rows.filter(_near2(F.col("x"), F.col("x"), F.col("lo"), F.col("hi"), k) <= eps2)
     level = 0
     answers: DataFrame | None = None
     while True:
+        open_ = rows.groupBy("id", "x").agg(F.collect_list(F.struct("topic", "cell", "lo", "hi", "n")).alias("boxes"))
         open_ = stage(_settle(open_, eps2, k))
         done = open_.filter("topic is not null").select("id", "topic")
         answers = done if answers is None else answers.unionByName(done)
         left = open_.filter("topic is null").select("id", "x", F.inline("boxes"))
         if left.isEmpty():
-            return answers.withColumnRenamed("id", key)
+            break
         # Single positions stay; small cells become their positions; the others their child cells.
         members = core.select(_cell(F.col("x"), eps, level).alias("cell"), "topic", F.col("x").alias("y"))
         single = left.filter("n = 1")
@@ -354,8 +368,18 @@ def assign_topics(
         deeper = left.filter(F.col("n") > LEAF).select("id", "x", "topic", F.col("cell").alias("parent"))
         deeper = deeper.join(children, ["parent", "topic"]).drop("parent")
         rows = single.unionByName(leaf).unionByName(deeper)
-        open_ = rows.groupBy("id", "x").agg(F.collect_list(F.struct("topic", "cell", "lo", "hi", "n")).alias("boxes"))
+        rows = rows.filter(_near2(F.col("x"), F.col("x"), F.col("lo"), F.col("hi"), k) <= eps2)
         level += 1
+    # A point whose last box turned out to be too far has no answer: noise.
+    border = border.select("id").join(answers, "id", "left").select("id", F.coalesce("topic", F.lit(-1)).alias("topic"))
+    settled = placed.filter("topic is not null").select("id", "topic")
+    return settled.unionByName(border).withColumnRenamed("id", key)
+
+
+def _look_up(rows: DataFrame, small: DataFrame, on: str) -> DataFrame:
+    """Left join with a stored table that is broadcast while its counted size allows."""
+    few = small.count() <= BROADCAST_ROWS
+    return rows.join(F.broadcast(small) if few else small.hint("merge"), on, "left")
 
 
 def _settle(open_: DataFrame, eps2: Column, k: int) -> DataFrame:
