@@ -120,7 +120,7 @@ def score_fixed_model(spark, sf):
     "score_table",
     f"""with {SCORE_SQL}
 select post_id, 'topic ' || topic as topic_name, topic as cluster_id, round(score, 6) as score
-from scored where topic % 2 = 0""",
+from scored where topic in {fx.CHOSEN_TOPICS}""",
 )
 def score_table(spark, sf):
     dim = fx.topic_names(spark, sf)
@@ -303,8 +303,8 @@ def topic_lookup(spark, sf):
 
 @query(
     "chosen_topics",
-    """select cast(vec_id as varchar) as post_id, label as cluster_id, 'topic ' || label as topic_name
-from embeddings where label % 2 = 0""",
+    f"""select cast(vec_id as varchar) as post_id, label as cluster_id, 'topic ' || label as topic_name
+from embeddings where label in {fx.CHOSEN_TOPICS}""",
 )
 def chosen_topics(spark, sf):
     return filters.in_topics(fx.topics(spark, sf), fx.topic_names(spark, sf), fx.N_TOPICS)

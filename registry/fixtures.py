@@ -65,10 +65,16 @@ def topics(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def topic_names(spark: SparkSession, sf: str) -> DataFrame:
-    """Even clusters are chosen; their dimension comes from the table."""
-    ids = table(spark, sf, "embeddings").select(F.col("label").alias("cluster_id")).distinct()
+    """The chosen clusters are those of at least mean size; their dimension comes from the table."""
+    emb = table(spark, sf, "embeddings")
+    mean = emb.agg(F.count(F.lit(1)) / F.count_distinct("label")).scalar()
+    sizes = emb.groupBy(F.col("label").alias("cluster_id")).agg(F.count(F.lit(1)).alias("n"))
     name = F.concat(F.lit("topic "), F.col("cluster_id").cast("string")).alias("topic_name")
-    return ids.filter("cluster_id % 2 = 0").select("cluster_id", name)
+    return sizes.filter(F.col("n") >= mean).select("cluster_id", name)
+
+
+CHOSEN_TOPICS = """(select label from embeddings group by label
+   having count(*) >= (select count(*) / count(distinct label) from embeddings))"""
 
 
 def labels(spark: SparkSession, sf: str) -> DataFrame:
@@ -76,12 +82,10 @@ def labels(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def derived_scores(spark: SparkSession, sf: str) -> DataFrame:
-    """Chosen-topic posts with a repeatable score; many scores are equal after rounding to four decimals."""
+    """Posts of all topics with a repeatable score; many scores are equal after rounding to four decimals."""
     key = F.col("vec_id").cast("double")
     return (
-        table(spark, sf, "embeddings")
-        .filter("label % 2 = 0")
-        .select(
+        table(spark, sf, "embeddings").select(
             text_id("vec_id"),
             F.concat(F.lit("topic "), F.col("label").cast("string")).alias("topic_name"),
             F.col("label").alias("cluster_id"),
@@ -93,7 +97,7 @@ def derived_scores(spark: SparkSession, sf: str) -> DataFrame:
 DERIVED_SCORES = """scored as (
   select cast(vec_id as varchar) as post_id, 'topic ' || label as topic_name, label as cluster_id,
          (vec_id::double * 7919 % 10007) / 100070.0 as score
-  from embeddings where label % 2 = 0)"""
+  from embeddings)"""
 
 
 def agent_pool(spark: SparkSession, sf: str) -> DataFrame:

@@ -29,4 +29,5 @@ def test_entry(spark):
     assert result.columns == [
         "post_id", "topic_name", "cluster_id", "text", "engagement", "lr_score", "pool_rn",
     ]
-    assert result.count() == 5 * 20
+    per_topic = {r.topic_name: r["count"] for r in result.groupBy("topic_name").count().collect()}
+    assert per_topic and set(per_topic.values()) == {20}
