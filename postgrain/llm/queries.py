@@ -84,3 +84,49 @@ def op10_fair_mix(spark: SparkSession, sf: str) -> DataFrame:
     from postgrain.llm.fair_mix import mix
 
     return mix(table(spark, sf, "documents"))
+
+
+@query("op4_shards")
+def op4_shards(spark: SparkSession, sf: str) -> DataFrame:
+    """The shard of every document, and where it would go if the last shard were taken away."""
+    from postgrain.llm.perm_table import fill, place
+
+    shards = {f"shard-{k:03}": 1 for k in range(64)}
+    fewer = {name: turns for name, turns in shards.items() if name != "shard-063"}
+    docs = table(spark, sf, "documents").select("doc_id", "source")
+    return place(docs, "doc_id", {"shard": fill(shards), "shard_if_one_fails": fill(fewer)})
+
+
+@query("op7_token_counts")
+def op7_token_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Token counts of every document; the cache starts empty and lies in the shared folder."""
+    import uuid
+
+    import public_tokenizers
+
+    from postgrain.llm.token_cache import count_tokens
+    from postgrain.session import shared_folder
+
+    cache = f"{shared_folder(spark)}/token-cache-{uuid.uuid4().hex}"
+    counted = count_tokens(table(spark, sf, "documents"), cache, public_tokenizers.path("word_bpe_49k.json"), ["doc_id"])
+    return counted.withColumn("over_limit", F.col("n_tokens") > 2048)
+
+
+TOP_SQL = """
+with v as (
+  select vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)::bigint) as x from embeddings
+  where embedding is not null and vec_id is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (
+  select q.vec_id as query_id, c.vec_id, list_sum(list_transform(list_zip(q.x, c.x), lambda p: p[1] * p[2]))::bigint as score
+  from v q join v c on q.vec_id % 100 = 0 and c.vec_id <> q.vec_id and len(q.x) = len(c.x))
+select query_id, row_number() over (partition by query_id order by score desc, vec_id)::int as rank, vec_id, score
+from s qualify rank <= 10
+"""
+
+
+@query("op8_top_k", TOP_SQL)
+def op8_top_k(spark: SparkSession, sf: str) -> DataFrame:
+    """The ten best scores of every hundredth vector against all others."""
+    from postgrain.llm.va_file import top_k
+
+    return top_k(table(spark, sf, "embeddings"), F.col("vec_id") % 100 == 0, 10)
