@@ -130,3 +130,11 @@ def op8_top_k(spark: SparkSession, sf: str) -> DataFrame:
     from postgrain.llm.va_file import top_k
 
     return top_k(table(spark, sf, "embeddings"), F.col("vec_id") % 100 == 0, 10)
+
+
+@query("op5_simhash")
+def op5_simhash(spark: SparkSession, sf: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text."""
+    from postgrain.llm.simhash import edit_study
+
+    return edit_study(table(spark, sf, "documents"))
