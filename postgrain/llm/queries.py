@@ -138,3 +138,33 @@ def op5_simhash(spark: SparkSession, sf: str) -> DataFrame:
     from postgrain.llm.simhash import edit_study
 
     return edit_study(table(spark, sf, "documents"))
+
+
+LINK_SQL = r"""
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') as w from documents),
+s as (
+  select doc_id, list_distinct(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+    else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) end) as s from w),
+d as (select s.s as s, min(doc_id) as node, count(*) as copies, len(s.s) as n from (select doc_id, list_sort(s) as s from s) s group by s.s),
+t as (select node, n, unnest(s) as t from d),
+o as (select a.node as a, b.node as b, any_value(a.n) as n, any_value(b.n) as m, count(*) as common
+  from t a join t b on a.t = b.t and a.node < b.node group by a.node, b.node),
+l as (select a, b from o where 100 * common >= 75 * (n + m - common)),
+e as (select a, b from l union all select b, a from l),
+r as (select node, node as goal from d union select r.node, e.b from r join e on r.goal = e.a),
+c as (select node, min(goal) as lowest from r group by node)
+select s.doc_id, len(s.s)::bigint as n_shingles,
+  case when len(s.s) = 0 then s.doc_id else c.lowest end as component_id,
+  (case when len(s.s) = 0 then 1 else d.copies end)::bigint as n_copies
+from s left join d on list_sort(s.s) = d.s left join c on d.node = c.node
+"""
+
+
+@query("op2_group_join", LINK_SQL)
+def op2_group_join(spark: SparkSession, sf: str) -> DataFrame:
+    """Components of documents linked by the similarity of their 5-word shingles."""
+    from postgrain.llm.group_join import link_documents
+
+    return link_documents(table(spark, sf, "documents"))
