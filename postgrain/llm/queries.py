@@ -168,3 +168,15 @@ def op2_group_join(spark: SparkSession, sf: str) -> DataFrame:
     from postgrain.llm.group_join import link_documents
 
     return link_documents(table(spark, sf, "documents"))
+
+
+@query("op9_pii")
+def op9_pii(spark: SparkSession, sf: str) -> DataFrame:
+    """Personal data in every document: base spans, and all spans with those that the trees add."""
+    from postgrain.llm.pii import KINDS, find, listed, select, train
+    from postgrain.session import stage
+
+    found = stage(find(table(spark, sf, "documents").select("doc_id", "text")).drop("text"))
+    counts = [F.expr(f"bigint(size(filter(base, s -> s.kind = {k})))").alias(f"n_{name}") for k, name in enumerate(KINDS)]
+    digest = F.sha2(listed("base"), 256).alias("base_sha256")
+    return select(found, train(found)).select("doc_id", *counts, digest, listed("spans").alias("spans"))
