@@ -180,3 +180,12 @@ def op9_pii(spark: SparkSession, sf: str) -> DataFrame:
     counts = [F.expr(f"bigint(size(filter(base, s -> s.kind = {k})))").alias(f"n_{name}") for k, name in enumerate(KINDS)]
     digest = F.sha2(listed("base"), 256).alias("base_sha256")
     return select(found, train(found)).select("doc_id", *counts, digest, listed("spans").alias("spans"))
+
+
+@query("op6_page_text")
+def op6_page_text(spark: SparkSession, sf: str) -> DataFrame:
+    """The main text of every page."""
+    from postgrain.llm.page_tree import extract, train
+
+    pages = table(spark, sf, "pages")
+    return extract(pages, train(pages), ["page_id", "url"])
