@@ -20,6 +20,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from postgrain.llm.workers import per_worker
 
@@ -149,7 +150,7 @@ def encode(docs: DataFrame, path: str, pattern: str, keep: list[str], text: str
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [ids], [*keep, "ids"])
 
     made = docs.select(*keep, F.col(text).alias("__text"))
-    return made.mapInArrow(run, docs.select(*keep).schema.add("ids", "array<int>"))
+    return made.mapInArrow(run, docs.select(*keep).schema.add("ids", ArrayType(IntegerType())))
 
 
 def decode(encoded: DataFrame, path: str, pattern: str, keep: list[str]) -> DataFrame:
@@ -165,6 +166,26 @@ def decode(encoded: DataFrame, path: str, pattern: str, keep: list[str]) -> Data
     return made.mapInArrow(run, encoded.select(*keep).schema.add("decoded", "binary"))
 
 
+def encode_and_check(docs: DataFrame, path: str, pattern: str, keep: list[str], text: str = "text") -> DataFrame:
+    """Encode and decode in one pass: columns ``keep``, n_tokens, the array ids, and the SHA-256 of the decoded bytes."""
+    schema = docs.select(*keep).schema.add("n_tokens", "long").add("ids", ArrayType(IntegerType())).add("decoded_sha256", "string")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from hashlib import sha256
+
+        bpe = loaded(path, pattern)
+        for batch in batches:
+            ids = [bpe.encode(x.as_py()) for x in batch.column("__text")]
+            made = [
+                pa.array([len(x) for x in ids], pa.int64()),
+                pa.array(ids, pa.list_(pa.int32())),
+                pa.array([sha256(bpe.decode(x)).hexdigest() for x in ids], pa.string()),
+            ]
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + made, schema.names)
+
+    return docs.select(*keep, F.col(text).alias("__text")).mapInArrow(run, schema)
+
+
 def round_trip(docs: DataFrame, path: str, pattern: str, keep: list[str], text: str = "text") -> DataFrame:
     """Encode and decode in one pass: columns ``keep``, n_tokens, and the SHA-256 of the ids and of the decoded bytes."""
     schema = docs.select(*keep).schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")

@@ -189,3 +189,11 @@ def op6_page_text(spark: SparkSession, sf: str) -> DataFrame:
 
     pages = table(spark, sf, "pages")
     return extract(pages, train(pages), ["page_id", "url"])
+
+
+@query("pipeline")
+def pipeline(spark: SparkSession, sf: str) -> DataFrame:
+    """All stages of the corpus pipeline over the documents."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf)
