@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postgrain.llm.workers import per_worker
+from postgrain.session import stage
 
 CACHE_SCHEMA = "content binary, tokenizer string, n_tokens long"
 REMEMBERED = 1 << 18  # pieces in each half of a worker's memory
@@ -138,7 +139,7 @@ def count_tokens(docs: DataFrame, cache: str, tokenizer: str, keep: list[str], b
     todo.repartition("__content").mapInArrow(encode, CACHE_SCHEMA).write.mode("append").parquet(cache)
 
     counts = read_cache(spark, cache).filter(F.col("tokenizer") == version)
-    counts = counts.groupBy(F.col("content").alias("__counted")).agg(F.max("n_tokens").alias("n_tokens"))
+    counts = stage(counts.groupBy(F.col("content").alias("__counted")).agg(F.max("n_tokens").alias("n_tokens")))
     size = F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes")
     keyed = docs.select(*keep, size, normal_form(text).alias("__text")).select(*keep, "n_bytes", content)
     joined = keyed.join(counts, F.col("__content") == F.col("__counted"), "left")
