@@ -9,7 +9,7 @@ next cannot change the k best. Both scans keep k entries per query and task; onl
 Queries go in waves of about ``wave`` rows, so that what is broadcast has a fixed size; each wave scans all blocks.
 Vectors that are null, or hold null or non-finite components, take no part. Vectors are compared with those of the same
 number of components. Rows that share a query's id are the query's own; otherwise repeated rows are separate candidates,
-with the smaller id first at equal scores. Scores beyond 64 bits are clipped to the ends of that range.
+with the smaller id first at equal scores. Scores beyond 64 bits count as the ends of that range.
 """
 
 from __future__ import annotations
@@ -26,6 +26,7 @@ from postgrain.session import stage
 CELLS = 64
 BLOCK = 4096
 SAFE = 1 << 53
+ENDS = float(1 << 63)  # scores are clipped to 64 bits
 BLOCK_SCHEMA = "dim int, n int, ids binary, codes binary, lows binary, widths binary, exact binary"
 
 
@@ -96,7 +97,7 @@ class Block:
         slack = 1e-12 * (np.abs(queries) @ (np.abs(self.corner) + self.width).T)
         low = base + (np.minimum(queries, 0) @ room)[:, None] - slack
         high = base + (np.maximum(queries, 0) @ room)[:, None] + slack
-        return low, high
+        return np.clip(low, -ENDS, ENDS), np.clip(high, -ENDS, ENDS)
 
 
 def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
@@ -164,10 +165,10 @@ def _wave(file: DataFrame, asked: DataFrame, k: int) -> DataFrame:
                     part = near[at : at + 64]
                     if len(kept) == k and row[part[0]] < -kept[-1][0]:
                         break
-                    scores = (b.exact[part] @ exact[q]).tolist()
+                    scores = [max(-(1 << 63), min((1 << 63) - 1, s)) for s in (b.exact[part] @ exact[q]).tolist()]
                     kept = sorted([*kept, *((-s, i) for s, i in zip(scores, b.ids[part].tolist()))])[:k]
                 best[query] = kept
-        rows = [(q, i, max(-(1 << 63), min((1 << 63) - 1, -s))) for q, kept in best.items() for s, i in kept]
+        rows = [(q, i, -s) for q, kept in best.items() for s, i in kept]
         columns = list(zip(*rows)) if rows else [[]] * 3
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["query_id", "vec_id", "score"])
 
