@@ -5,7 +5,7 @@ of a document is the number of its source's words up to and including it, divide
 range-sorted by finish time and taken until the total budget is used. A source that runs out leaves its share to the others
 in proportion to their weights, which is what resharing the excess of capped targets gives.
 
-Running totals never gather a source, however large, in one task: documents fall into hash buckets of their source, bucket
+Running totals never gather a source, however large, in one task: ranges of the shuffled order are buckets, bucket
 sums (combined before the shuffle) give each bucket's start, and only the few documents of one bucket are ordered together.
 The global cut works the same way over ranges of finish time. The table of sources has one row per source.
 
@@ -74,7 +74,7 @@ def mix(
     spark = docs.sparkSession
     order = F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     made = docs.select("doc_id", "source", *keep, word_count(F.col("text")).alias("size"), order.alias("shuffled"))
-    made = stage(made.withColumn("bucket", F.conv(F.substring("shuffled", 1, 8), 16, 10).cast("long") % buckets))
+    made = stage(made.withColumn("bucket", F.shiftright(F.conv(F.substring("shuffled", 1, 8), 16, 10).cast("long") * buckets, 32)))
     by_bucket = stage(made.groupBy("source", "bucket").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("rows")))
     sizes = by_bucket.groupBy("source").agg(F.sum("words").alias("source_size"))
     targets = stage(source_targets(sizes, weights, share, epochs))

@@ -236,7 +236,7 @@ def components(edges: DataFrame) -> DataFrame:
     """Columns node, component (the smallest node) for the nodes of edges (a, b), by alternating large and small stars."""
     edges = stage(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
     before = None
-    while True:
+    while not edges.isEmpty():
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("low"))
         large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).filter("a <> b").distinct()
@@ -246,8 +246,9 @@ def components(edges: DataFrame) -> DataFrame:
         edges = stage(small.unionByName(low.select("a", F.col("low").alias("b"))).distinct())
         state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).head()
         if tuple(state) == before:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
+            break
         before = tuple(state)
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
 
 
 def connected(sets: DataFrame, percent: int) -> DataFrame:
@@ -280,7 +281,8 @@ def connected(sets: DataFrame, percent: int) -> DataFrame:
     )
     rest = across.select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b")).distinct()
     rest = rest.join(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    return components(edges.unionByName(verified(stage(rest), sets, percent)))
+    more = stage(verified(stage(rest), sets, percent))
+    return linked if more.isEmpty() else components(edges.unionByName(more))
 
 
 def link_documents(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:

@@ -62,11 +62,11 @@ s as (
   select source, place, weight, source_size, budget, case when budget >= all_most then most::double
     else least(weight * max((budget - full_before::double) / open_before) over (), most::double) end as target from f),
 r as (
-  select doc_id, size, shuffled, s.*, ('0x' || substr(shuffled, 1, 8))::bigint % 256 as bucket
+  select doc_id, size, shuffled, s.*
   from d join s on d.source is not distinct from s.source),
 o as (
-  select *, sum(size) over (partition by place order by bucket, shuffled, doc_id, size rows unbounded preceding) as upto,
-    row_number() over (partition by place order by bucket, shuffled, doc_id, size) as turn from r),
+  select *, sum(size) over (partition by place order by shuffled, doc_id, size rows unbounded preceding) as upto,
+    row_number() over (partition by place order by shuffled, doc_id, size) as turn from r),
 c as (
   select o.*, e.epoch, (upto + e.epoch * source_size)::double / weight as due
   from o, (values (0), (1)) e(epoch)),
