@@ -42,7 +42,8 @@ def run_number(name: Column) -> Column:
 
 
 def two_decimals(col: Column) -> Column:
-    return F.format_string("%.2f", col)
+    """``%.2f``; null stays null."""
+    return F.when(col.isNotNull(), F.format_string("%.2f", col))
 
 
 def escape_html(col: Column) -> Column:
@@ -54,3 +55,10 @@ def escape_html(col: Column) -> Column:
 
 def is_object(json_text: Column) -> Column:
     return F.ltrim(json_text).startswith("{")
+
+
+def unwrapped(json_text: Column) -> Column:
+    """The text inside, where a JSON value is a string; other values as they are."""
+    wrapped = F.concat(F.lit('{"v":'), json_text, F.lit("}"))
+    inner = F.when(F.ltrim(json_text).startswith('"'), F.get_json_object(wrapped, "$.v"))
+    return F.coalesce(inner, json_text)

@@ -12,11 +12,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def dot(a: Column, b: Column) -> Column:
-    products = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
-    return F.aggregate(products, F.lit(0.0), lambda s, x: s + x)
-
-
 def l2_norm(v: Column) -> Column:
     return F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
 
@@ -37,10 +32,6 @@ def sigmoid(z: Column) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
 
 
-def relu(z: Column) -> Column:
-    return F.greatest(z, F.lit(0.0))
-
-
 def batch_matrix(col: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Valid rows of a list array as a float64 matrix, and the mask of valid rows."""
     if isinstance(col, pa.ChunkedArray):

@@ -7,9 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postgrain.functions.text import is_object
+from postgrain.functions.text import is_object, unwrapped
 from postgrain.operators.filters import in_range
-from postgrain.session import broadcast_bounded
 
 
 def _axis_value(entries: Column, axis: str) -> Column:
@@ -24,9 +23,7 @@ def parse_axes(df: DataFrame, axes: Sequence[str], raw: str = "axes_json") -> Da
 
     The value may be an object's JSON text or a JSON string that holds that text. Missing scores are null, never NaN.
     """
-    text = F.col(raw)
-    inner = F.when(F.ltrim(text).startswith('"'), F.get_json_object(F.concat(F.lit('{"v":'), text, F.lit("}")), "$.v"))
-    entries = F.from_json(F.coalesce(inner, text), "map<string,string>")
+    entries = F.from_json(unwrapped(F.col(raw)), "map<string,string>")
     parsed = df.withColumn("_entries", entries)
     return parsed.withColumns({a: _axis_value(F.col("_entries"), a) for a in axes}).drop("_entries")
 
@@ -72,8 +69,3 @@ def rewrite_worklist(selected: DataFrame, axes: Sequence[str], text: str = "text
     """
     long = axes_long(selected, axes, ("post_id", F.col(text).alias("original")))
     return direction_target(long)
-
-
-def with_axis_order(df: DataFrame, axis_dim: DataFrame, n_axes: int) -> DataFrame:
-    """Keep rows of configured axes and add their order."""
-    return df.join(broadcast_bounded(axis_dim.select("axis", "ord"), n_axes), "axis")

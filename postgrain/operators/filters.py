@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from postgrain.functions.text import unwrapped
 from postgrain.session import broadcast_bounded
 
 # What counts as a link, a word and a hashtag.
@@ -81,18 +82,10 @@ def complete_sets(rewrites: DataFrame, axes: list[str]) -> DataFrame:
 
 def is_labelled(raw: Column) -> Column:
     """True when an axes value is present and not empty, whether stored as an object or as JSON text of one."""
-    entries = F.from_json(raw, "map<string,string>")
+    entries = F.from_json(unwrapped(raw), "map<string,string>")
     return F.coalesce(F.size(entries) > 0, F.lit(False))
 
 
-def is_dead(density: Column, floor: float = 0.01) -> Column:
-    return density < floor
-
-
-def is_active(value: Column) -> Column:
-    return F.coalesce(value > 0, F.lit(False))
-
-
 def in_range(score: Column, low: float = 0.2, high: float = 0.8) -> Column:
     """Inclusive range test in which a missing score (null or NaN) is outside."""
     return F.coalesce(score.between(low, high) & ~F.isnan(score), F.lit(False))

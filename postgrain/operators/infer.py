@@ -115,7 +115,7 @@ def label_prompts(df: DataFrame, size: int = LABEL_BATCH, chars: int = LABEL_CHA
 
 
 def rewrite_prompts(worklist: DataFrame, axes: DataFrame, n_axes: int) -> DataFrame:
-    """Add the rewrite request to work-list rows; ``axes`` is the axis dimension."""
+    """Add the rewrite request to work-list rows; ``axes`` is the axis dimension. An axis without a score has no request."""
     goals = broadcast_bounded(axes.select("axis", "rewrite_up", "rewrite_down"), n_axes)
     goal = F.when(F.col("direction") == "up", F.col("rewrite_up")).otherwise(F.col("rewrite_down"))
     prompt = _fill(
@@ -127,14 +127,16 @@ def rewrite_prompts(worklist: DataFrame, axes: DataFrame, n_axes: int) -> DataFr
         shift=two_decimals(F.abs(F.col("target") - F.col("score"))),
         text=F.col("original"),
     )
-    return worklist.join(goals, "axis").withColumn("prompt", prompt).drop("rewrite_up", "rewrite_down")
+    scored = worklist.filter(F.col("score").isNotNull())
+    return scored.join(goals, "axis").withColumn("prompt", prompt).drop("rewrite_up", "rewrite_down")
 
 
 def _require_json(response: str, fenced: bool) -> None:
     body = response.strip()
     if fenced and body.startswith(FENCE):
         body = body.split(FENCE)[1].removeprefix("json")
-    json.loads(body)
+    if not isinstance(json.loads(body), (list, dict, str)):
+        raise ValueError("a number, true, false or null is no answer")
 
 
 def infer_batches(

@@ -28,7 +28,7 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8, **conf: s
         SparkSession.builder.master(f"local[{cores}]")
         .appName("postgrain")
         .config("spark.ui.enabled", "false")
-        .config("spark.driver.memory", "16g")
+        .config("spark.driver.memory", "10g")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     )
     for key, value in {**SESSION_CONF, **conf}.items():
@@ -67,10 +67,10 @@ def spread(df: DataFrame) -> DataFrame:
 
     A plain read of many files already has more splits than cores and is returned as it is, without a shuffle.
     """
-    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
-        return df  # shuffled before: its partitions are already chosen, and counting them would run the plan
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    # After a shuffle the plan knows its partitions (nothing runs); a plain read counts its splits.
+    known = df._jdf.queryExecution().executedPlan().outputPartitioning().numPartitions()
+    return df.repartition(cores) if (known or df.rdd.getNumPartitions()) < cores else df
 
 
 def broadcast_bounded(df: DataFrame, rows: int) -> DataFrame:

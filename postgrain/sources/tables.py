@@ -13,7 +13,6 @@ from postgrain.operators.rewrites import NESTED_SCHEMA, explode_rewrites
 
 POST_SCHEMA = "post_id string, text string, engagement bigint"
 POST_RAW_SCHEMA = POST_SCHEMA + ", lang string, is_reply boolean, is_repost boolean, is_quote boolean"
-LABEL_SCHEMA = "post_id string, label int"
 VECTOR_SCHEMA = "post_id string, embedding array<float>"
 TOPIC_SCHEMA = "post_id string, topic int"
 SCORE_SCHEMA = "post_id string, topic_name string, cluster_id int, probability_score double"
@@ -41,8 +40,9 @@ def read_posts(spark: SparkSession, path: str, schema: str = POST_SCHEMA, partit
 
 
 def read_labels(spark: SparkSession, path: str) -> DataFrame:
-    """CSV with a header; ``post_id`` and an integer ``label``."""
-    return spark.read.csv(path, schema=LABEL_SCHEMA, header=True, mode="FAILFAST", enforceSchema=False)
+    """CSV with a header that names ``post_id`` and an integer ``label``, among any other columns, in any order."""
+    rows = spark.read.csv(path, header=True, mode="FAILFAST")
+    return rows.select(F.col("post_id").cast("string"), F.col("label").cast("int"))
 
 
 def read_topics(spark: SparkSession, path: str) -> DataFrame:

@@ -54,7 +54,9 @@ select 'axis', coalesce(p_name, '?'), f from (
   select p_name, unnest(list_filter([case when p_brand = 'Brand#17' then 'short' end,
                                      case when p_size < 3 then 'color' end,
                                      case when p_type = 'SMALL' then 'rewrite_up' end], lambda x: x is not null)) as f
-  from part)""",
+  from part)
+union all
+select 'axis', p_name, 'defined twice' from part where p_name is not null group by p_name having count(*) > 1""",
 )
 def config_checks(spark, sf):
     topics = fx.table(spark, sf, "customer").select(
@@ -380,7 +382,7 @@ def _raw_axes(spark, sf):
 
 @query(
     "axes_parse",
-    f"""select cast(doc_id as varchar) as post_id, {_ENTRIES}, shape in (0, 1, 3) as labelled from ({_SHAPES})""",
+    f"""select cast(doc_id as varchar) as post_id, {_ENTRIES}, shape in (0, 1, 2, 3) as labelled from ({_SHAPES})""",
 )
 def axes_parse(spark, sf):
     parsed = ax.parse_axes(_raw_axes(spark, sf), ["tone", "humor"])
@@ -390,7 +392,7 @@ def axes_parse(spark, sf):
 @query(
     "dataset_summary",
     f"""select count(*) as posts, (select count(distinct source) from documents) as topics,
-  count(*) filter (shape in (0, 1, 3)) as labelled, count(*) filter (shape not in (0, 1, 3)) as missing
+  count(*) filter (shape in (0, 1, 2, 3)) as labelled, count(*) filter (shape not in (0, 1, 2, 3)) as missing
 from ({_SHAPES})""",
 )
 def dataset_summary(spark, sf):

@@ -85,8 +85,7 @@ requests as (
 
 
 def _requests(spark, sf):
-    work = ax.rewrite_worklist(fx.axis_scores(spark, sf), fx.AXES).filter("score is not null")
-    return work
+    return ax.rewrite_worklist(fx.axis_scores(spark, sf), fx.AXES)
 
 
 @query(

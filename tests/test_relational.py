@@ -23,9 +23,7 @@ def values(df, *cols):
 def test_default_config(spark):
     cfg = load_config()
     assert len(cfg.topics) == 17 and len(cfg.axes) == 7
-    assert cfg.topic_names[106] == "Capitalism" and cfg.axis_names[0] == "reading_level"
-    assert cfg.axis_short[3] == "tone" and set(cfg.axis_rewrites["tone"]) == {"up", "down"}
-    assert cfg.axis_colors["humor"] == "#9673a6"
+    assert cfg.topics[0].keys() >= {"cluster_id", "name"} and cfg.axis_names[0] == "reading_level"
     require_valid(topic_dim(spark, cfg), axis_dim(spark, cfg))
 
 
@@ -99,7 +97,7 @@ def test_parse_axes_shapes(spark):
     counted = ax.midrange_count(ax.parse_axes(df, ["tone", "humor"]), ["tone", "humor"])
     assert {r.post_id: r.mid_count for r in counted.collect()}["null"] == 0
     labelled = {r[0]: r[1] for r in df.select("post_id", filters.is_labelled(F.col("axes_json"))).collect()}
-    assert labelled["object"] and labelled["flat"] and not labelled["null"] and not labelled["empty"]
+    assert labelled["object"] and labelled["flat"] and labelled["string"] and not labelled["null"] and not labelled["empty"]
 
 
 def test_direction_and_target(spark):
