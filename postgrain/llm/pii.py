@@ -39,24 +39,25 @@ FEATURES = {"kind": 4, "generator": 3, "digits": 21, "marks": 7, "plus": 2, "rou
 SPAN = "kind int, start int, stop int"
 
 
-def _matches(found: DataFrame, name: str, text: str, pattern: str, needs: str) -> DataFrame:
+def _matches(found: DataFrame, name: str, text: str, pattern: str, needs: str, least: int) -> DataFrame:
     """``found`` with the column ``name``: array of (start, stop, hit, prev, next), the matches of a pattern and their sides.
 
     Matches and the pieces between them come from the same leftmost search; lengths add up to positions. ``needs`` is a
-    cheap condition without which there is no match.
+    cheap condition without which there is no match. Matches of fewer than ``least`` characters, which no later check
+    would let pass, move the position but are not kept: a text may have very many.
     """
     quoted = "'" + pattern.replace("\\", "\\\\") + "'"
     found = found.withColumn("__hits", F.expr(f"case when {needs} then regexp_extract_all({text}, {quoted}, 0) end"))
     found = found.withColumn("__gaps", F.expr(f"case when size(__hits) > 0 then split({text}, {quoted}, -1) end"))
-    folded = F.expr("""
+    folded = F.expr(f"""
       case when size(__hits) > 0 then aggregate(
         sequence(0, size(__hits) - 1),
         named_struct('at', 0, 'out', cast(array() as array<struct<start: int, stop: int, hit: string, prev: string, next: string>>)),
         (a, i) -> named_struct(
           'at', a.at + length(__gaps[i]) + length(__hits[i]),
-          'out', array_append(a.out, named_struct(
+          'out', case when length(__hits[i]) < {least} then a.out else array_append(a.out, named_struct(
             'start', a.at + length(__gaps[i]), 'stop', a.at + length(__gaps[i]) + length(__hits[i]), 'hit', __hits[i],
-            'prev', right(__gaps[i], 24), 'next', left(__gaps[i + 1], 1)))),
+            'prev', right(__gaps[i], 24), 'next', left(__gaps[i + 1], 1))) end),
         a -> a.out) end""")
     return found.withColumn(name, folded).drop("__hits", "__gaps")
 
@@ -111,17 +112,17 @@ def find(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with ``base`` (array of kind, start, stop by start, then kind) and ``candidates`` (with features)."""
     digit = f"{text} rlike '[0-9]'"
     patterns = (
-        (EMAIL, f"contains({text}, '@')"),
-        (IP, f"{digit} and contains({text}, '.')"),
-        (CARD, digit),
-        (PHONE, f"contains({text}, '+')"),
-        (NUMBER, digit),
-        (DIGITS, digit),
-        (SPELLED, f"(contains({text}, '@') or {text} rlike '[\\\\[(]at[\\\\])]')"),
+        (EMAIL, f"contains({text}, '@')", 5),
+        (IP, f"{digit} and contains({text}, '.')", 7),
+        (CARD, digit, 12),
+        (PHONE, f"contains({text}, '+')", 10),
+        (NUMBER, digit, 7),
+        (DIGITS, digit, 7),
+        (SPELLED, f"(contains({text}, '@') or {text} rlike '[\\\\[(]at[\\\\])]')", 5),
     )
     found = docs
-    for k, (pattern, needs) in enumerate(patterns):
-        found = _matches(found, f"__{k}", text, pattern, needs)
+    for k, (pattern, needs, least) in enumerate(patterns):
+        found = _matches(found, f"__{k}", text, pattern, needs, least)
     base = ", ".join(_base(f"__{k}", k) for k in range(4))
     order = "array_sort({}, (a, b) -> case when a.start <> b.start then a.start - b.start else a.kind - b.kind end)"
     found = found.withColumn("base", F.expr(order.format(f"concat({base})")))

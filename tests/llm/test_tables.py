@@ -227,6 +227,7 @@ def test_mix_reaches_targets(spark, documents):
 
 def test_pipeline_by_parts(spark, documents, odd):
     import corpus_pipeline as pipe
+    from postgrain.session import stage
 
     english = "the river runs past the old mill and the children play there every day until dark comes"
     french = "le fleuve coule devant le vieux moulin et les enfants y jouent chaque jour avant la nuit"
@@ -234,16 +235,16 @@ def test_pipeline_by_parts(spark, documents, odd):
     rows += [(100, rows[1][1], "en", "a"), (101, rows[1][1] + "and more", "en", "b"), (102, "12 34 !!", "en", "a"), (103, None, "fr", "a")]
     rows += [(104, f"{english} ask ann@mail.example.org now", "en", "a")]
     docs = documents(rows)
-    first = pipe.language(spark, docs, "")
+    first = stage(pipe.language(spark, docs, ""))
     assert first.columns == docs.columns and {r.doc_id for r in first.collect()} == {r[0] for r in rows} - {102, 103}
-    second = pipe.near_duplicates(spark, first, "")
+    second = stage(pipe.near_duplicates(spark, first, ""))
     lowest = {i: c for i, _, c in brute_components(rows)}
     assert second.columns == docs.columns
     assert sorted(r.doc_id for r in second.collect()) == sorted(i for i, c in lowest.items() if i == c and i not in (102, 103))
-    third = pipe.personal_data(spark, second, "")
+    third = stage(pipe.personal_data(spark, second, ""))
     before, after = {r.doc_id: r.text for r in second.collect()}, {r.doc_id: r.text for r in third.collect()}
     assert after.pop(104) == before.pop(104).replace("ann@mail.example.org", "[EMAIL]") and after == before
-    fourth = pipe.source_mix(spark, third, "")
+    fourth = stage(pipe.source_mix(spark, third, ""))
     copies = {}
     for r in fourth.collect():
         copies[r.doc_id] = copies.get(r.doc_id, 0) + 1
