@@ -49,15 +49,18 @@ def _matches(found: DataFrame, name: str, text: str, pattern: str, needs: str, l
     quoted = "'" + pattern.replace("\\", "\\\\") + "'"
     found = found.withColumn("__hits", F.expr(f"case when {needs} then regexp_extract_all({text}, {quoted}, 0) end"))
     found = found.withColumn("__gaps", F.expr(f"case when size(__hits) > 0 then split({text}, {quoted}, -1) end"))
+    # Hits and gaps are read element by element, never by place: where Spark puts an expression in the place of a column,
+    # as it does when it pushes a filter down, each look-up by place would search the whole text again.
     folded = F.expr(f"""
       case when size(__hits) > 0 then aggregate(
-        sequence(0, size(__hits) - 1),
+        zip_with(zip_with(__hits, __gaps, (h, g) -> named_struct('hit', h, 'gap', g)), slice(__gaps, 2, 1073741824),
+          (x, after) -> named_struct('hit', x.hit, 'gap', x.gap, 'after', after)),
         named_struct('at', 0, 'out', cast(array() as array<struct<start: int, stop: int, hit: string, prev: string, next: string>>)),
-        (a, i) -> named_struct(
-          'at', a.at + length(__gaps[i]) + length(__hits[i]),
-          'out', case when length(__hits[i]) < {least} then a.out else array_append(a.out, named_struct(
-            'start', a.at + length(__gaps[i]), 'stop', a.at + length(__gaps[i]) + length(__hits[i]), 'hit', __hits[i],
-            'prev', right(__gaps[i], 24), 'next', left(__gaps[i + 1], 1))) end),
+        (a, x) -> named_struct(
+          'at', a.at + length(x.gap) + coalesce(length(x.hit), 0),
+          'out', case when coalesce(length(x.hit), 0) < {least} then a.out else array_append(a.out, named_struct(
+            'start', a.at + length(x.gap), 'stop', a.at + length(x.gap) + length(x.hit), 'hit', x.hit,
+            'prev', right(x.gap, 24), 'next', left(x.after, 1))) end),
         a -> a.out) end""")
     return found.withColumn(name, folded).drop("__hits", "__gaps")
 
@@ -209,7 +212,8 @@ def train(found: DataFrame, key: str = "doc_id") -> Trees:
     judged = "not (c.generator = 2 and c.round = 1)"  # a spelled-out address can be no base span, so it teaches nothing
     positive = F.expr("exists(base, b -> b.kind = c.kind and b.start < c.stop and c.start < b.stop)").cast("int")
     fit = (F.pmod(F.xxhash64(key), F.lit(3)) > 0).cast("int").alias("fit")
-    rows = found.select(fit, "base", F.explode("candidates").alias("c")).filter(judged).select("fit", "c.*", positive.alias("y"))
+    # An inner explode would have Spark test for candidates by a second search of the texts.
+    rows = found.select(fit, "base", F.explode_outer("candidates").alias("c")).filter(F.col("c").isNotNull()).filter(judged).select("fit", "c.*", positive.alias("y"))
     counted = rows.groupBy("fit", *FEATURES).agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("n_positive"))
     collected = counted.collect()  # bounded by the product of the features' ranges
     names = ["fit", *FEATURES, "n", "n_positive"]
