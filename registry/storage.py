@@ -166,20 +166,25 @@ def report_roundtrip(spark, sf):
     return spark.read.json(path, schema="f int, density double, category string, best_axis string, best_lift double")
 
 
-_REWRITES_SQL = """rewrites as (
-  select cast(conv_id as varchar) as post_id, list_extract(['reading_level', 'background', 'abstract_concrete'], turn::int + 1) as axis,
+_AXIS_ARRAY = "[" + ", ".join(f"'{a}'" for a in fx.AXES) + "]"
+_REWRITES_SQL = f"""rewrites as (
+  select case when turn < {len(fx.AXES)} then cast(conv_id as varchar) else conv_id || ':' || (turn // {len(fx.AXES)}) end as post_id,
+    list_extract({_AXIS_ARRAY}, (turn % {len(fx.AXES)})::int + 1) as axis,
     case when role = 'user' then 'up' else 'down' end as direction, text as rewrite,
     first_value(text) over (partition by conv_id order by turn) as original
   from conversations)"""
 
 
 def _rewrites(spark, sf):
-    """Turns of a conversation as rewrites of its first turn; later turns belong to no configured axis."""
+    """Turns of a conversation as rewrites of its first turn, an axis each; every seven turns are one post."""
     turns = fx.table(spark, sf, "conversations")
     first = topn.dedupe(turns, ["conv_id"], ["turn"], keep="first").select("conv_id", F.col("text").alias("original"))
-    axis = F.try_element_at(F.array(*(F.lit(a) for a in fx.AXES[:3])), (F.col("turn") + 1).cast("int"))
+    n = F.lit(len(fx.AXES))
+    axis = F.element_at(F.array(*(F.lit(a) for a in fx.AXES)), (F.col("turn") % n + 1).cast("int"))
+    block = F.floor(F.col("turn") / n).cast("string")
+    conv = F.col("conv_id").cast("string")
     return turns.join(first, "conv_id").select(
-        F.col("conv_id").cast("string").alias("post_id"),
+        F.when(F.col("turn") < n, conv).otherwise(F.concat_ws(":", conv, block)).alias("post_id"),
         axis.alias("axis"),
         F.when(F.col("role") == "user", "up").otherwise("down").alias("direction"),
         "original",
@@ -191,16 +196,15 @@ def _rewrites(spark, sf):
     "rewrite_sets",
     f"""with {_REWRITES_SQL}
 select post_id, axis, direction, original, rewrite,
-  (list_position(['reading_level', 'background', 'abstract_concrete'], axis) - 1)::int as ord
-from rewrites where axis is not null
-qualify count(*) over (partition by post_id) = 3""",
+  (list_position({_AXIS_ARRAY}, axis) - 1)::int as ord
+from rewrites
+qualify count(*) over (partition by post_id) = {len(fx.AXES)}""",
 )
 def rewrite_sets(spark, sf):
     """Nest per post, store, read back, and keep the pairs of posts with every axis."""
     path = _fresh(spark, "rewrites")
-    axes = fx.AXES[:3]
-    tb.write_rewrites(rw.nest_rewrites(_rewrites(spark, sf), axes), path)
-    return rw.explode_pairs(tb.read_rewrites(spark, path, "lines"), axes)
+    tb.write_rewrites(rw.nest_rewrites(_rewrites(spark, sf), fx.AXES), path)
+    return rw.explode_pairs(tb.read_rewrites(spark, path, "lines"), fx.AXES)
 
 
 @query(
@@ -208,10 +212,10 @@ def rewrite_sets(spark, sf):
     f"""with {_REWRITES_SQL}, {fx.AXIS_SCORES}
 select r.post_id, r.axis, case when s.post_id is not null and not coalesce(score < 0.5, false) then 'down' else 'up' end as direction,
   coalesce(s.text, '') as original, rewrite
-from rewrites r left join axis_scores s on s.post_id = r.post_id and s.axis = r.axis where r.axis is not null""",
+from rewrites r left join axis_scores s on s.post_id = r.post_id and s.axis = r.axis""",
 )
 def restore_rewrites(spark, sf):
-    cached = _rewrites(spark, sf).filter("axis is not null").select("post_id", "axis", "rewrite")
+    cached = _rewrites(spark, sf).select("post_id", "axis", "rewrite")
     return rw.restore_context(cached, axes_long(fx.axis_scores(spark, sf), fx.AXES, ("post_id", "text")))
 
 
