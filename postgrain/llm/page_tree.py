@@ -6,7 +6,8 @@ parent-child edge rates the pair of labels. Sum-product messages, upward and the
 blocks with a marginal of at least one half are the main text.
 
 Weights start from priors and are fitted by the gradient of the conditional likelihood (observed less expected counts, from
-the same messages) to labelled pages. Where no labels are given, ``markup_labels`` makes them from semantic markup.
+the same messages) to labelled pages. Where no labels are given, ``markup_labels`` makes them from semantic markup; pages without such
+markup say nothing of their text and are left out of the fit. Where no page has any, one page written here is fitted.
 
 White space in a block becomes one space, character references are decoded, blocks are joined by a line feed. A null or
 empty page, and one without main text, has the empty text. Pages are never cut. Repeated rows get equal answers.
@@ -26,7 +27,13 @@ from pyspark.sql import functions as F
 
 SAMPLE_PAGES = 400  # labelled pages that a fit reads at most
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SILENT = frozenset("script style noscript template head svg canvas iframe object select datalist textarea".split())
+SILENT = frozenset("script style noscript template head title svg canvas iframe object select datalist textarea".split())
+IN_HEAD = frozenset("html head base basefont bgsound link meta title style script noscript noframes template".split())  # any other tag ends a head
+# Tags that end a silent element which the page never closes.
+FLOW = frozenset(
+    "body address article aside blockquote center details dialog dir div dl dd dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
+    "header hgroup hr li main menu nav ol p pre section summary table caption tbody thead tfoot tr td th ul".split()
+)
 INLINE = frozenset("a abbr b bdi bdo br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 ONE_OF = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
 # Words in class or id: first those of page furniture, then those of articles.
@@ -46,17 +53,33 @@ PRIOR = {
 }
 EDGE_PRIOR = {"00": 2.0, "01": -6.0, "10": 0.0, "11": 0.5}
 STEPS, RATE, SHRINK = 30, 0.5, 0.05
+# What the fit learns from where no page of the table is labelled.
+SEED = """<body><header><p>Site</p></header><nav><ul><li><a href=1>Home</a><li><a href=2>News</a></ul></nav><div><article><div><h1>A title</h1>
+<p>A paragraph of the text, long enough to be told from a short line of furniture by its length alone.</p><p>A short one.</p>
+<ul><li>An item.<li>Another item.</ul><blockquote>A quotation.</blockquote></div></article></div><aside><p>More.</p></aside><footer>(c)</footer></body>"""
 
 
 class Tree(HTMLParser):
-    """Parents, tags, feature names and block texts of a page, in page order."""
+    """Parents, tags, feature names and block texts of a page, in page order.
+
+    A head ends at its end tag or where a body begins: at a tag or text that no head holds. A silent element that is never
+    closed ends at the next flow element; which are never closed is known after a first reading, and then the page is read again.
+    """
 
     def __init__(self, html: str) -> None:
         super().__init__(convert_charrefs=True)
+        self.unclosed: set[tuple[int, int]] = set()  # where silent elements begin that are never closed
+        self._read(html)
+        self.unclosed = {at for tag, at in self.silent if tag != "head"}
+        if self.unclosed:
+            self.reset()
+            self._read(html)
+
+    def _read(self, html: str) -> None:
         self.parent, self.tag, self.words, self.role, self.text, self.linked = [], [], [], [], [], []
         self.open: list[int] = []  # block elements that are open
         self.inline: list[str] = []  # inline elements that are open in the innermost block
-        self.silent: list[str] = []
+        self.silent: list[tuple[str, tuple[int, int]]] = []  # silent elements that are open, and where they begin
         self.piece: list[str] = []
         self.in_link = 0
         self._node("body", set(), "")
@@ -84,13 +107,11 @@ class Tree(HTMLParser):
         self.inline, self.in_link = [], 0
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        if self.silent:
-            if tag in SILENT and tag not in VOID:
-                self.silent.append(tag)
-            return
+        self._end_silence(tag)
         if tag in SILENT:
-            if tag == "head" or tag not in INLINE:
-                self.silent.append(tag)
+            self.silent.append((tag, self.getpos()))
+            return
+        if self.silent:
             return
         if tag in ("html", "body", "!doctype"):
             return
@@ -118,6 +139,13 @@ class Tree(HTMLParser):
         self.open.append(self._node(tag, words, given.get("role", "").lower()))
         self.inline, self.in_link = [], 0
 
+    def _end_silence(self, tag: str) -> None:
+        """End the silent elements that cannot hold ``tag``."""
+        while self.silent and tag in FLOW and self.silent[-1][1] in self.unclosed:
+            self.silent.pop()
+        if len(self.silent) == 1 and self.silent[0][0] == "head" and tag not in IN_HEAD:
+            self.silent.pop()
+
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
         if tag not in VOID:
@@ -125,8 +153,13 @@ class Tree(HTMLParser):
 
     def handle_endtag(self, tag: str) -> None:
         if self.silent:
-            if tag in self.silent:
-                del self.silent[len(self.silent) - 1 - self.silent[::-1].index(tag) :]
+            for depth in range(len(self.silent) - 1, -1, -1):
+                if self.silent[depth][0] == tag:
+                    del self.silent[depth:]
+                    return
+            if tag in FLOW and self.silent[-1][1] in self.unclosed:
+                self._end_silence(tag)
+        if self.silent:
             return
         if tag in INLINE:
             if tag in self.inline:
@@ -139,6 +172,8 @@ class Tree(HTMLParser):
                 return
 
     def handle_data(self, data: str) -> None:
+        if data.strip():
+            self._end_silence("#text")
         if not self.silent:
             self.piece.append((data, self.in_link > 0))
 
@@ -198,9 +233,14 @@ class Tree(HTMLParser):
 _KNOWN = frozenset(TAGS)
 
 
-def markup_labels(tree: Tree) -> list[int]:
-    """Labels from semantic markup: blocks in an article or main element and in no furniture, and the elements around them."""
+def markup_labels(tree: Tree) -> list[int] | None:
+    """Labels from semantic markup: blocks in an article or main element and in no furniture, and the elements around them.
+
+    None where the markup does not say: such a page may have its text anywhere.
+    """
     n = len(tree.tag)
+    if not any(t in ("article", "main") for t in tree.tag):
+        return None
     inside, barred, label = [False] * n, tree.furniture(), [0] * n
     for k in range(n):
         p = tree.parent[k]
@@ -287,10 +327,14 @@ def main_text(html: str | None, model: dict[str, dict[str, float]]) -> str:
     return "\n".join(text for text, p in zip(tree.text, one) if text is not None and p >= 0.5)
 
 
-def train(pages: DataFrame, labels: Callable[[Tree], list[int]] = markup_labels, sample: int = SAMPLE_PAGES) -> dict:
-    """Fit on at most ``sample`` pages, the first by a hash of url and page_id; their trees are made in tasks."""
+def train(pages: DataFrame, labels: Callable[[Tree], list[int] | None] = markup_labels, sample: int = SAMPLE_PAGES) -> dict:
+    """Fit on at most ``sample`` pages, the first by a hash of url and page_id; their trees are made in tasks.
+
+    Pages that ``labels`` gives None are left out; those without article or main are not sampled for ``markup_labels`` at all.
+    """
     order = F.xxhash64("url", "page_id")
-    chosen = pages.filter(F.col("html").isNotNull()).select("page_id", order.alias("place")).orderBy("place", "page_id").limit(sample)
+    pages = pages.filter(F.col("html").rlike(r"(?i)<(article|main)[\s/>]") if labels is markup_labels else F.col("html").isNotNull())
+    chosen = pages.select("page_id", order.alias("place")).orderBy("place", "page_id").limit(sample)
     chosen = F.broadcast(chosen.select("page_id").distinct())  # at most ``sample`` rows
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -298,11 +342,17 @@ def train(pages: DataFrame, labels: Callable[[Tree], list[int]] = markup_labels,
             out = []
             for html in batch.column("html").to_pylist():
                 tree = Tree(html)
-                out.append(json.dumps({"parent": tree.parent, "features": tree.features(), "labels": labels(tree)}))
+                label = labels(tree)
+                if label is not None:
+                    out.append(json.dumps({"parent": tree.parent, "features": tree.features(), "labels": label}))
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["tree"])
 
-    trees = pages.join(chosen, "page_id", "left_semi").filter(F.col("html").isNotNull()).select("html").mapInArrow(parse, "tree string")
-    return fit([json.loads(r.tree) for r in trees.sort("tree").limit(sample).toLocalIterator()])
+    trees = pages.join(chosen, "page_id", "left_semi").select("html").mapInArrow(parse, "tree string")
+    found = [json.loads(r.tree) for r in trees.sort("tree").limit(sample).toLocalIterator()]
+    if not found:
+        seed = Tree(SEED)
+        found = [{"parent": seed.parent, "features": seed.features(), "labels": markup_labels(seed)}]
+    return fit(found)
 
 
 def extract(pages: DataFrame, model: dict, keep: list[str]) -> DataFrame:

@@ -167,6 +167,35 @@ def test_page_text(spark, page_model):
     assert page_tree.extract(pages.limit(0), empty, ["page_id"]).count() == 0
 
 
+FIRST, SECOND = "The first paragraph is long enough to stand for the text of an article, which it does.", "A second one follows it."
+TWO = f"<p>{FIRST}<p>{SECOND}"
+
+
+def test_page_text_without_article_markup(spark):
+    """A table mostly of pages whose article sits in div or plain p keeps their text, with and without labelled pages."""
+    nav, end = "<nav><a href=1>Home</a> <a href=2>News</a></nav>", "<footer>(c) me</footer>"
+    plain = [f"<body>{nav}<div id=content>{TWO}</div>{end}", f"<body>{nav}{TWO}{end}", f"<body>{nav}<div class=x><div>{TWO}</div></div>{end}"]
+    marked = f"<body>{nav}<article>{TWO}</article>{end}"
+    rows = [(k, f"u{k}", plain[k % 3] if k % 10 else marked) for k in range(60)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for some in (pages, pages.filter("page_id % 10 > 0")):
+        got = page_tree.extract(some, page_tree.train(some), ["page_id"]).collect()
+        assert {r.text for r in got} == {f"{FIRST}\n{SECOND}"}
+
+
+@pytest.mark.parametrize(
+    "start",
+    ["<head><title>T</title>", "<title>T</title>", "<head><title>T</title><body>", "<head><noscript><link><body>"]
+    + [f"<head></head><body><div><{t}></div>" for t in ("noscript", "iframe", "object", "select><option>a", "textarea", "template", "svg", "canvas")]
+    + ["<body><iframe src=x><div>", "<body><noscript>a</noscript><object><iframe></iframe>"],
+)
+def test_page_text_of_open_tags(start, page_model):
+    """An omitted end tag of the head, and silent elements that are never closed, do not take the rest of the page along."""
+    assert page_tree.main_text(f"{start}{TWO}<iframe></iframe>", page_model) == f"{FIRST}\n{SECOND}"
+    closed = f"<head><title>T</title></head><body><noscript><p>{FIRST}</p></noscript><select><option><p>no</select><template><div>{FIRST}</div></template>"
+    assert page_tree.main_text(f"{closed}{TWO}", page_model) == f"{FIRST}\n{SECOND}"
+
+
 def test_messages_by_enumeration():
     """Marginals equal those from summing over all labellings."""
     from itertools import product
