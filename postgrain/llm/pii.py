@@ -1,12 +1,15 @@
 """Personal data in whole texts: base patterns, and boosted trees over further candidates, with DataFrame functions only.
 
 Base spans (email, ip, card, phone) come from fixed patterns and checks and always stay. Generators of high recall propose
-further, overlapping spans of the same kinds: numbers with any of the usual separators, bare runs of digits, and addresses
-with spelled-out signs. Their format and context become small whole-number features. There are no labelled spans, so the
-base rules teach: a candidate is positive when a base span of its kind overlaps it. As features are few-valued, Spark counts
-the rows of each combination (a table bounded by the product of the features' ranges), gradient boosting is fitted on these
-counts, and the trees become one SQL expression. Per kind, the lowest score at which candidates held back from the fit are
-positive often enough is the threshold; candidates above it that touch no base span and no better candidate are added.
+further, overlapping spans of the same kinds: numbers with any of the usual separators, bare runs of digits, addresses with
+spelled-out signs, and parts of longer numbers: those between spaces, and groups of digits as phones and cards have them.
+Their format and context become small whole-number features. There are no labelled spans, so the base rules teach with their
+own marks hidden: a candidate is positive when a base span of its kind overlaps it, but no feature tells of its plus sign or
+country code. Words before a number and the domain of a spelled-out address are weak labels; in half of the documents the
+words are hidden. As features are few-valued, Spark counts the rows of each combination (a table bounded by the product of
+the features' ranges), gradient boosting is fitted on these counts, and the trees become one SQL expression. Per kind, the
+lowest score at which the candidates held back from the fit have a smoothed precision of ``PRECISION`` is the threshold;
+candidates above it that touch no base span and no better candidate are added.
 
 Positions count code points. Quantifiers are possessive where that changes no match, so that long runs need neither deep
 recursion nor quadratic time. Nulls and empty texts have no spans. Texts are never cut. Rows are independent of each other;
@@ -34,8 +37,17 @@ SPELLED = (
     r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++(?:@|\x20?[\[(]at[\])]\x20?)"
     r"[A-Za-z0-9-]++(?:(?:\.|\x20?[\[(]dot[\])]\x20?)[A-Za-z0-9-]++)++"
 )
+# Parts of longer numbers: what stands between spaces, and groups of digits.
+TIGHT = r"[+(]?[0-9](?:[().\-/]{0,2}[0-9])++"
+GROUPED = (
+    r"(?<![0-9])(?:[0-9]{4}(?:[\x20.\-/][0-9]{4}){3}|[0-9]{4}[\x20.\-/][0-9]{6}[\x20.\-/][0-9]{5}"
+    r"|(?:\([0-9]{2,4}\)\x20?|[0-9]{3}[\x20.\-/])[0-9]{3}[\x20.\-/][0-9]{4})(?![0-9])"
+)
+PREFIX = r"^[+](?:[0-9]{1,3}[\x20./\-]+(?=[(0-9]))?"  # of a phone: what makes it one for the base rule
+# Least share of positives, (positives + 1) / (candidates + 2), above a threshold. Spans that no rule knows count against it.
+PRECISION = 0.8
 # Features of a candidate with the number of values each can have.
-FEATURES = {"kind": 4, "generator": 3, "digits": 21, "marks": 7, "plus": 2, "round": 2, "luhn": 2, "tail": 2, "topic": 5, "prev": 3, "next": 3}
+FEATURES = {"kind": 4, "generator": 5, "digits": 21, "marks": 7, "round": 2, "luhn": 2, "tail": 2, "topic": 5, "prev": 3, "next": 3}
 SPAN = "kind int, start int, stop int"
 
 
@@ -86,19 +98,19 @@ def _base(matches: str, kind: int) -> str:
 
 
 def _candidates(matches: str, generator: int) -> str:
-    digits = "regexp_replace(x.hit, '[^0-9]', '')"
-    kind = "0" if generator == 2 else rf"case when x.hit rlike '^[0-9]+([.][0-9]+){{3}}$' then 1 when length({digits}) >= 12 and x.hit not like '+%' then 2 else 3 end"
+    bare = "regexp_replace(x.hit, '{}', '')".format(PREFIX.replace("\\", "\\\\"))
+    digits, own = "regexp_replace(x.hit, '[^0-9]', '')", f"regexp_replace({bare}, '[^0-9]', '')"
+    kind = "0" if generator == 2 else rf"case when x.hit rlike '^[0-9]{{1,3}}([.][0-9]{{1,3}}){{3}}$' then 1 when length({digits}) >= 12 and x.hit not like '+%' then 2 else 3 end"
     fits = "true" if generator == 2 else f"length({digits}) between 7 and 19"
     side = "case when {0} = '' or {0} rlike '[\\\\x20\\\\x09-\\\\x0D]' then 0 when {0} rlike '[\\\\p{{L}}\\\\p{{N}}]' then 1 else 2 end"
     fields = {
         "kind": kind,
         "generator": str(generator),
-        "digits": f"least(length({digits}), 20)",
-        "marks": f"least(length(x.hit) - length({digits}), 6)",
-        "plus": "int(x.hit like '+%')",
+        "digits": f"least(length({own}), 20)",
+        "marks": f"least(length({bare}) - length({own}), 6)",
         "round": r"int(x.hit rlike '[(\\[]')",
         "luhn": f"case when length({digits}) between 12 and 19 then int({_luhn(digits)}) else 0 end",
-        "tail": r"int(x.hit rlike '[0-9]{3}[-.\\x20][0-9]{4}$')",
+        "tail": r"int(x.hit rlike '(?:[.]|dot[)\\]])\\x20?[A-Za-z]{2,}$')" if generator == 2 else r"int(x.hit rlike '[0-9]{3}[-./\\x20][0-9]{4}$')",
         "topic": "case when x.prev rlike '(?i)phone|tel|call|fax|mobile' then 1 when x.prev rlike '(?i)card|visa|credit|pay' then 2 "
         "when x.prev rlike '(?i)mail|contact|write' then 3 when x.prev rlike '(?i)server|host|addr' then 4 else 0 end",
         "prev": side.format("right(x.prev, 1)"),
@@ -122,6 +134,8 @@ def find(docs: DataFrame, text: str = "text") -> DataFrame:
         (NUMBER, digit, 7),
         (DIGITS, digit, 7),
         (SPELLED, f"(contains({text}, '@') or {text} rlike '[\\\\[(]at[\\\\])]')", 5),
+        (TIGHT, digit, 7),
+        (GROUPED, digit, 12),
     )
     found = docs
     for k, (pattern, needs, least) in enumerate(patterns):
@@ -129,9 +143,9 @@ def find(docs: DataFrame, text: str = "text") -> DataFrame:
     base = ", ".join(_base(f"__{k}", k) for k in range(4))
     order = "array_sort({}, (a, b) -> case when a.start <> b.start then a.start - b.start else a.kind - b.kind end)"
     found = found.withColumn("base", F.expr(order.format(f"concat({base})")))
-    # Two generators may propose the same span; the first of them keeps it.
-    proposed = ", ".join(_candidates(f"__{4 + k}", k) for k in range(3))
-    return found.withColumn("candidates", F.expr(f"concat({proposed})")).drop(*(f"__{k}" for k in range(7)))
+    # Generators may propose the same span; the first of the best keeps it.
+    proposed = ", ".join(_candidates(f"__{4 + k}", k) for k in range(5))
+    return found.withColumn("candidates", F.expr(f"concat({proposed})")).drop(*(f"__{k}" for k in range(9)))
 
 
 @dataclass
@@ -160,10 +174,10 @@ class Trees:
         return out
 
 
-def boost(table: dict[str, np.ndarray], rounds: int = 20, rate: float = 0.3, ridge: float = 1.0, precision: float = 0.98, least: int = 50) -> Trees:
+def boost(table: dict[str, np.ndarray], rounds: int = 20, rate: float = 0.3, ridge: float = 1.0, precision: float = PRECISION) -> Trees:
     """Fit trees and thresholds on counted feature combinations: columns of FEATURES, fit (0 or 1), n and n_positive.
 
-    A kind gets a threshold only with ``least`` candidates to calibrate on; else none of its candidates is added.
+    A threshold is no lower than even odds. A kind whose candidates nowhere reach ``precision`` gets none, and none is added.
     """
     here = table["fit"] == 1
     x = {f: table[f][here] for f in FEATURES}
@@ -202,18 +216,21 @@ def boost(table: dict[str, np.ndarray], rounds: int = 20, rate: float = 0.3, rid
         order = np.argsort(-score[rows], kind="stable")
         level = score[rows][order]
         total, right = np.cumsum(held["n"][rows][order]), np.cumsum(held["n_positive"][rows][order])
-        good = np.flatnonzero((right >= precision * total) & (total >= least) & (np.append(level[1:], -np.inf) < level))
+        good = np.flatnonzero((right + 1 >= precision * (total + 2)) & (level >= 0) & (np.append(level[1:], -np.inf) < level))
         model.thresholds.append(float(level[good[-1]]) if len(good) else float("inf"))
     return model
 
 
 def train(found: DataFrame, key: str = "doc_id") -> Trees:
     """Trees and thresholds from all candidates of ``found``; a third of the documents calibrates the thresholds."""
-    judged = "not (c.generator = 2 and c.round = 1)"  # a spelled-out address can be no base span, so it teaches nothing
-    positive = F.expr("exists(base, b -> b.kind = c.kind and b.start < c.stop and c.start < b.stop)").cast("int")
+    # What the topic words say of numbers, and the domain of a spelled-out address of it.
+    weak = "case c.kind when 0 then c.round = 1 and c.tail = 1 when 2 then c.topic = 2 and c.luhn = 1 when 3 then c.topic = 1 and c.digits between 7 and 15 else false end"
+    positive = F.expr(f"{weak} or exists(base, b -> b.kind = c.kind and b.start < c.stop and c.start < b.stop)").cast("int")
+    shown = F.when(F.pmod(F.xxhash64(key, F.lit(1)), F.lit(2)) > 0, F.col("c.topic")).otherwise(0).alias("topic")
     fit = (F.pmod(F.xxhash64(key), F.lit(3)) > 0).cast("int").alias("fit")
     # An inner explode would have Spark test for candidates by a second search of the texts.
-    rows = found.select(fit, "base", F.explode_outer("candidates").alias("c")).filter(F.col("c").isNotNull()).filter(judged).select("fit", "c.*", positive.alias("y"))
+    rows = found.select(F.col(key), fit, "base", F.explode_outer("candidates").alias("c")).filter(F.col("c").isNotNull())
+    rows = rows.select("fit", *(shown if f == "topic" else F.col(f"c.{f}") for f in FEATURES), positive.alias("y"))
     counted = rows.groupBy("fit", *FEATURES).agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("n_positive"))
     collected = counted.collect()  # bounded by the product of the features' ranges
     names = ["fit", *FEATURES, "n", "n_positive"]

@@ -201,6 +201,34 @@ def test_trees_add_spans_and_keep_base(spark, documents):
     assert got[1000] == "email:16:44"
 
 
+PLANTED = {
+    "phone": ["(415) 555-0132", "tel 555-123-4567", "212-555-0187", "415 555 0132 415 555 0199", "(415) 555-0132 (415) 555-0199", "303.555.0143"],
+    "card": ["4111.1111.1111.1111", "4012/8888/8888/1881", "pay 5500.0000.0000.0004"],
+    "email": ["ann (at) host3.example.org", "bob [at] mail [dot] example [dot] com"],
+}
+
+
+def test_trees_find_planted_spans(spark, documents):
+    """Spans that no base rule knows are found from base spans whose marks are hidden; other numbers are left alone."""
+    rng = random.Random(3)
+    n = lambda k: "".join(rng.choices("0123456789", k=k))
+    texts = [rng.choice(["+1 ({}) {}-{}", "+1-{}-{}-{}", "+1 {} {} {}"]).format(n(3), n(3), n(4)) for _ in range(400)]
+    texts += [rng.choice(["4111-1111-1111-1111", "4012 8888 8888 1881", "5500-0000-0000-0004"]) for _ in range(200)]
+    texts += [f"user{k}@host{k % 9}.example.org" for k in range(200)]
+    other = [f"on {rng.randrange(1900, 2100)}-{n(2)}-{n(2)}" for _ in range(200)] + [f"order {n(8)}" for _ in range(200)]
+    other += [f"{n(4)}.{n(4)}.{n(4)}" for _ in range(100)] + [f"sold (at) {n(1)}.{n(2)}" for _ in range(50)]
+    planted = [(kind, text) for kind, many in PLANTED.items() for text in many for _ in range(2)]
+    rows = [f"it says {x} and then more" for x in [*texts, *other, *(x for _, x in planted)]]
+    found = pii.find(documents([(k, x, "en", "s") for k, x in enumerate(rows)]).select("doc_id", "text"))
+    got = {r.doc_id: r.spans for r in pii.select(found, pii.train(found)).select("doc_id", pii.listed("spans").alias("spans")).collect()}
+    spans = {k: [x.split(":") for x in v.split(",") if x] for k, v in got.items()}
+    first = len(texts) + len(other)
+    assert all(got[k] == base_spans(rows[k]) for k in range(first))
+    for k, (kind, text) in enumerate(planted, first):
+        want = re.findall(r"\(415\) 555-0\d+|415 555 0\d+", text) or [re.sub("^(tel|pay) ", "", text)]
+        assert [(name, rows[k][int(a) : int(b)]) for name, a, b in spans[k]] == [(kind, w) for w in want], text
+
+
 def test_mix_against_sql(spark, documents, odd, tmp_path):
     rng = random.Random(8)
     rows = [(k, "w " * rng.choice([0, 1, 5, 60]), "en", rng.choice(["a", "a", "a", "b", None, "é"])) for k in range(400)]
