@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from postgrain.llm.byte_bpe import encode_and_check
 from postgrain.llm.fair_mix import mix
-from postgrain.llm.group_join import link_documents
+from postgrain.llm.group_join import link_rows
 from postgrain.llm.language import UNKNOWN, fit_languages, predict_languages
 from postgrain.llm.pii import find, redacted, select, train
 from postgrain.session import stage
@@ -41,21 +41,27 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked documents: the one with the smallest doc_id.
+    """One row of each group of linked documents: the one with the smallest doc_id, then the smallest digest of the text.
 
-    Rows of one doc_id and one text are one document. Documents without words are in no group and stay.
+    A null doc_id comes after all others. Documents without words are in no group and stay; of those, rows of one doc_id
+    and one text are one document, and rows with a null doc_id are documents of their own.
     """
 
     def work(docs: DataFrame) -> DataFrame:
-        linked = link_documents(docs)
-        gone = linked.filter(F.col("doc_id") > F.col("component_id")).select(F.col("doc_id").alias("__gone"))
-        repeated = linked.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("doc_id").alias("__gone"))
-        suspects = stage(gone.unionByName(repeated).distinct())
-        kept = docs.join(suspects, docs["doc_id"] == F.col("__gone"), "left_anti")
-        # An id of several rows stays where one of its rows is the smallest of its group.
-        again = repeated.join(linked.filter(F.col("doc_id") <= F.col("component_id")), F.col("__gone") == F.col("doc_id"), "left_semi")
-        several = docs.join(again, docs["doc_id"] == F.col("__gone"), "left_semi").dropDuplicates(["doc_id", "text"])
-        return kept.unionByName(several)
+        keyed = docs.withColumn("__row", F.md5(F.col("text").cast("binary")))
+        linked = link_rows(keyed, 5, 75, ["__row"])
+        grouped = F.col("lowest").isNotNull()
+        same = F.col("doc_id").eqNullSafe(F.col("lowest.doc_id")) & F.col("__row").eqNullSafe(F.col("lowest.__row"))
+        stays = ~grouped | same
+        rows = linked.select("doc_id", "__row", stays.alias("stays"), (grouped | F.col("doc_id").isNotNull()).alias("once"))
+        counted = rows.groupBy("doc_id", "__row", "stays", "once").agg(F.count(F.lit(1)).alias("n"))
+        # Rows that go, and those of which one stays.
+        suspects = stage(counted.filter(~F.col("stays") | F.col("once") & (F.col("n") > 1)).drop("n", "once"))
+        key = suspects.select(F.col("doc_id").alias("__id"), F.col("__row").alias("__of"), "stays")
+        on = keyed["doc_id"].eqNullSafe(key["__id"]) & keyed["__row"].eqNullSafe(key["__of"])
+        kept = keyed.join(key, on, "left_anti")
+        several = keyed.join(key.filter("stays"), on, "left_semi").dropDuplicates(["doc_id", "__row"])
+        return kept.unionByName(several).drop("__row")
 
     return shielded(docs, work)
 

@@ -57,8 +57,8 @@ def node_of(digest: bytes) -> int:
     return int.from_bytes(digest[:8], "little", signed=True)
 
 
-def document_sets(docs: DataFrame, n: int) -> DataFrame:
-    """Columns doc_id, n_shingles and set (a digest of the shingle set; null when it is empty)."""
+def document_sets(docs: DataFrame, n: int, keep: list[str]) -> DataFrame:
+    """Columns ``keep``, n_shingles and set (a digest of the shingle set; null when it is empty)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -66,11 +66,11 @@ def document_sets(docs: DataFrame, n: int) -> DataFrame:
             for found in shingle_sets(batch.column("text"), n):
                 size.append(len(found))
                 digest.append(text_digest(found) if len(found) else None)
-            columns = [batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(digest, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "set"])
+            columns = [*(batch.column(c) for c in keep), pa.array(size, pa.int64()), pa.array(digest, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, [*keep, "n_shingles", "set"])
 
-    schema = docs.select("doc_id").schema.add("n_shingles", "long").add("set", "binary")
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    schema = docs.select(*keep).schema.add("n_shingles", "long").add("set", "binary")
+    return docs.select(*keep, "text").mapInArrow(run, schema)
 
 
 def settle(tokens: list[np.ndarray], nodes: list[int], needed: list[int], task: int) -> pa.RecordBatch:
@@ -287,20 +287,36 @@ def connected(sets: DataFrame, percent: int) -> DataFrame:
 
 def link_documents(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
     """Columns doc_id, n_shingles, component_id (the smallest doc_id that links reach), n_copies (documents of equal set)."""
+    out = link_rows(docs, n, percent, [])
+    component_id = F.coalesce("lowest.doc_id", "doc_id").alias("component_id")
+    return out.select("doc_id", "n_shingles", component_id, F.coalesce("n_copies", F.lit(1)).alias("n_copies"))
+
+
+def link_rows(docs: DataFrame, n: int, percent: int, then: list[str]) -> DataFrame:
+    """Columns doc_id, ``then``, n_shingles, n_copies and lowest, a row for each of ``docs``.
+
+    ``lowest`` has doc_id and ``then`` of the first row of the component in their order, a null doc_id last; it is null
+    where the set is empty.
+    """
     if not 50 <= percent <= 100:
         raise ValueError("percent is 50 to 100")
-    found = stage(document_sets(docs, n))
+    found = stage(document_sets(docs, n, ["doc_id", *then]))
     same = found.filter(F.col("set").isNotNull()).groupBy("set")
-    distinct = stage(same.agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n_copies")).withColumn("node", node_column("set")))
+    first = F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", *then) if then else F.col("doc_id")
+    made = same.agg(F.min(first).alias("first"), F.count(F.lit(1)).alias("n_copies")).withColumn("node", node_column("set"))
+    distinct = stage(made)
     alive = surviving_nodes(docs, n, percent)
-    chosen = stage(distinct.select("node", F.col("first_id").alias("doc_id")).join(alive, "node", "left_semi"))
+    first_id = F.col("first.doc_id" if then else "first").alias("doc_id")
+    chosen = stage(distinct.select("node", first_id).join(alive, "node", "left_semi"))
     sets = stage(survivor_sets(docs, chosen, n))
     linked = distinct.join(connected(sets, percent), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    linked = stage(linked.select("set", "first_id", "n_copies", "component"))
-    lowest = linked.groupBy("component").agg(F.min("first_id").alias("lowest"))
+    linked = stage(linked.select("set", "first", "n_copies", "component"))
+    lowest = linked.groupBy("component").agg(F.min("first").alias("lowest"))
     by_set = linked.join(lowest, "component").select(F.col("set").alias("of"), "lowest", "n_copies")
+    if not then:
+        by_set = by_set.withColumn("lowest", F.struct(F.col("lowest").alias("doc_id")))
     out = found.join(by_set, F.col("set") == F.col("of"), "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("lowest", "doc_id").alias("component_id"), F.coalesce("n_copies", F.lit(1)).alias("n_copies"))
+    return out.select("doc_id", *then, "n_shingles", "n_copies", "lowest")
 
 
 def node_column(column: str):

@@ -253,6 +253,21 @@ def test_mix_reaches_targets(spark, documents):
         assert all(r.taken <= 2 * r.size for r in mine)
 
 
+def test_near_duplicates_of_null_and_repeated_ids(spark, documents):
+    """One row of a group stays, also where ids are null or stand in several rows; wordless rows are in no group."""
+    import corpus_pipeline as pipe
+
+    one, two, three = (" ".join(f"{w}{k}" for k in range(40)) for w in ("red", "blue", "green"))
+    texts = [(None, one), (None, one), (None, one + " more"), (None, two), (None, two), (7, two + " more"), (7, one), (3, one + " again")]
+    texts += [(9, three), (9, three), (9, three + " more"), (9, two + " again"), (None, ""), (None, None), (5, ""), (5, ""), (6, None), (None, "only this one is here")]
+    got = pipe.near_duplicates(spark, documents([(i, t, "en", "s") for i, t in texts]), "")
+    want = [(3, one + " again"), (7, two + " more"), (None, "only this one is here"), (None, ""), (None, None), (5, ""), (6, None)]
+    assert sorted((str(r.doc_id), str(r.text)) for r in got.collect() if r.doc_id != 9) == sorted((str(i), str(t)) for i, t in want)
+    assert [r.text in (three, three + " more") for r in got.filter("doc_id = 9").collect()] == [True]
+    alone = pipe.near_duplicates(spark, documents([(None, one, "en", "s")] * 3 + [(None, one + " more", "en", "s")]), "")
+    assert alone.count() == 1 and alone.columns == got.columns
+
+
 def test_pipeline_by_parts(spark, documents, odd):
     import corpus_pipeline as pipe
     from postgrain.session import stage
