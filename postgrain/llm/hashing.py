@@ -1,6 +1,6 @@
 """Vectorised 64-bit hashes of words and word runs over UTF-8 bytes, for whole texts of any length.
 
-A word is a run of bytes other than 0x20 and 0x09-0x0D; A-Z count as a-z. Hashes depend on bytes only, so they are
+A word is a run of bytes other than 0x20 and 0x09-0x0D; A-Z count as a-z unless ``CASED`` is passed. Hashes depend on bytes only, so they are
 the same in every task and on every machine. Two different words or runs share a hash with probability 2^-64.
 """
 
@@ -32,7 +32,8 @@ def _lower() -> np.ndarray:
     return low
 
 
-_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_SEED))[_lower()]
+CASED = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_SEED))
+_BYTE = CASED[_lower()]
 _WORD = np.ones(256, dtype=bool)
 _WORD[[0x20, *range(0x09, 0x0E)]] = False
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -74,10 +75,8 @@ def chunks(column: pa.Array, size: int = 1 << 19) -> Iterator[tuple[int, np.ndar
         row = end
 
 
-def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A hash for each word of a slice of texts, in order, and the position of each text's first word (one more at the end)."""
-    if not len(raw):
-        return np.zeros(0, dtype=np.uint64), np.zeros(len(offsets), dtype=np.int64)
+def word_bounds(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word of a slice of texts begins and ends."""
     word = _WORD[raw]
     first = np.zeros(len(raw) + 1, dtype=bool)
     first[offsets] = True
@@ -85,22 +84,29 @@ def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     starts[1:] &= ~word[:-1] | first[1:-1]
     ends = word.copy()
     ends[:-1] &= ~word[1:] | first[1:-1]
-    starts, ends = np.flatnonzero(starts), np.flatnonzero(ends) + 1
+    return np.flatnonzero(starts), np.flatnonzero(ends) + 1
+
+
+def word_hashes(raw: np.ndarray, offsets: np.ndarray, table: np.ndarray = _BYTE) -> tuple[np.ndarray, np.ndarray]:
+    """A hash for each word of a slice of texts, in order, and the position of each text's first word (one more at the end)."""
+    if not len(raw):
+        return np.zeros(0, dtype=np.uint64), np.zeros(len(offsets), dtype=np.int64)
+    starts, ends = word_bounds(raw, offsets)
     _POWERS.reach(len(raw) + 1)
     total = np.zeros(len(raw) + 1, dtype=np.uint64)
-    np.cumsum(_BYTE[raw] * _POWERS.up[: len(raw)], out=total[1:])
+    np.cumsum(table[raw] * _POWERS.up[: len(raw)], out=total[1:])
     hashes = mix((total[ends] - total[starts]) * _POWERS.down[starts] + (ends - starts).astype(np.uint64))
     return hashes, np.searchsorted(starts, offsets)
 
 
-def run_hashes(words: np.ndarray, n: int) -> np.ndarray:
+def run_hashes(words: np.ndarray, n: int, factor: int = 0xA0761D6478BD642F) -> np.ndarray:
     """A hash for each run of ``n`` words; the whole sequence as one run where there are fewer; none without words."""
     if not len(words):
         return words
     n = min(n, len(words))
     out = np.full(len(words) - n + 1, n, dtype=np.uint64)
     for k in range(n):
-        out = out * np.uint64(0xA0761D6478BD642F) + words[k : k + len(out)]
+        out = out * np.uint64(factor) + words[k : k + len(out)]
     return mix(out)
 
 

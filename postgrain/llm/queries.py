@@ -191,6 +191,131 @@ def op6_page_text(spark: SparkSession, sf: str) -> DataFrame:
     return extract(pages, train(pages), ["page_id", "url"])
 
 
+MERKLE_SQL = r"""
+with recursive bits as (
+  select distinct doc_id, list_transform(range(8 * strlen(cast(doc_id as varchar))),
+    lambda i: ((ascii(substr(cast(doc_id as varchar), (i // 8 + 1)::bigint, 1))::bigint) >> (i % 8)::bigint) & 1) as b
+  from documents where doc_id is not null),
+crc as (
+  select doc_id, xor(list_reduce(list_prepend(4294967295::bigint, b),
+    lambda c, x: xor(c >> 1, 3988292384::bigint * ((xor(c, x)) & 1))), 4294967295::bigint) as crc from bits),
+d as (
+  select documents.*, coalesce(crc % 3 = 0, false) as tampered,
+    case when crc % 3 = 0 then translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') else text end as seen
+  from documents left join crc using (doc_id)),
+f as (
+  select doc_id, lang, coalesce(strlen(cast(doc_id as varchar)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+    || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(cast(n_chars as varchar)) || ':' || n_chars, '-') as head, text, seen from d),
+l as (
+  select doc_id, lang, sha256(head || coalesce(strlen(text) || ':' || text, '-')) as leaf,
+    sha256(head || coalesce(strlen(seen) || ':' || seen, '-')) as seen_leaf from f),
+p as (
+  select *, row_number() over (partition by lang order by doc_id nulls first, leaf) - 1 as pos, count(*) over (partition by lang) as n from l),
+t as (
+  select lang, 0 as level, pos, n, leaf as digest from p
+  union all
+  select lang, level + 1, pos // 8, any_value((n + 7) // 8), sha256(string_agg(digest, '' order by pos))
+  from t where n > 1 group by lang, level, pos // 8),
+s as (
+  select lang, digest, row_number() over (order by lang nulls first) - 1 as pos, count(*) over () as n from t where n = 1),
+u as (
+  select 0 as level, pos, n, digest from s
+  union all
+  select level + 1, pos // 8, any_value((n + 7) // 8), sha256(string_agg(digest, '' order by pos)) from u where n > 1 group by level, pos // 8),
+x as (
+  select lang, level, pos, n, coalesce(string_agg(digest, '' order by pos) over (partition by lang, level, pos // 8 order by pos rows between unbounded preceding and 1 preceding), '') as l,
+    coalesce(string_agg(digest, '' order by pos) over (partition by lang, level, pos // 8 order by pos rows between 1 following and unbounded following), '') as r from t where n > 1),
+y as (
+  select level, pos, n, coalesce(string_agg(digest, '' order by pos) over (partition by level, pos // 8 order by pos rows between unbounded preceding and 1 preceding), '') as l,
+    coalesce(string_agg(digest, '' order by pos) over (partition by level, pos // 8 order by pos rows between 1 following and unbounded following), '') as r from u where n > 1),
+g as (
+  select doc_id, lang, pos as own, 0 as level, pos, seen_leaf as folded, '' as seen from p
+  union all
+  select g.doc_id, g.lang, g.own, g.level + 1, g.pos // 8, sha256(x.l || g.folded || x.r), g.seen || x.l || x.r
+  from g join x on g.lang is not distinct from x.lang and g.level = x.level and g.pos = x.pos),
+h as (
+  select doc_id, g.lang, own, 0 as level, s.pos, folded, seen from (select * from g qualify row_number() over (partition by lang, own order by level desc) = 1) g
+  join s on g.lang is not distinct from s.lang
+  union all
+  select h.doc_id, h.lang, h.own, h.level + 1, h.pos // 8, sha256(y.l || h.folded || y.r), h.seen || y.l || y.r
+  from h join y on h.level = y.level and h.pos = y.pos),
+e as (select * from h qualify row_number() over (partition by lang, own order by level desc) = 1)
+select p.doc_id, p.leaf, s.digest as subroot, (select digest from u where n = 1) as root, sha256(e.seen) as proof_sha256,
+  e.folded as folded_root, e.folded = (select digest from u where n = 1) as verified
+from p join s on p.lang is not distinct from s.lang join e on p.lang is not distinct from e.lang and p.pos = e.own
+"""
+
+
+@query("op11_merkle", MERKLE_SQL)
+def op11_merkle(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document checked against the manifest of all, a third of them after tampering."""
+    from postgrain.llm.merkle import folded, leaf, manifest, proof_digest
+
+    docs = table(spark, sf, "documents")
+    low = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    tampered = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 0, F.lit(False))
+    head = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    seen = F.when(tampered, leaf([*head, low]))
+    made = manifest(docs.select("doc_id", "lang", leaf([*head, F.col("text")]).alias("digest"), seen.alias("seen")), "doc_id", F.col("lang"))
+    root = F.lit(made.root).cast("string")
+    proved = made.proofs().withColumn("folded_root", folded(F.coalesce("seen", "digest"), F.col("path")))
+    return proved.select(
+        "doc_id", F.col("digest").alias("leaf"), "subroot", root.alias("root"), proof_digest(F.col("path")).alias("proof_sha256"),
+        "folded_root", (F.col("folded_root") == root).alias("verified"),
+    )
+
+
+REPEATS_SQL = r"""
+with w as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+u as (select doc_id, unnest(w) as word, unnest(range(1, len(w) + 1)) as i from w),
+s as (select doc_id, i as start, string_agg(word, ' ') over ahead as words, count(*) over ahead as n from u
+  window ahead as (partition by doc_id order by i rows between current row and 19 following)),
+h as (select doc_id, start, row_number() over (partition by words order by doc_id, start) as turn from s where n = 20),
+g as (select distinct doc_id, start + unnest(range(20)) as gone from h where turn > 1),
+k as (select u.doc_id, count(*) as n_words, count(gone) as n_removed, string_agg(word, ' ' order by i) filter (gone is null) as kept
+  from u left join g on u.doc_id = g.doc_id and i = gone group by u.doc_id)
+select w.doc_id, coalesce(n_words, 0)::bigint as n_words, coalesce(n_removed, 0)::bigint as n_removed, sha256(coalesce(kept, '')) as kept_sha256
+from w left join k on w.doc_id = k.doc_id
+"""
+
+
+@query("op12_repeats", REPEATS_SQL)
+def op12_repeats(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document without the words of 20-word windows that also start earlier."""
+    from postgrain.llm.windows import remove_repeats
+
+    kept = remove_repeats(table(spark, sf, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+NEGATIVES_SQL = """
+with v as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+    list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as x from embeddings
+  where embedding is not null and vec_id is not null and label is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (
+  select a.vec_id as anchor_id, c.vec_id, c.label = a.label as same, list_sum(list_transform(list_zip(a.x, c.x), lambda p: p[1] * p[2]))::bigint as score
+  from v a join v c on a.vec_id % 100 = 0 and c.vec_id <> a.vec_id and len(a.x) = len(c.x)),
+p as (
+  select anchor_id, vec_id as positive_id, score as positive_score from s where same
+  qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5)
+select anchor_id, positive_id, row_number() over (partition by anchor_id, positive_id order by score desc, vec_id)::int as rank,
+  vec_id as negative_id, positive_score, score as negative_score
+from p join s using (anchor_id) where not same and 30 * positive_score <= 100 * score and 100 * score <= 90 * positive_score
+qualify rank <= 10
+"""
+
+
+@query("op13_negatives", NEGATIVES_SQL)
+def op13_negatives(spark: SparkSession, sf: str) -> DataFrame:
+    """Hard negatives for the five positives of every hundredth vector."""
+    from postgrain.llm.negatives import hard_negatives
+
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(table(spark, sf, "embeddings").withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, sf: str) -> DataFrame:
     """All stages of the corpus pipeline over the documents."""
