@@ -7,12 +7,12 @@ whole texts:
    its least run of ``RUN`` words (by hash, the first of equals), at most once a place: windows that overlap mostly share
    one, so that a sketch holds some seven times more text, and equal windows at two places always count two such runs. So
    the sketch can only overestimate a window's count. Counters stop at two, which is all that is asked.
-2. Windows estimated at two or more go, under 128-bit hashes of their words, into an exact grouping that keeps the first
+2. Windows estimated at two or more go, under 96-bit hashes of their words, into an exact grouping that keeps the first
    place of each. Spark combines it before the shuffle, so that a passage of very many documents is sent about once a task.
 3. First places return to their document as one list, no longer than its text. A window that is estimated as repeated and
    is not the first place of its words covers words that go.
 
-A sketch that overflows costs time in step 2, never results. What is broadcast is one bit a counter, 8 MB.
+A sketch that overflows costs time in step 2, never results. What is broadcast is one bit a counter, 16 MB.
 
 Nulls and texts without words have no words; texts shorter than a window stay. A null doc_id comes last. Different texts
 under one doc_id (or under none) count as documents in the order of their digests; equal rows as one document after
@@ -36,7 +36,7 @@ from postgrain.session import stage
 
 RUN = 8
 DEPTH = 2
-WIDTH_BITS = 25  # counters of a sketch row: 2 ** WIDTH_BITS
+WIDTH_BITS = 26  # counters of a sketch row: 2 ** WIDTH_BITS
 SLICE_BITS = 20  # sketches are added up in slices of so many counters
 LAST = (1 << 63) - 1
 
@@ -135,7 +135,10 @@ def shared_ids(docs: DataFrame) -> DataFrame:
 
 
 def first_places(texts: DataFrame, size: int, twice) -> DataFrame:
-    """Columns id, turn, first: for each document the starts (word numbers) of repeated windows that occur there first."""
+    """Columns id, turn, first: for each document the starts (word numbers) of repeated windows that occur there first.
+
+    Written to the shared folder, so that what was shuffled for them can go before texts are.
+    """
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(twice.value, dtype=np.uint8)
@@ -146,13 +149,14 @@ def first_places(texts: DataFrame, size: int, twice) -> DataFrame:
                 starts = windows.repeated(bits)
                 if len(starts):
                     of = np.searchsorted(windows.firsts, starts, side="right") - 1
-                    hashes = [run_hashes(windows.words, size, f)[starts].view(np.int64) for f in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
+                    h, g = (run_hashes(windows.words, size, f)[starts] for f in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB))
+                    hashes = h.view(np.int64), (g >> np.uint64(32)).astype(np.uint32).view(np.int32)
                     columns = [*hashes, ids[row + of], turns[row + of], (starts - windows.firsts[of]).astype(np.int32)]
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["h", "g", "id", "turn", "start"])
 
-    found = texts.mapInArrow(candidates, "h long, g long, id long, turn long, start int")
+    found = texts.mapInArrow(candidates, "h long, g int, id long, turn long, start int")
     first = found.groupBy("h", "g").agg(F.min(F.struct("id", "turn", "start")).alias("first")).select("first.*")
-    return first.groupBy("id", "turn").agg(F.collect_list("start").alias("first"))
+    return stage(first.groupBy("id", "turn").agg(F.collect_list("start").alias("first")))
 
 
 def remove_repeats(docs: DataFrame, size: int = 20) -> DataFrame:
