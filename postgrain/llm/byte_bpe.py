@@ -24,7 +24,8 @@ from pyspark.sql.types import ArrayType, IntegerType
 
 from postgrain.llm.workers import per_worker
 
-CACHED_PRE_TOKENS = 1 << 18  # in each half of a worker's cache; a full half becomes the older one
+CACHED_BYTES = 48 << 20  # about, in each half of a worker's cache; a full half becomes the older one
+ENTRY_BYTES = 240  # of a cached pre-token besides its characters and ids
 CACHED_LENGTH = 64
 
 
@@ -44,6 +45,7 @@ class ByteBpe:
         self.pairs = [[ranks.get(bytes((a, b))) for b in range(256)] for a in range(256)]
         self.cache: dict[str, tuple[int, ...]] = {}
         self.older: dict[str, tuple[int, ...]] = {}
+        self.room = CACHED_BYTES
 
     @classmethod
     def load(cls, path: str, pattern: str) -> ByteBpe:
@@ -118,9 +120,10 @@ class ByteBpe:
         """Ids of one pre-token that is not in the younger half of the cache."""
         found = self.older.get(text) or self.merge(text.encode())
         if len(text) <= CACHED_LENGTH:
-            if len(self.cache) >= CACHED_PRE_TOKENS:
-                self.cache, self.older = {}, self.cache
+            if self.room <= 0:
+                self.cache, self.older, self.room = {}, self.cache, CACHED_BYTES
             self.cache[text] = found
+            self.room -= ENTRY_BYTES + len(text) + 8 * len(found)
         return found
 
     def encode(self, text: str | None) -> list[int]:

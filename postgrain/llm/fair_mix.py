@@ -10,8 +10,9 @@ sums (combined before the shuffle) give each bucket's start, and only the few do
 The global cut works the same way over ranges of finish time. The table of sources has one row per source.
 
 Size is the number of words of a text, 0 for nulls and empty texts; such documents take part without using any budget and
-are taken with 0 words. A null source is a source that sorts last. Repeated rows are separate documents; they are told
-apart by their order. An empty table gives an empty mix. Reruns agree: the order comes from MD5 of seed, doc_id and text.
+are taken with 0 words. A null source is a source that sorts last. Repeated rows are separate documents, and null ids are ids
+like others: the order comes from MD5 of seed, doc_id, source, text and the number of the row among equal ones, so that
+reruns agree, also on the same rows in other files. An empty table gives an empty mix. Texts are read whole.
 """
 
 from __future__ import annotations
@@ -19,8 +20,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from postgrain.llm.ordering import positions
 from postgrain.session import stage
 
+BUCKET_ROWS = 4096  # about, of one bucket of the shuffled order
+
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 EPOCHS = 2
@@ -56,6 +60,20 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], share: float, epo
     return steps.select("source", "place", "weight", "source_size", target.cast("double").alias("target"), "budget")
 
 
+def row_key(doc_id: Column, source: Column, text: Column) -> Column:
+    """128 bits that rows share which agree in doc_id, source and text, nulls included."""
+    plain = lambda c: F.coalesce(F.md5(c.cast("string").cast("binary")), F.lit("-"))
+    return F.md5(F.concat_ws("|", plain(doc_id), plain(source), plain(text)))
+
+
+def told_apart(rows: DataFrame, key: str) -> DataFrame:
+    """Add ``same``: the number (from 0) of each row among those with its key. Only repeated keys are ordered."""
+    counts = stage(rows.groupBy(F.col(key).alias("__met")).agg(F.count(F.lit(1)).alias("__met_n")).filter("__met_n > 1").select("__met"))
+    met = F.col(key) == F.col("__met")
+    single = rows.join(counts, met, "left_anti").withColumn("same", F.lit(0).cast("long"))
+    return single.unionByName(positions(rows.join(counts, met, "left_semi"), key, []).withColumnRenamed("pos", "same").drop("of"))
+
+
 def mix(
     docs: DataFrame,
     weights: tuple[int, ...] = WEIGHTS,
@@ -63,17 +81,21 @@ def mix(
     epochs: int = EPOCHS,
     seed: str = "mix",
     keep: tuple[str, ...] = (),
-    buckets: int = 256,
     ranges: int = 4096,
 ) -> DataFrame:
     """Every document with place in the mix: columns doc_id, ``keep``, size, source_size, target, taken, copies, finish.
 
     ``taken`` counts words over all copies and ``copies`` the times a document is taken; ``finish`` is the first virtual
-    finish time. ``buckets`` and ``ranges`` set how finely running totals are split, not what they are.
+    finish time. ``ranges`` sets how finely running totals are split, not what they are. Kept columns of these names are
+    replaced.
     """
+    keep = tuple(c for c in keep if c not in ("doc_id", "size", "source_size", "target", "taken", "copies", "finish"))
     spark = docs.sparkSession
-    order = F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    made = docs.select("doc_id", "source", *keep, word_count(F.col("text")).alias("size"), order.alias("shuffled"))
+    key = row_key(F.col("doc_id"), F.col("source"), F.col("text"))
+    narrow = stage(docs.select("doc_id", "source", *keep, word_count(F.col("text")).alias("size"), key.alias("__row_key")))
+    buckets = 1 + narrow.count() // BUCKET_ROWS
+    order = F.md5(F.concat_ws("|", F.lit(seed), F.col("__row_key"), F.col("same")))
+    made = told_apart(narrow, "__row_key").withColumn("shuffled", order).drop("__row_key", "same")
     made = stage(made.withColumn("bucket", F.shiftright(F.conv(F.substring("shuffled", 1, 8), 16, 10).cast("long") * buckets, 32)))
     by_bucket = stage(made.groupBy("source", "bucket").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("rows")))
     sizes = by_bucket.groupBy("source").agg(F.sum("words").alias("source_size"))

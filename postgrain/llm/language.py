@@ -7,7 +7,8 @@ size (3 x 65,536 buckets x bits) that is sent to the tasks.
 
 Nulls, empty texts and texts without a letter are ``und`` with score 0, as is every text when nothing could be learned.
 With a single language every text with a letter has it with score 1. Ties go to the language that sorts first. Repeated
-rows get the same answer; other columns of the input play no part.
+rows get the same answer; other columns of the input play no part. Texts are read whole, in slices. An empty table gives an
+empty result, and a model without languages.
 """
 
 from __future__ import annotations
@@ -17,16 +18,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postgrain.llm.hashing import chunks
+from postgrain.llm.workers import only
 from postgrain.session import stage
 
 BUCKETS = 1 << 16
 ORDERS = (2, 3, 4)
 ROWS = BUCKETS * len(ORDERS)
 UNKNOWN = "und"
+MOST_LANGUAGES = 256  # the driver and every task hold the model, which grows with them
 
 
 def _letters() -> np.ndarray:
@@ -111,11 +115,18 @@ def codebook(n: int, seed: int = 0) -> np.ndarray:
 
 
 def sample_by_language(docs: DataFrame, key: str, rows_per_language: int) -> DataFrame:
-    """About ``rows_per_language`` rows of each language, chosen by a hash of the key; all, where there are fewer."""
-    size = docs.groupBy(F.col("lang").alias("of_lang")).agg(F.count(F.lit(1)).alias("of_rows"))
-    place = F.pmod(F.xxhash64(F.col(key), F.lit(17)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    chosen = docs.join(F.broadcast(size), F.col("lang") == F.col("of_lang"))  # one row per language to be learned
-    return chosen.filter(place < F.lit(float(rows_per_language)) / F.col("of_rows")).select("text", "lang")
+    """About ``rows_per_language`` rows of each language, chosen by a hash of the row; all, where there are fewer.
+
+    The hash takes the key, the text and the row's place in the table, so that null and repeated keys and texts are sampled
+    like all others. More than ``MOST_LANGUAGES`` languages are refused.
+    """
+    size = stage(docs.groupBy(F.col("lang").alias("of_lang")).agg(F.count(F.lit(1)).alias("of_rows")))
+    if size.count() > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages to learn")
+    row = F.xxhash64(F.col(key), F.col("text"), F.monotonically_increasing_id())
+    placed = docs.withColumn("place", F.pmod(row, F.lit(1 << 30)) / F.lit(float(1 << 30)))
+    chosen = placed.join(F.broadcast(size), F.col("lang") == F.col("of_lang"))  # at most MOST_LANGUAGES rows
+    return chosen.filter(F.col("place") < F.lit(float(rows_per_language)) / F.col("of_rows")).select("text", "lang")
 
 
 def fit_languages(docs: DataFrame, key: str = "doc_id", rows_per_language: int = 4000, smoothing: float = 0.5) -> LanguageModel:
@@ -132,17 +143,14 @@ def fit_languages(docs: DataFrame, key: str = "doc_id", rows_per_language: int =
     place = {name: k for k, name in enumerate(languages)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((len(place), ROWS + 1), dtype=np.int64)
         for batch in batches:
             column, names = batch.column("text"), batch.column("lang").to_pylist()
             for row, raw, offsets in chunks(column):
                 found, begins = grams(raw, offsets)
                 lang = np.array([place[x] for x in names[row : row + len(offsets) - 1]])
                 rows = np.repeat(lang, np.diff(begins))
-                for buckets in found:
-                    total += np.bincount(rows * (ROWS + 1) + buckets, minlength=total.size).reshape(total.shape)
-        lang, bucket = np.nonzero(total[:, :ROWS])
-        yield pa.RecordBatch.from_arrays([pa.array(lang), pa.array(bucket), pa.array(total[lang, bucket])], ["lang_at", "bucket", "n"])
+                cell, n = np.unique(np.concatenate([rows[buckets < ROWS] * ROWS + buckets[buckets < ROWS] for buckets in found]), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(cell // ROWS), pa.array(cell % ROWS), pa.array(n)], ["lang_at", "bucket", "n"])
 
     counted = sample.coalesce(sample.sparkSession.sparkContext.defaultParallelism)
     counts = counted.mapInArrow(count, "lang_at long, bucket long, n long").groupBy("lang_at", "bucket").agg(F.sum("n").alias("n"))
@@ -175,6 +183,11 @@ def fit_languages(docs: DataFrame, key: str = "doc_id", rows_per_language: int =
     return model
 
 
+def quoted(name: str) -> str:
+    """A column's name as an expression, dots included."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def has_letter(text: Column) -> Column:
     return F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
 
@@ -182,19 +195,24 @@ def has_letter(text: Column) -> Column:
 def predict_languages(docs: DataFrame, model: LanguageModel, keep: list[str], ambiguous_below: float = 0.5) -> DataFrame:
     """Columns ``keep`` with lang_pred, score (0 to 1) and ambiguous: whether a text with letters scores under the bound.
 
-    The score is the chosen codeword's share of exp(-loss) over all codewords.
+    The score is the chosen codeword's share of exp(-loss) over all codewords. Kept columns of these names are replaced.
     """
+    keep = [c for c in keep if c not in ("lang_pred", "score", "ambiguous")]
     if not model.languages:
         return docs.select(*keep, F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(False).alias("ambiguous"))
     parts = (model.languages, model.codes, model.trust, model.weights)
     shared = docs.sparkSession.sparkContext.broadcast(parts)  # of fixed size
-    schema = docs.select(*keep).schema.add("lang_pred", "string").add("score", "double")
-    made = docs.select(*keep, F.when(has_letter(F.col("text")), F.col("text")).alias("__text"))
+    schema = docs.select(*(F.col(quoted(c)) for c in keep)).schema.add("lang_pred", "string").add("score", "double")
+    # A text that is kept goes to Python once; where there is no letter in it, it is not read.
+    sent = [F.col(quoted(c)).alias(f"k{i}") for i, c in enumerate(keep)]
+    read = f"k{keep.index('text')}" if "text" in keep else "read"
+    made = docs.select(*sent, *([] if "text" in keep else [F.col("text").alias("read")]), has_letter(F.col("text")).alias("known"))
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("language")
         m = LanguageModel(*shared.value)
         for batch in batches:
-            column = batch.column("__text")
+            column = pc.if_else(batch.column("known"), batch.column(read), pa.scalar(None, batch.column(read).type))
             name, score = np.zeros(len(column), dtype=np.int64), np.ones(len(column))
             if m.codes.size:
                 for row, raw, offsets in chunks(column):
@@ -204,7 +222,7 @@ def predict_languages(docs: DataFrame, model: LanguageModel, keep: list[str], am
                     name[here], score[here] = share.argmax(axis=1), share.max(axis=1) / share.sum(axis=1)
             known = np.asarray(column.is_valid())
             names = pa.array([m.languages[k] if ok else UNKNOWN for k, ok in zip(name.tolist(), known.tolist())], pa.string())
-            columns = [batch.column(c) for c in keep] + [names, pa.array(np.where(known, score, 0.0))]
+            columns = [batch.column(i) for i in range(len(keep))] + [names, pa.array(np.where(known, score, 0.0))]
             yield pa.RecordBatch.from_arrays(columns, [*keep, "lang_pred", "score"])
 
     out = made.mapInArrow(predict, schema)

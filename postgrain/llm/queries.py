@@ -50,7 +50,8 @@ def op3_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
 MIX_SQL = r"""
 with d as (
   select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as size,
-    md5(concat('mix|', coalesce(cast(doc_id as varchar), ''))) as shuffled from documents),
+    md5(concat('mix|', md5(concat(coalesce(md5(cast(doc_id as varchar)), '-'), '|', coalesce(md5(source), '-'), '|', coalesce(md5(text), '-'))),
+      '|', row_number() over (partition by doc_id, source, text) - 1)) as shuffled from documents),
 t as (
   select source, sum(size) as source_size, row_number() over (order by source nulls last) - 1 as place from d group by source),
 w as (select *, case place % 3 when 0 then 3 when 1 then 1 else 2 end as weight, 2 * source_size as most from t),

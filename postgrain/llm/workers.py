@@ -9,12 +9,20 @@ from typing import TypeVar
 T = TypeVar("T")
 
 
-def per_worker(key: tuple, make: Callable[[], T]) -> T:
-    """The value made for ``key`` by this worker before, else a new one.
+def only(operator: str) -> dict:
+    """What this worker keeps for ``operator``; what others kept goes, so that a worker of many jobs holds the values of one.
 
     Functions arrive in tasks with globals of their own, so what outlives a task is kept in the interpreter's ``sys``.
     """
     kept = sys.__dict__.setdefault("_postgrain_kept", {})
+    for other in [k for k in kept if k != operator]:
+        del kept[other]
+    return kept.setdefault(operator, {})
+
+
+def per_worker(key: tuple, make: Callable[[], T]) -> T:
+    """The value made for ``key`` by this worker before, else a new one. ``key`` begins with the operator's name."""
+    kept = only(key[0])
     if key not in kept:
         kept[key] = make()
     return kept[key]

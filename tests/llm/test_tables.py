@@ -10,6 +10,8 @@ import duckdb
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from postgrain.llm import fair_mix, group_join, perm_table, pii, queries, va_file
 
 
@@ -82,7 +84,7 @@ def test_reach_loses_no_link():
 
 def test_near_copies_form_no_pairs(spark, documents):
     rows = edited_texts(3, 1, 300, 3)
-    sets = group_join.document_sets(documents(rows), 5)
+    sets = group_join.document_sets(documents(rows), 5, ["doc_id"])
     assert sets.count() == len(rows)
     got = group_join.link_documents(documents(rows)).collect()
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == brute_components(rows)
@@ -229,16 +231,18 @@ def test_trees_find_planted_spans(spark, documents):
         assert [(name, rows[k][int(a) : int(b)]) for name, a, b in spans[k]] == [(kind, w) for w in want], text
 
 
-def test_mix_against_sql(spark, documents, odd, tmp_path):
+def test_mix_against_sql(spark, documents, odd, tmp_path, monkeypatch):
     rng = random.Random(8)
     rows = [(k, "w " * rng.choice([0, 1, 5, 60]), "en", rng.choice(["a", "a", "a", "b", None, "é"])) for k in range(400)]
+    rows += [(None, f"x {k % 5} y", "en", "a") for k in range(60)] + [(7, "same words", "en", "b")] * 9
     for docs in (documents(rows), odd, documents([])):
         file = f"{tmp_path}/documents-{docs.count()}.parquet"
         docs.toPandas().astype({"doc_id": "Int64"}).to_parquet(file)
+        monkeypatch.setattr(fair_mix, "BUCKET_ROWS", 50)
         con = duckdb.connect()
         con.execute(f"create view documents as select * from '{file}'")
         want = con.sql(queries.MIX_SQL).fetchall()
-        got = fair_mix.mix(docs, buckets=8, ranges=16).collect()
+        got = fair_mix.mix(docs, ranges=16).collect()
         assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
 
 
@@ -253,6 +257,32 @@ def test_mix_reaches_targets(spark, documents):
         assert all(r.taken <= 2 * r.size for r in mine)
 
 
+def test_mix_of_null_and_equal_rows(spark, documents):
+    """Null ids are shuffled like others, reruns on other partitions agree, and the stage returns the mix."""
+    import corpus_pipeline as pipe
+
+    rng = random.Random(3)
+    rows = [(None, f"t{k} " + "w " * rng.randrange(1, 60), "en", "ab"[k % 2]) for k in range(600)]
+    rows += [(1, "one two three", "en", "a")] * 40 + [(None, None, "en", "b")] * 5 + [(2, "lone " * 30, "en", "c")]
+    docs = documents(rows)
+    key = fair_mix.row_key(F.col("doc_id"), F.col("source"), F.col("text"))
+
+    def taken(docs):
+        return sorted((r.k, r.size, r.copies) for r in fair_mix.mix(docs.withColumn("k", key), keep=("k",)).collect())
+
+    first = taken(docs)
+    assert first == taken(docs.repartition(7, "text"))
+    sizes = [[size for k, size, copies in first if copies == c and size > 3] for c in (1, 2)]
+    assert all(sizes) and abs(np.mean(sizes[0]) - np.mean(sizes[1])) < 8
+    total = {}
+    for k, _, copies in first:
+        total[k] = total.get(k, 0) + copies
+    got = {}
+    for r in pipe.source_mix(spark, docs, "").withColumn("k", key).collect():
+        got[r.k] = got.get(r.k, 0) + 1
+    assert got == {k: n for k, n in total.items() if n}
+
+
 def test_near_duplicates_of_null_and_repeated_ids(spark, documents):
     """One row of a group stays, also where ids are null or stand in several rows; wordless rows are in no group."""
     import corpus_pipeline as pipe

@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from postgrain.llm import byte_bpe, hashing, language, page_tree, simhash, token_cache
 
@@ -214,3 +215,38 @@ def test_messages_by_enumeration():
         if k:
             want = [sum(w for y, w in weight.items() if (y[parent[k]], y[k]) == ab) / total for ab in ((0, 0), (0, 1), (1, 0), (1, 1))]
             assert pairs[k] == pytest.approx(want)
+
+
+def test_language_sample_of_null_ids(spark, documents):
+    """Rows that share an id, or a text, are sampled like others; kept columns with clashing names are replaced."""
+    rows = [(None, f"the house of number {k % 50} is here", "en", "a") for k in range(3000)]
+    rows += [(5, "la maison de la ville est ici", "fr", "b")] * 3000
+    sample = language.sample_by_language(documents(rows), "doc_id", 600)
+    counts = {r.lang: r["count"] for r in sample.groupBy("lang").count().collect()}
+    assert all(480 < counts[x] < 720 for x in ("en", "fr"))
+    model = language.fit_languages(documents(rows), rows_per_language=100)
+    docs = documents(rows[-1:] + rows[:1]).withColumn("a.b", F.lit(1))
+    got = language.predict_languages(docs, model, ["doc_id", "score", "a.b", "text"])
+    assert got.columns == ["doc_id", "a.b", "text", "lang_pred", "score", "ambiguous"]
+    assert sorted((str(r.doc_id), r.text, r.lang_pred) for r in got.collect()) == [("5", rows[-1][1], "fr"), ("None", rows[0][1], "en")]
+    with pytest.raises(ValueError):
+        language.fit_languages(documents([(k, "some words", f"l{k}", "a") for k in range(language.MOST_LANGUAGES + 1)]))
+
+
+def test_worker_keeps_one_operator():
+    from postgrain.llm.workers import per_worker
+
+    assert per_worker(("test_a", 1), lambda: "x") == "x" and per_worker(("test_a", 1), lambda: "y") == "x"
+    per_worker(("test_b", 1), lambda: "z")
+    assert per_worker(("test_a", 1), lambda: "y") == "y"
+
+
+def test_byte_cache_is_bounded(monkeypatch):
+    import public_tokenizers
+
+    bpe = byte_bpe.ByteBpe.load(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    monkeypatch.setattr(byte_bpe, "CACHED_BYTES", 40 * byte_bpe.ENTRY_BYTES)
+    bpe.room = byte_bpe.CACHED_BYTES
+    text = " ".join(f"word{k}" for k in range(500))
+    assert bpe.decode(bpe.encode(text)) == text.encode()
+    assert len(bpe.cache) <= 41 and len(bpe.older) <= 41
