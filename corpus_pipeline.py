@@ -13,9 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postgrain.llm.byte_bpe import encode_and_check
-from postgrain.llm.fair_mix import mix
+from postgrain.llm.fair_mix import mix, row_key
 from postgrain.llm.group_join import link_rows
 from postgrain.llm.language import UNKNOWN, fit_languages, predict_languages
+from postgrain.llm.ordering import positions
 from postgrain.llm.pii import find, redacted, select, train
 from postgrain.session import stage
 
@@ -78,13 +79,22 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it; rows that agree in doc_id, source and text share their copies evenly."""
+    """Each document as often as the mix takes it. Of rows that agree in doc_id, source and text the first ones take one more,
+    where the copies that these rows have in the mix do not divide evenly.
+    """
 
     def work(docs: DataFrame) -> DataFrame:
-        keyed = docs.withColumn("__key", F.xxhash64("doc_id", "source", "text"))
-        taken = mix(keyed, keep=("__key",)).groupBy(F.col("__key").alias("__of")).agg(F.round(F.avg("copies")).cast("int").alias("__copies"))
-        joined = keyed.join(taken.filter("__copies > 0"), F.col("__key") == F.col("__of"))
-        return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
+        keyed = docs.withColumn("__key", row_key(F.col("doc_id"), F.col("source"), F.col("text")))
+        of = F.col("__key").alias("__of")
+        taken = mix(keyed, keep=("__key",)).groupBy(of).agg(F.sum("copies").alias("__all"), F.count(F.lit(1)).alias("__n"))
+        taken = stage(taken.filter("__all > 0"))
+        own = F.col("__key") == F.col("__of")
+        single = keyed.join(taken.filter("__n = 1"), own).withColumn("__copies", F.col("__all"))
+        equal = positions(keyed.join(taken.filter("__n > 1"), own), "__key", [])
+        more = (F.col("pos") < F.col("__all") % F.col("__n")).cast("long")
+        equal = equal.withColumn("__copies", F.floor(F.col("__all") / F.col("__n")) + more).drop("pos", "of")
+        both = single.unionByName(equal).filter("__copies > 0")
+        return both.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))))
 
     return shielded(docs, work)
 
