@@ -5,10 +5,10 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
-from pyspark import TaskContext
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -21,6 +21,8 @@ from postgrain.session import stage
 
 # Training defaults and the optimiser's constants.
 FEATURES, L1, LEARNING_RATE, EPOCHS, BATCH, SEED = 64, 0.05, 1e-3, 600, 128, 42
+WORKERS = 8  # models that are trained side by side and averaged
+CHUNK = 4096  # vectors that a worker trains on at a time
 BETA1, BETA2, ADAM_EPS, NORM_FLOOR = 0.9, 0.999, 1e-8, 1e-8
 
 NAMES = ("W_enc", "b_enc", "W_dec", "b_dec")
@@ -78,13 +80,9 @@ def _gradients(p: dict[str, np.ndarray], x: np.ndarray, l1: float) -> tuple[dict
     return grads, float((error**2).sum(1).mean())
 
 
-def _train_partition(
-    x: np.ndarray, state: dict[str, dict[str, np.ndarray]], step: int, epochs: range, cfg: dict, rng: np.random.Generator
-) -> tuple[dict[str, dict[str, np.ndarray]], list[tuple[int, float, float]]]:
-    """Adam over shuffled mini-batches; decoder rows are made unit length after every step."""
-    w = {k: v.copy() for k, v in state["w"].items()}
-    m = {k: v.copy() for k, v in state["m"].items()}
-    s = {k: v.copy() for k, v in state["s"].items()}
+def _train_chunk(x: np.ndarray, state: dict, step: int, epochs: range, cfg: dict, rng: np.random.Generator) -> list[tuple[int, float, float]]:
+    """Adam over shuffled mini-batches, in place on ``state``; decoder rows are made unit length after every step."""
+    w, m, s = state["w"], state["m"], state["s"]
     history = []
     for epoch in epochs:
         order = rng.permutation(len(x))
@@ -100,9 +98,35 @@ def _train_partition(
                 w[k] = w[k] - rate * m[k] / (np.sqrt(s[k]) + eps)
             w["W_dec"] = unit_rows(w["W_dec"])
             recon += loss
-        active = float((x @ w["W_enc"].T + w["b_enc"] > 0).sum())
-        history.append((epoch, recon, active))
-    return {"w": w, "m": m, "s": s}, history
+        history.append((epoch, recon, _active(x, w)))
+    return history
+
+
+def _active(x: np.ndarray, w: dict[str, np.ndarray]) -> float:
+    return float((x @ w["W_enc"].T + w["b_enc"] > 0).sum())
+
+
+def _chunks(batches: Iterator[pd.DataFrame], rows: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Each worker's vectors in pieces of ``rows``, however the stream is cut; workers follow each other."""
+    of, held = -1, np.zeros((0, 0))
+    for batch in batches:
+        for worker, part in batch.groupby("worker", sort=True):
+            if worker != of and len(held):
+                yield of, held
+                held = held[:0]
+            new = np.stack(part["x"].to_numpy()).astype(np.float64)
+            of, held = worker, np.concatenate([held, new]) if len(held) else new
+            while len(held) >= rows:
+                yield of, held[:rows]
+                held = held[rows:]
+    if len(held):
+        yield of, held
+
+
+def sae_vectors(diffs: DataFrame, workers: int = WORKERS, key: str = "pair_id", col: str = "diff") -> DataFrame:
+    """The vectors as training reads them, in the shared folder: a worker by the hash of the key, and an order."""
+    worker = F.pmod(F.xxhash64(key), F.lit(workers)).cast("int").alias("worker")
+    return stage(diffs.select(worker, F.xxhash64(key, F.lit(1)).alias("place"), F.col(col).cast("array<float>").alias("x")))
 
 
 def sae_fit(
@@ -114,72 +138,80 @@ def sae_fit(
     batch: int = BATCH,
     seed: int = SEED,
     local_epochs: int = 10,
-    rows_per_task: int = 20_000,
+    workers: int = WORKERS,
+    chunk: int = CHUNK,
     key: str = "pair_id",
     col: str = "diff",
+    vectors: DataFrame | None = None,
 ) -> tuple[Sae, DataFrame]:
     """Train on unit vectors; returns the weights and the history ``(epoch, recon, density)``.
 
-    Data-parallel: the vectors are spread once by key into tasks of about ``rows_per_task`` rows and kept there. Every
-    round each task trains ``local_epochs`` epochs from the current weights; Spark averages weights and optimiser
-    moments by row count, and only the averaged model (its size is fixed) comes back to the driver. With one task this
-    is plain mini-batch training. A lost executor's task is repeated from the staged table with the same seed.
+    Data-parallel in the same way at every size: a vector belongs to one of ``workers`` by the hash of its key. Every round
+    each worker reads its vectors once, in chunks of ``chunk`` rows, and trains ``local_epochs`` epochs on each chunk in
+    turn, from the current weights; so a task holds one chunk, however many vectors there are. Spark averages weights and
+    optimiser moments by row count, and only the averaged model (its size is fixed) comes back to the driver. The result
+    depends on the number of workers, never on partitions or cores. A lost task is repeated from the written table with
+    the same seed. In the history the last epoch of each round has the density of the averaged model, others that of the
+    workers' own weights; ``recon`` is the loss while training. ``vectors`` from ``sae_vectors`` spare the writing.
     """
     spark = diffs.sparkSession
-    data = stage(diffs.select(key, F.col(col).cast("array<float>").alias("x")))
-    n, dim = data.agg(F.count(F.lit(1)), F.max(F.size("x"))).first()
-    if not n:
+    data = vectors if vectors is not None else sae_vectors(diffs, workers, key, col)
+    sizes = data.groupBy("worker").agg(F.count(F.lit(1)).alias("n"), F.max(F.size("x")).alias("dim")).collect()  # a row per worker
+    if not sizes:
         raise ValueError("no vectors to train on")
-    tasks = math.ceil(n / rows_per_task)
-    data = data.repartition(tasks, key).sortWithinPartitions(key).select("x").persist()
+    n, dim = sum(r.n for r in sizes), max(r.dim for r in sizes)
+    # About one worker a partition; where two meet they follow each other.
+    data = data.repartitionByRange(workers, "worker").sortWithinPartitions("worker", "place", "x").select("worker", "x").persist()
 
     model = Sae.initial(dim, features, seed)
     zeros = {k: np.zeros_like(v) for k, v in model.params.items()}
     state = {"w": model.params, "m": zeros, "s": zeros}
-    cfg = {"l1": l1, "lr": lr, "batch": batch}
-    steps_per_epoch = math.ceil(math.ceil(n / tasks) / batch)
-    history: list[tuple[int, float, float]] = []
+    cfg = {"l1": l1, "lr": lr, "batch": batch, "chunk": chunk, "seed": seed}
+    steps_per_epoch = math.ceil(math.ceil(n / len(sizes)) / batch)
+    history: dict[int, list[float]] = {}
     try:
         for first in range(0, epochs, local_epochs):
             span = range(first, min(first + local_epochs, epochs))
-            shared = spark.sparkContext.broadcast(state)
-            state, recorded = _round(data, shared, first * steps_per_epoch, span, cfg, seed)
+            state, recorded, before = _round(data, state, first * steps_per_epoch, span, cfg)
             state["w"]["W_dec"] = unit_rows(state["w"]["W_dec"])
-            history += [(e, recon, active / (n * features)) for e, recon, active in recorded]
-            shared.destroy()
+            if first:
+                history[first - 1][1] = before
+            history |= {epoch: [recon, active] for epoch, recon, active in recorded}
+        if history:
+            history[epochs - 1][1] = _round(data, state, 0, range(epochs, epochs), cfg)[2]
     finally:
         data.unpersist()
-    frame = spark.createDataFrame(sorted(history), "epoch int, recon double, density double")
-    return Sae(state["w"]), frame
+    rows = [(epoch, recon, active / (n * features)) for epoch, (recon, active) in sorted(history.items())]
+    return Sae(state["w"]), spark.createDataFrame(rows, "epoch int, recon double, density double")
 
 
-def _round(data: DataFrame, shared, step: int, span: range, cfg: dict, seed: int):
-    """One round on all tasks: the averaged state and the summed history."""
+def _round(data: DataFrame, state: dict, step: int, span: range, cfg: dict) -> tuple[dict, list[tuple[int, float, float]], float]:
+    """One round on all workers: the averaged state, the summed history, and how often ``state`` itself is active."""
+    shared = data.sparkSession.sparkContext.broadcast(state)  # the size of the model
 
     def train(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parts = [np.stack(b["x"].to_numpy()) for b in batches if len(b)]
-        if not parts:
-            return
-        x = np.concatenate(parts).astype(np.float64)
-        rng = np.random.default_rng([seed, span.start, TaskContext.get().partitionId()])
-        trained, recorded = _train_partition(x, shared.value, step, span, cfg, rng)
-        rows = [
-            (f"{kind}.{name}", i, v, float(len(x)))
-            for kind, params in trained.items()
-            for name, matrix in params.items()
-            for i, v in enumerate(matrix)
-        ]
-        rows += [("history", epoch, np.array([recon, active]), 1.0) for epoch, recon, active in recorded]
-        yield pd.DataFrame(rows, columns=["param", "row", "v", "weight"])
+        given = shared.value
+        for worker, pieces in groupby(_chunks(batches, cfg["chunk"]), key=lambda piece: piece[0]):
+            own = {kind: {k: v.copy() for k, v in params.items()} for kind, params in given.items()}
+            recorded, before, n, taken = {}, 0.0, 0, step
+            for k, (_, x) in enumerate(pieces):
+                before, n = before + _active(x, given["w"]), n + len(x)
+                rng = np.random.default_rng([cfg["seed"], span.start, worker, k])
+                for epoch, recon, active in _train_chunk(x, own, taken, span, cfg, rng):
+                    recorded[epoch] = recorded.get(epoch, 0.0) + np.array([recon, active])
+                taken += len(span) * math.ceil(len(x) / cfg["batch"])
+            rows = [(f"{kind}.{k}", i, v, float(n)) for kind, params in own.items() for k, matrix in params.items() for i, v in enumerate(matrix)]
+            rows += [("history", epoch, values, 1.0) for epoch, values in recorded.items()] + [("before", 0, np.array([before]), 1.0)]
+            yield pd.DataFrame(rows, columns=["param", "row", "v", "weight"])
 
     out = data.mapInPandas(train, "param string, row int, v array<double>, weight double")
     mean = Summarizer.mean(array_to_vector("v"), F.col("weight"))
-    merged = out.groupBy("param", "row").agg(vector_to_array(mean).alias("v"), F.count(F.lit(1)).alias("tasks"))
+    merged = out.groupBy("param", "row").agg(vector_to_array(mean).alias("v"), F.count(F.lit(1)).alias("workers"))
     rows = sorted(merged.collect(), key=lambda r: (r.param, r.row))  # the size of the model
-    state: dict[str, dict[str, np.ndarray]] = {}
-    for kind in ("w", "m", "s"):
-        state[kind] = {k: np.array([r.v for r in rows if r.param == f"{kind}.{k}"]) for k in NAMES}
-    return state, [(r.row, r.v[0] * r.tasks, r.v[1] * r.tasks) for r in rows if r.param == "history"]
+    shared.destroy()
+    new = {kind: {k: np.array([r.v for r in rows if r.param == f"{kind}.{k}"]) for k in NAMES} for kind in ("w", "m", "s")}
+    before = next(r.v[0] * r.workers for r in rows if r.param == "before")
+    return new, [(r.row, r.v[0] * r.workers, r.v[1] * r.workers) for r in rows if r.param == "history"], before
 
 
 def sae_encode(df: DataFrame, sae: Sae, col: str = "diff") -> DataFrame:
@@ -221,11 +253,11 @@ def axis_probe(diffs: DataFrame, axes: Sequence[str], max_iter: int = 100, col:
         rows.unpersist()
 
 
-def l1_sweep(diffs: DataFrame, l1s: Sequence[float], col: str = "diff", **fit) -> DataFrame:
-    """Train once per coefficient: ``(l1, features, dead, density)``."""
-    found = None
+def l1_sweep(diffs: DataFrame, l1s: Sequence[float], col: str = "diff", key: str = "pair_id", workers: int = WORKERS, **fit) -> DataFrame:
+    """Train once per coefficient on vectors written once: ``(l1, features, dead, density)``."""
+    found, vectors = None, sae_vectors(diffs, workers, key, col)
     for l1 in l1s:
-        sae, _ = sae_fit(diffs, l1=l1, col=col, **fit)
+        sae, _ = sae_fit(diffs, l1=l1, workers=workers, vectors=vectors, **fit)
         acts = sae_encode(diffs.select(col), sae, col).select(F.posexplode("activations").alias("feature", "value"))
         density = acts.groupBy("feature").agg(F.avg((F.col("value") > 0).cast("double")).alias("density"))
         row = density.agg(

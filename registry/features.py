@@ -311,23 +311,23 @@ def feature_report(spark, sf):
 
 @query("sae_fit_report")
 def sae_fit_report(spark, sf):
-    """Train on all pairs (few epochs), then report the learned features."""
+    """Train on all pairs with the default features and epochs, then report the learned features."""
     _, _, report = plan.fit_and_report(
-        _diffs(spark, sf), _rewrites(spark, sf), fx.AXES, features=16, epochs=20, local_epochs=10
+        _diffs(spark, sf), _rewrites(spark, sf), fx.AXES, local_epochs=100
     )
     return report.select("f", "density", "category", "best_axis", "best_lift", F.size("examples").alias("n_examples"))
 
 
 @query("sae_history")
 def sae_history(spark, sf):
-    return ae.sae_fit(_diffs(spark, sf), features=16, epochs=20, local_epochs=10)[1]
+    return ae.sae_fit(_diffs(spark, sf), local_epochs=100)[1]
 
 
 @query("axis_probe")
 def axis_probe(spark, sf):
-    return ae.axis_probe(_diffs(spark, sf), fx.AXES, max_iter=20)
+    return ae.axis_probe(_diffs(spark, sf), fx.AXES)
 
 
 @query("l1_sweep")
 def l1_sweep(spark, sf):
-    return ae.l1_sweep(_diffs(spark, sf), [0.05, 0.10], features=16, epochs=10, local_epochs=10)
+    return ae.l1_sweep(_diffs(spark, sf), [0.05, 0.10], local_epochs=100)

@@ -128,10 +128,10 @@ def test_gradients_match_finite_differences():
             assert abs((loss(up) - loss(down)) / 2e-6 - grads[name][index]) < 1e-5
 
 
-@pytest.mark.parametrize("rows_per_task", [1000, 150])
-def test_sae_training(spark, directions, rows_per_task):
+@pytest.mark.parametrize("workers", [1, 8])
+def test_sae_training(spark, directions, workers):
     x, df, axes = directions
-    sae, history = ae.sae_fit(df, features=8, epochs=60, batch=64, local_epochs=20, rows_per_task=rows_per_task)
+    sae, history = ae.sae_fit(df, features=8, epochs=60, batch=16, local_epochs=20, workers=workers)
     assert np.allclose(np.linalg.norm(sae.params["W_dec"], axis=1), 1.0)
     rows = history.orderBy("epoch").collect()
     assert [r.epoch for r in rows] == list(range(60)) and all(0 <= r.density <= 1 for r in rows)
@@ -149,16 +149,59 @@ def test_sae_training(spark, directions, rows_per_task):
     assert all(np.allclose(again.params[k], p[k]) for k in ae.NAMES)
 
 
-def test_one_task_is_plain_training(spark, directions):
-    """With one task the result is the sequence of local epochs, whatever the rounds are."""
-    x, df, _ = directions
-    fit = dict(features=4, epochs=4, batch=64, rows_per_task=1000)
-    model, _ = ae.sae_fit(df, local_epochs=4, **fit)
-    state = {"w": ae.Sae.initial(16, 4).params}
+def averaged_training(df, workers, chunk, epochs, local_epochs, features, batch):
+    """The whole training in numpy: workers by the hash of the key, chunks in turn, averages after each round."""
+    rows = df.select(
+        F.pmod(F.xxhash64("pair_id"), F.lit(workers)).alias("w"), F.xxhash64("pair_id", F.lit(1)).alias("place"), F.col("diff").cast("array<float>").alias("x")
+    ).collect()
+    parts = {}
+    for r in sorted(rows, key=lambda r: (r.w, r.place)):
+        parts.setdefault(r.w, []).append(r.x)
+    parts = {w: np.array(p, dtype=np.float64) for w, p in parts.items()}
+    n, dim = len(rows), len(rows[0].x)
+    steps = -(-(-(-n // len(parts))) // batch)
+    state = {"w": ae.Sae.initial(dim, features).params}
     state["m"] = state["s"] = {k: np.zeros_like(v) for k, v in state["w"].items()}
-    rng = np.random.default_rng([ae.SEED, 0, 0])
-    want, _ = ae._train_partition(x, state, 0, range(4), {"l1": ae.L1, "lr": ae.LEARNING_RATE, "batch": 64}, rng)
-    assert all(np.allclose(model.params[k], want["w"][k], atol=1e-6) for k in ae.NAMES)
+    cfg, density = {"l1": ae.L1, "lr": ae.LEARNING_RATE, "batch": batch}, {}
+    for first in range(0, epochs, local_epochs):
+        span, total = range(first, min(first + local_epochs, epochs)), None
+        for w, x in parts.items():
+            own = {kind: {k: v.copy() for k, v in params.items()} for kind, params in state.items()}
+            taken = first * steps
+            for k, at in enumerate(range(0, len(x), chunk)):
+                piece = x[at : at + chunk]
+                ae._train_chunk(piece, own, taken, span, cfg, np.random.default_rng([ae.SEED, first, w, k]))
+                taken += len(span) * -(-len(piece) // batch)
+            part = {kind: {k: v * len(x) / n for k, v in params.items()} for kind, params in own.items()}
+            total = part if total is None else {kind: {k: total[kind][k] + v for k, v in params.items()} for kind, params in part.items()}
+        state = total
+        state["w"]["W_dec"] = ae.unit_rows(state["w"]["W_dec"])
+        density[span[-1]] = sum(ae._active(x, state["w"]) for x in parts.values()) / (n * features)
+    return state["w"], density
+
+
+@pytest.mark.parametrize("workers, chunk", [(1, 1000), (8, 1000), (3, 70)])
+def test_sae_training_by_numpy(spark, directions, workers, chunk):
+    _, df, _ = directions
+    fit = dict(features=4, epochs=7, batch=16, local_epochs=3)
+    want, density = averaged_training(df, workers, chunk, **fit)
+    for given in (df, df.repartition(13, "axis")):
+        model, history = ae.sae_fit(given, workers=workers, chunk=chunk, **fit)
+        assert all(np.allclose(model.params[k], want[k], atol=1e-9) for k in ae.NAMES)
+        got = {r.epoch: r.density for r in history.collect()}
+        assert sorted(got) == list(range(7)) and all(abs(got[e] - d) < 1e-12 for e, d in density.items())
+
+
+def test_sae_workers_do_not_follow_the_rows(spark, monkeypatch):
+    """The same number of models is averaged at 1,000 and at 30,000 vectors, each in chunks of bounded size."""
+    seen = []
+    stack = ae._round
+    monkeypatch.setattr(ae, "_round", lambda data, *a: seen.append(data.select("worker").distinct().count()) or stack(data, *a))
+    for n in (1_000, 30_000):
+        unit = [(F.rand(k) - 0.5).cast("float") for k in range(4)]
+        df = spark.range(n).select(F.col("id").alias("pair_id"), F.array(*unit).alias("diff"))
+        assert ae.sae_fit(df, features=3, epochs=1, local_epochs=1)[1].count() == 1
+    assert set(seen) == {ae.WORKERS}
 
 
 def test_probe_and_sweep(spark, directions):
