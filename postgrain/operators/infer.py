@@ -1,6 +1,6 @@
 """Resumable batch inference: prompts, a plug-in call with retries, response parsing, and the checkpoint loop.
 
-The model call is a function from prompt to response text supplied by the user; everything around it is table work.
+The model call is a function from a request to response text supplied by the user; everything around it is table work.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from postgrain.functions.text import FENCE, strip_fence, strip_space, truncate,
 from postgrain.operators.joins import pending
 from postgrain.operators.numbering import batch_slots
 from postgrain.sources.tables import append_checkpoint, read_checkpoint
-from postgrain.session import broadcast_bounded
+from postgrain.session import broadcast_bounded, stage
 
 # The instruction texts and request formats that a model's answers depend on.
 SCORE_SYSTEM = """You are a content quality rater. Score each post from 0.0 to 1.0.
@@ -63,6 +63,19 @@ ORIGINAL POST:
 SCORE_BATCH, SCORE_CHARS = 10, 600
 LABEL_BATCH, LABEL_CHARS = 5, 500
 FALLBACK_SCORE = 0.5
+CALLS = 8  # calls in flight, unless a job names another number
+
+
+class Request(str):
+    """What the plug-in is asked: the user text, with the instruction text (or None) as ``system``."""
+
+    system: str | None = None
+
+    @staticmethod
+    def of(user: str, system: str | None) -> Request:
+        request = Request(user)
+        request.system = system
+        return request
 
 
 def label_system(cfg: Config) -> str:
@@ -141,24 +154,28 @@ def _require_json(response: str, fenced: bool) -> None:
 
 def infer_batches(
     df: DataFrame,
-    fn: Callable[[str], str | None],
-    partitions: int | None = None,
+    fn: Callable[[Request], str | None],
+    calls: int = CALLS,
     attempts: int = 3,
     expect: str = "text",
     base_delay: float = 2.0,
-    key: str = "batch_id",
+    key: Sequence[str] = ("batch_id",),
+    system: str | None = None,
 ) -> DataFrame:
     """Add ``response``, the plug-in's answer to ``prompt``; null once every attempt has raised.
 
-    Only exceptions are retried, after ``base_delay ** attempt`` seconds; when ``expect`` is ``json`` or
-    ``fenced json``, an answer that does not parse counts as one. ``partitions`` is the number of calls in flight.
+    Every request carries ``system``. Only exceptions are retried, after ``base_delay ** attempt`` seconds; when ``expect``
+    is ``json`` or ``fenced json``, an answer that does not parse counts as one. Requests are always dealt out by ``key`` to
+    ``calls`` tasks, each with one call at a time, so that a few requests do not wait for each other.
     """
-    spread = df.repartition(partitions, key) if partitions else df
+    # By a hash of the key: a repartitioning by the key itself is left out where batches come out of a grouping by it, and
+    # that grouping's few rows may then be put into one task.
+    spread = df.repartition(calls, F.xxhash64(*key))
 
     def call(prompt: str) -> str | None:
         for attempt in range(1, attempts + 1):
             try:
-                response = fn(prompt)
+                response = fn(Request.of(prompt, system))
                 if expect != "text" and response is not None:
                     _require_json(response, fenced=expect == "fenced json")
                 return response
@@ -242,32 +259,47 @@ def run_resumable(
     """
     spark = work.sparkSession
     value_columns = [c for c in spark.createDataFrame([], schema).columns if c not in keys]
-    part = F.pmod(F.xxhash64(*keys), F.lit(slices))
+    part = F.pmod(F.xxhash64(*keys), F.lit(slices)).cast("int")
+    # The work list is read once; a slice then reads its own folder of what is open.
+    left = stage(pending(work, read_checkpoint(spark, checkpoint, schema), keys).withColumn("_slice", part), ["_slice"])
     for i in range(slices):
-        todo = pending(work.filter(part == i), read_checkpoint(spark, checkpoint, schema), keys)
+        todo = left.filter(F.col("_slice") == i).drop("_slice")
         results = infer(todo).select(*keys, *value_columns).dropna(subset=value_columns, how="any")
         append_checkpoint(results, checkpoint)
     return read_checkpoint(spark, checkpoint, schema)
 
 
 def score_posts(
-    posts: DataFrame, fn: Callable[[str], str | None], checkpoint: str, size: int = SCORE_BATCH, slices: int = 1, **call
+    posts: DataFrame,
+    fn: Callable[[Request], str | None],
+    checkpoint: str,
+    size: int = SCORE_BATCH,
+    slices: int = 1,
+    system: str | None = SCORE_SYSTEM,
+    **call,
 ) -> DataFrame:
     """Agent scores ``(post_id, score)``; the fallback score is stored and so not asked for again."""
 
     def infer(todo: DataFrame) -> DataFrame:
-        return parse_scores(infer_batches(score_prompts(todo, size), fn, expect="json", **call))
+        return parse_scores(infer_batches(score_prompts(todo, size), fn, expect="json", system=system, **call))
 
     return run_resumable(posts, infer, checkpoint, ["post_id"], "post_id string, score double", slices)
 
 
 def label_posts(
-    posts: DataFrame, fn: Callable[[str], str | None], checkpoint: str, size: int = LABEL_BATCH, slices: int = 1, **call
+    posts: DataFrame,
+    fn: Callable[[Request], str | None],
+    checkpoint: str,
+    cfg: Config,
+    size: int = LABEL_BATCH,
+    slices: int = 1,
+    **call,
 ) -> DataFrame:
-    """Axes objects ``(post_id, axes_json)``; posts of a failed batch stay unfinished."""
+    """Axes objects ``(post_id, axes_json)`` for the configured axes; posts of a failed batch stay unfinished."""
+    system = label_system(cfg)
 
     def infer(todo: DataFrame) -> DataFrame:
-        return parse_label_response(infer_batches(label_prompts(todo, size), fn, expect="fenced json", **call))
+        return parse_label_response(infer_batches(label_prompts(todo, size), fn, expect="fenced json", system=system, **call))
 
     return run_resumable(posts, infer, checkpoint, ["post_id"], "post_id string, axes_json string", slices)
 
@@ -276,7 +308,7 @@ def generate_rewrites(
     worklist: DataFrame,
     axes: DataFrame,
     n_axes: int,
-    fn: Callable[[str], str | None],
+    fn: Callable[[Request], str | None],
     checkpoint: str,
     slices: int = 1,
     **call,
@@ -284,7 +316,7 @@ def generate_rewrites(
     """Rewrites ``(post_id, axis, direction, original, rewrite)`` of a work list."""
 
     def infer(todo: DataFrame) -> DataFrame:
-        return rewrite_results(infer_batches(rewrite_prompts(todo, axes, n_axes), fn, key="post_id", **call))
+        return rewrite_results(infer_batches(rewrite_prompts(todo, axes, n_axes), fn, key=("post_id", "axis"), **call))
 
     schema = "post_id string, axis string, direction string, original string, rewrite string"
     return run_resumable(worklist, infer, checkpoint, ["post_id", "axis"], schema, slices)

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postgrain.operators.filters import in_topics, is_labelled
 from postgrain.operators.joins import fetch_selected
 from postgrain.operators.quality import LinearModel, fit_quality, score_quality, training_rows
 from postgrain.operators.topn import rank_all, topn_agent, topn_pool
+from postgrain.sources.tables import latest_version, read_latest, replace_dataset
 
 POST_DEFAULTS = {"text": "", "engagement": 0}
 
@@ -81,6 +82,21 @@ def annotate(dataset: DataFrame, axes: DataFrame) -> DataFrame:
     return joined.withColumn("axes_json", F.coalesce("_new", old)).drop("_new")
 
 
+def update_dataset(spark: SparkSession, base: str, axes: DataFrame) -> DataFrame:
+    """The newest version with the axes of the labelling table, written as the next one when that labels more posts.
+
+    So answers that arrive in a later run reach the dataset, and a run without new ones writes nothing.
+    """
+    newest = latest_version(spark, base)
+    held = read_latest(spark, base).drop("version")
+    made = annotate(held, axes)
+    labelled = F.count_if(is_labelled(F.col("axes_json")))
+    before = held.agg(labelled).first()[0] if "axes_json" in held.columns else -1
+    if made.agg(labelled).first()[0] > before:
+        replace_dataset(made, base, newest + 1)
+    return read_latest(spark, base)
+
+
 def dataset_summary(dataset: DataFrame) -> DataFrame:
     return dataset.agg(
         F.count(F.lit(1)).alias("posts"),

@@ -7,7 +7,7 @@ one after the other. Folders below ``base``:
     vectors, topics, topic_info  text vectors, cluster of every post, table of clusters
     quality_model, scores, pool  classifier, score of every chosen-topic post, best posts per topic
     agent_scores, rankings       checkpoint of the scoring plug-in, all posts in its order
-    dataset/version=N            chosen posts; version 2 has the style axes
+    dataset/version=N            chosen posts; from version 2 with style axes, a version more when labels arrive later
     axes, rewrites               checkpoints of the labelling and rewriting plug-ins
     diffs/run_n=N                difference vectors of N pairs
     sae-N, history-N, report-N   weights, training course and report for these N pairs
@@ -31,7 +31,7 @@ from postgrain.plans import curation, features
 from postgrain.session import stage
 from postgrain.sources import tables as tb
 
-Answer = Callable[[str], str | None]
+Answer = Callable[[infer.Request], str | None]
 Encoder = Callable[[DataFrame], DataFrame]
 
 
@@ -50,6 +50,7 @@ class Settings:
     final: int = 150
     rewrite_posts: int = 70
     slices: int = 8
+    calls: int = infer.CALLS
     base_delay: float = 2.0
 
 
@@ -105,13 +106,12 @@ def run_dataset(
 
     scores = stored("scores", build_scores)
     pool = stored("pool", lambda: curation.candidate_pool(scores, posts, len(cfg.topics), s.pool))
-    agent = infer.score_posts(pool, score, f"{base}/agent_scores", slices=s.slices, base_delay=s.base_delay)
+    agent = infer.score_posts(pool, score, f"{base}/agent_scores", slices=s.slices, calls=s.calls, base_delay=s.base_delay)
     ranked = curation.with_agent_scores(pool, agent)
     stored("rankings", lambda: curation.rankings(ranked))
     chosen = stored("dataset/version=1", lambda: curation.final_dataset(ranked, s.final))
-    axes = infer.label_posts(chosen, label, f"{base}/axes", slices=s.slices, base_delay=s.base_delay)
-    stored("dataset/version=2", lambda: curation.annotate(chosen, axes))
-    return curation.dataset_summary(tb.read_latest(spark, f"{base}/dataset"))
+    axes = infer.label_posts(chosen, label, f"{base}/axes", cfg, slices=s.slices, calls=s.calls, base_delay=s.base_delay)
+    return curation.dataset_summary(curation.update_dataset(spark, f"{base}/dataset", axes))
 
 
 def run_features(
@@ -132,7 +132,7 @@ def run_features(
     chosen = scored.join(picked.select("post_id"), "post_id", "left_semi")
     work = ax.rewrite_worklist(chosen, names)
     done = infer.generate_rewrites(
-        work, axis_dim(spark, cfg), len(names), rewrite, f"{base}/rewrites", s.slices, base_delay=s.base_delay
+        work, axis_dim(spark, cfg), len(names), rewrite, f"{base}/rewrites", s.slices, calls=s.calls, base_delay=s.base_delay
     )
     keyed = rewrites.explode_pairs(done, names).withColumn("_key", F.concat_ws("/", "post_id", "axis"))
     pairs = stage(numbering.numbered(keyed, "_key", name="pair_id").drop("_key"))

@@ -162,19 +162,27 @@ def replace_dataset(df: DataFrame, base: str, version: int) -> str:
     return path
 
 
-def read_latest(spark: SparkSession, base: str, column: str = "version") -> DataFrame:
-    """Rows of the numerically largest completed version; the files of the others are not touched.
-
-    Versions may have different columns. The folder names decide, so no data is read to find the newest.
-    """
+def latest_version(spark: SparkSession, base: str, column: str = "version") -> int | None:
+    """The numerically largest completed version, by folder names alone; None without one."""
+    if not exists(spark, base):
+        return None
     system, hadoop_path = _file_system(spark, base)
     names = [f.getPath().getName() for f in system.listStatus(hadoop_path) if f.isDirectory()]
     whole = exists(spark, f"{base}/_SUCCESS")  # written in one go, partitioned by the version
     numbers = [int(n.split("=")[1]) for n in names if n.startswith(f"{column}=") and n.split("=")[1].isdigit()]
     done = [n for n in numbers if whole or exists(spark, f"{base}/{column}={n}/_SUCCESS")]
-    if not done:
+    return max(done, default=None)
+
+
+def read_latest(spark: SparkSession, base: str, column: str = "version") -> DataFrame:
+    """Rows of the numerically largest completed version; the files of the others are not touched.
+
+    Versions may have different columns.
+    """
+    newest = latest_version(spark, base, column)
+    if newest is None:
         raise FileNotFoundError(f"no completed {column} below {base}")
-    return spark.read.option("basePath", base).parquet(f"{base}/{column}={max(done)}")
+    return spark.read.option("basePath", base).parquet(f"{base}/{column}={newest}")
 
 
 def latest_run(names: DataFrame, col: str = "name") -> DataFrame:

@@ -5,6 +5,7 @@ The plug-in of these queries is a pure function of its prompt, so its answers ha
 
 from __future__ import annotations
 
+import json
 import re
 import uuid
 
@@ -14,8 +15,9 @@ from postgrain.config import axis_dim
 from postgrain.functions import text as tx
 from postgrain.operators import axes as ax
 from postgrain.operators import infer
+from postgrain.plans import curation
 from postgrain.session import shared_folder, spread
-from postgrain.sources.tables import append_checkpoint
+from postgrain.sources.tables import append_checkpoint, replace_dataset
 from registry import fixtures as fx
 from registry import query
 
@@ -194,6 +196,44 @@ def infer_resume(spark, sf):
     return posts.select("post_id", "topic_name").join(scores, "post_id", "left")
 
 
+def label_lengths(request: infer.Request) -> str:
+    """For every post of a batch the lengths of the user and of the instruction text."""
+    n = int(re.match(r"Score these (\d+)", request)[1])
+    return json.dumps([{"user": len(request), "system": len(request.system)}] * n)
+
+
+def label_even(request: infer.Request) -> str:
+    """As ``label_lengths``, but failing for user texts of odd length."""
+    if len(request) % 2:
+        raise RuntimeError("no answer today")
+    return label_lengths(request)
+
+
+_LATE_SQL = f"""a as (select * from posts), {_batch_sql(5, 500, 'a')},
+early as (select post_id, length(prompt) as n from slots join prompts using (batch_id) where length(prompt) % 2 = 0),
+open as (select * from posts where post_id not in (select post_id from early)),
+{_batch_sql(5, 500, 'open').replace('slots', 'slots_2').replace('prompts', 'prompts_2')},
+late as (select post_id, length(prompt) as n from slots_2 join prompts_2 using (batch_id))"""
+
+
+@query(
+    "late_labels",
+    f"""with {fx.POSTS}, {_LATE_SQL}
+select post_id, n::int as user_chars, {len(infer.label_system(fx.CONFIG))}::int as system_chars, 3::int as version from early
+union all select post_id, n::int, {len(infer.label_system(fx.CONFIG))}::int, 3::int from late""",
+)
+def late_labels(spark, sf):
+    """Labels that fail in a first run and are answered in a second one reach the next version of the dataset."""
+    base, checkpoint = _fresh(spark, "dataset"), _fresh(spark, "axes")
+    posts = fx.posts(spark, sf)
+    replace_dataset(posts.select("post_id", "topic_name", "text"), base, 1)
+    for answer in (label_even, label_lengths):
+        axes = infer.label_posts(posts, answer, checkpoint, fx.CONFIG, attempts=1)
+        newest = curation.update_dataset(spark, base, axes)
+    chars = F.from_json("axes_json", "struct<user int, system int>")
+    return newest.select("post_id", chars["user"].alias("user_chars"), chars["system"].alias("system_chars"), F.col("version").cast("int").alias("version"))
+
+
 def echo_rewrite(prompt: str) -> str:
     """The prompt's length as text; empty, and so failed, when it divides by five."""
     return "" if len(prompt) % 5 == 0 else f" rewrite of {len(prompt)} characters\n"
@@ -207,7 +247,7 @@ def echo_rewrite(prompt: str) -> str:
 def generate_rewrites(spark, sf):
     work = _requests(spark, sf)
     done = infer.generate_rewrites(
-        work, axis_dim(spark, fx.CONFIG), len(fx.AXES), echo_rewrite, _fresh(spark, "rewrites"), slices=2, partitions=8
+        work, axis_dim(spark, fx.CONFIG), len(fx.AXES), echo_rewrite, _fresh(spark, "rewrites"), slices=2
     )
     return done.select(
         "post_id", "axis", "direction", F.length("original").cast("bigint").alias("n_chars"), "rewrite"

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gzip
 import json
+import re
 import sys
 
 import pytest
@@ -22,6 +23,9 @@ from postgrain.streaming import posts as st
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # plug-ins below run in worker processes
 
 
+AXES = list(load_config().axis_names)
+
+
 def posts_frame(spark, n):
     return spark.createDataFrame([(str(i), f"post {i}") for i in range(n)], "post_id string, text string")
 
@@ -67,6 +71,46 @@ def test_label_system_lists_every_axis():
     assert all(f"- {a['name']}: {a['label_description']}" in text for a in cfg.axes)
 
 
+def axes_seen(request):
+    return json.dumps([{"seen": [a for a in AXES if f"- {a}: " in request.system]}] * int(request.split()[2]))
+
+
+def rater_seen(request):
+    return json.dumps([float(request.system == infer.SCORE_SYSTEM)] * int(request.split()[2]))
+
+
+def test_instructions_reach_the_model(spark, tmp_path):
+    posts = posts_frame(spark, 12)
+    axes = infer.label_posts(posts, axes_seen, str(tmp_path / "axes"), load_config()).collect()
+    assert len(axes) == 12 and all(json.loads(r.axes_json)["seen"] == AXES for r in axes)
+    scores = infer.score_posts(posts, rater_seen, str(tmp_path / "scores")).collect()
+    assert {r.score for r in scores} == {1.0} and len(scores) == 12
+
+
+def test_calls_in_flight(spark):
+    """Requests are dealt out to as many tasks as calls may be in flight, also from a single partition."""
+    prompts = infer.score_prompts(posts_frame(spark, 200)).coalesce(1)
+    for calls in (infer.CALLS, 3):
+        plan = infer.infer_batches(prompts, rater_seen, calls)._jdf.queryExecution().executedPlan().toString()
+        assert re.search(rf"hashpartitioning\(xxhash64\(batch_id#.*\), {calls}\), REPARTITION_BY_NUM", plan)
+    tasks = infer.infer_batches(prompts, rater_seen).select(F.spark_partition_id().alias("p")).distinct().count()
+    assert tasks > infer.CALLS // 2
+
+
+def test_work_is_read_once(spark, tmp_path):
+    """Slices read what is open from their own folders; the work list is not read again for each."""
+    reads = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            reads.add(len(batch))
+            yield batch
+
+    posts = posts_frame(spark, 40).mapInPandas(counted, "post_id string, text string")
+    done = infer.run_resumable(posts, lambda todo: todo.withColumn("score", F.lit(1.0)), str(tmp_path / "c"), ["post_id"], "post_id string, score double", 5)
+    assert done.count() == 40 and reads.value == 40
+
+
 def test_prompt_has_every_slot_once(spark):
     prompts = infer.score_prompts(posts_frame(spark, 23)).collect()
     assert sorted(r.n for r in prompts) == [3, 10, 10]
@@ -168,11 +212,11 @@ def test_failed_labels_are_tried_again(spark, tmp_path):
     path = str(tmp_path / "labels")
     posts = posts_frame(spark, 12)
     first, _ = counted(spark, lambda p: None if "post 3\n" in p + "\n" else json.dumps([{"tone": 0.2}] * n_posts(p)))
-    stored = infer.label_posts(posts, first, path, base_delay=0.01)
+    stored = infer.label_posts(posts, first, path, load_config(), base_delay=0.01)
     done = stored.count()
     assert 0 < done < 12
     second, calls = counted(spark, lambda p: "```json\n" + json.dumps([{"tone": 0.7}] * n_posts(p)) + "\n```")
-    stored = infer.label_posts(posts, second, path, base_delay=0.01)
+    stored = infer.label_posts(posts, second, path, load_config(), base_delay=0.01)
     values = [json.loads(r.axes_json)["tone"] for r in stored.collect()]
     assert len(values) == 12 and values.count(0.7) == 12 - done and calls.value == -(-(12 - done) // 5)
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from postgrain.config import Config, load_config
 from postgrain.plans import run
+from postgrain.sources import tables as tb
 from registry import fixtures as fx
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -36,6 +37,14 @@ def rewrite(prompt):
     return f"{text[:200]} {axis} {axis} {axis}"
 
 
+def moody(prompt):
+    """No answer for batches that are not full; every configured axis must be in the instruction text."""
+    assert all(f"- {a}: " in prompt.system for a in AXES)
+    if not prompt.startswith("Score these 5 "):
+        raise RuntimeError("no answer today")
+    return label(prompt)
+
+
 def broken(prompt):
     raise RuntimeError("must not be called")
 
@@ -51,7 +60,11 @@ def test_both_jobs(spark, tmp_path):
         sample=950, dims=3, eps=0.05, min_samples=5, min_cluster_size=8, min_df=1, pool=30, final=12,
         rewrite_posts=4, slices=2, base_delay=0.01,
     )
-    summary = run.run_dataset(spark, base, cfg, score, label, settings=settings).first()
+    early = run.run_dataset(spark, base, cfg, score, moody, settings=settings).first()
+    first = spark.read.parquet(f"{base}/dataset/version=2")
+    assert early.missing > 0 and early.labelled + early.missing == early.posts == first.count()
+    summary = run.run_dataset(spark, base, cfg, broken, label, settings=settings).first()  # late answers: a version more
+    assert tb.latest_version(spark, f"{base}/dataset") == 3 and first.count() == summary.posts
     assert summary.topics == 2 and 12 < summary.posts <= 24 and summary.labelled == summary.posts
     topics = spark.read.parquet(f"{base}/topics")
     assert topics.count() == 1000 and topics.filter("topic = -1").count() < 1000
@@ -66,5 +79,5 @@ def test_both_jobs(spark, tmp_path):
     assert spark.read.parquet(f"{base}/rewrites").count() == 8 * 7
 
     again = run.run_dataset(spark, base, cfg, broken, broken, settings=settings).first()
-    assert again == summary
+    assert again == summary and tb.latest_version(spark, f"{base}/dataset") == 3
     assert run.run_features(spark, base, cfg, broken, settings=settings).count() == 8
