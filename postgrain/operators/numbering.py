@@ -13,6 +13,19 @@ from pyspark.sql import functions as F
 from postgrain.session import broadcast_bounded
 
 
+BUCKET_ROWS = 100_000  # at most, about, that a task orders
+
+
+def _digits(df: DataFrame, digits: int | None) -> int:
+    """Hex digits that split the counted rows into buckets of about ``BUCKET_ROWS`` at most; three up to 400 million rows."""
+    if digits is not None:
+        return digits
+    rows, enough = df.count(), 3
+    while rows > BUCKET_ROWS * 16**enough:
+        enough += 1
+    return enough
+
+
 def _hashed(df: DataFrame, key: str, seed: int, digits: int) -> DataFrame:
     text = F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))
     hashed = df.withColumn("_hash", F.md5(text.cast("binary")))
@@ -26,8 +39,9 @@ def _offsets(hashed: DataFrame) -> DataFrame:
     return sizes.withColumn("_offset", F.coalesce(F.sum("_size").over(before), F.lit(0)))
 
 
-def numbered(df: DataFrame, key: str, seed: int = 42, digits: int = 3, name: str = "pos") -> DataFrame:
+def numbered(df: DataFrame, key: str, seed: int = 42, digits: int | None = None, name: str = "pos") -> DataFrame:
     """Add the 1-based position of each row in seeded hash order of ``key``."""
+    digits = _digits(df, digits)
     hashed = _hashed(df, key, seed, digits)
     offsets = broadcast_bounded(_offsets(hashed.select("_bucket")), 16**digits)
     inside = F.row_number().over(Window.partitionBy("_bucket").orderBy("_hash", key))
@@ -38,7 +52,7 @@ def numbered(df: DataFrame, key: str, seed: int = 42, digits: int = 3, name: str
     )
 
 
-def batch_slots(df: DataFrame, key: str, size: int, seed: int = 42, digits: int = 3) -> DataFrame:
+def batch_slots(df: DataFrame, key: str, size: int, seed: int = 42, digits: int | None = None) -> DataFrame:
     """Add ``batch_id`` (from 0) and ``slot`` (from 1): full batches of ``size``, with one shorter batch at the end."""
     pos = F.col("_pos") - 1
     return (
@@ -49,11 +63,12 @@ def batch_slots(df: DataFrame, key: str, size: int, seed: int = 42, digits: int
     )
 
 
-def sample_exact(df: DataFrame, key: str, n: int, seed: int = 42, digits: int = 3) -> DataFrame:
+def sample_exact(df: DataFrame, key: str, n: int, seed: int = 42, digits: int | None = None) -> DataFrame:
     """Uniform sample of exactly ``min(n, rows)`` rows without replacement.
 
     Only rows of the buckets that can reach the sample, about ``n`` plus one bucket, leave their map task.
     """
+    digits = _digits(df, digits)
     hashed = _hashed(df, key, seed, digits)
     offsets = _offsets(hashed.select("_bucket")).filter(F.col("_offset") < n)
     inside = F.row_number().over(Window.partitionBy("_bucket").orderBy("_hash", key))

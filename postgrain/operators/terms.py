@@ -63,7 +63,7 @@ def ngram_counts(
     totals = counts.groupBy("term").agg(F.count(F.lit(1)).alias("_df"), F.sum("tf").alias("_total"))
     vocabulary = totals.filter((F.col("_df") >= min_df) & (F.col("_df") <= F.lit(max_df) * groups))
     if max_features is not None:
-        vocabulary = topn(vocabulary, [], [F.col("_total").desc(), F.col("term")], max_features)
+        vocabulary = topn(vocabulary, [], [F.col("_total").desc(), F.col("term")], max_features, value=F.col("_total"))
     return stage(counts.join(vocabulary.select("term"), "term", "left_semi").select(group, "term", "tf"))
 
 

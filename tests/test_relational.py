@@ -3,17 +3,20 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.errors import PySparkException
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from postgrain.config import Config, axis_dim, config_violations, load_config, require_valid, topic_dim
 from postgrain.operators import axes as ax
 from postgrain.operators import filters, joins, numbering, topn
 from postgrain.plans import curation as plan
+from postgrain.session import shared_folder
 
 
 def values(df, *cols):
@@ -157,6 +160,41 @@ def test_dedupe(spark):
     assert values(topn.dedupe(df, ["k"], ["pos"], keep="first"), "k", "v") == [("j", "z"), ("k", "a")]
 
 
+@pytest.mark.parametrize("n", [1, 50, 1001, 30_000])
+def test_topn_by_threshold(spark, n):
+    """The histogram keeps what sorting would, and little more, without Spark's limit before the shuffle."""
+    key = "spark.sql.optimizer.windowGroupLimitThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        odd = F.when(F.col("id") % 97 == 0, None).when(F.col("id") % 101 == 0, float("nan")).when(F.col("id") % 103 == 0, float("inf")).when(F.col("id") % 107 == 0, -float("inf"))
+        df = spark.range(40_000).select("id", F.when(F.col("id") % 5 > 0, "hot").when(F.col("id") % 2 > 0, "ties").alias("g"), odd.alias("o"))
+        df = df.select("id", "g", F.when(F.col("g") == "ties", 1.0).otherwise(F.coalesce("o", F.when(F.col("id") % 97 > 0, F.rand(3)))).alias("s"))
+        df.write.parquet(path := f"{shared_folder(spark)}/threshold-{n}-{uuid.uuid4().hex}")
+        df = spark.read.parquet(path)
+        for by in (["g"], []):
+            order = [F.col("s").desc(), F.col("id")]
+            want = df.withColumn("rn", F.row_number().over(Window.partitionBy(*(by or [F.lit(0)])).orderBy(*order))).filter(F.col("rn") <= n)
+            got = topn.topn(df, by, order, n, value=F.col("s"))
+            assert {(r.id, r.rn) for r in got.collect()} == {(r.id, r.rn) for r in want.collect()}
+            kept = topn.reaching(df, by, F.col("s"), n).filter("g = 'hot'").count()
+            assert kept <= n + 40_000 // 50
+    finally:
+        spark.conf.set(key, before)
+    for by in (["g"], []):
+        assert topn.topn(df.limit(0), by, [F.col("s").desc(), F.col("id")], n, value=F.col("s")).count() == 0
+
+
+def test_buckets_follow_the_rows(spark, monkeypatch):
+    df = spark.range(3000).select(F.col("id").cast("string").alias("k"))
+    want = {r.k: r.pos for r in numbering.numbered(df, "k").collect()}
+    monkeypatch.setattr(numbering, "BUCKET_ROWS", 0.05)
+    digits = numbering._digits(df, None)
+    assert digits == 4
+    sizes = numbering._hashed(df, "k", 42, digits).groupBy("_bucket").count().agg(F.max("count")).first()[0]
+    assert sizes <= 4 and {r.k: r.pos for r in numbering.numbered(df, "k").collect()} == want
+
+
 @pytest.mark.parametrize("digits", [1, 2, 3])
 def test_positions_do_not_depend_on_buckets_or_partitions(spark, digits):
     df = spark.range(500).select(F.col("id").cast("string").alias("post_id"))
