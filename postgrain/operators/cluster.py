@@ -72,15 +72,23 @@ def _cell(x: Column, eps: float, level: int) -> Column:
     return F.transform(x, lambda v: F.floor(v / F.lit(width)).cast("bigint"))
 
 
-def _boxes(sites: DataFrame, eps: float, level: int, k: int, by: Sequence[str] = ()) -> DataFrame:
-    """Box, positions ``n`` and points ``w`` of every occupied cell (per ``by`` group)."""
+def _boxes(
+    sites: DataFrame, eps: float, level: int, k: int, by: Sequence[str] = (), name: str | None = None, root: bool = False
+) -> DataFrame:
+    """Box, positions ``n`` and points ``w`` of every occupied cell (per ``by`` group).
+
+    With ``name`` also the smallest value of that column, with ``root`` the smallest and largest component (``root``, ``last``).
+    """
     cells = sites.withColumn("cell", _cell(F.col("x"), eps, level))
     x = F.col("x")
+    more = [F.min(name).alias("name")] if name else []
+    more += [F.min("root").alias("root"), F.max("root").alias("last")] if root else []
     agg = cells.groupBy(*by, "cell").agg(
         F.array(*(F.min(x[i]) for i in range(k))).alias("lo"),
         F.array(*(F.max(x[i]) for i in range(k))).alias("hi"),
         F.count(F.lit(1)).alias("n"),
         F.sum("w").alias("w"),
+        *more,
     )
     return agg
 
@@ -107,9 +115,9 @@ def _fan_out(boxes: DataFrame) -> DataFrame:
 
 
 def _clique_level(k: int) -> int:
-    """First level whose cells have a diagonal below eps."""
+    """First level at which two cells with a common face, and so one cell, have all their points within eps."""
     level = 0
-    while math.sqrt(k) / 2**level >= 0.999:
+    while math.sqrt(k + 3) / 2**level >= 0.999:
         level += 1
     return level
 
@@ -176,55 +184,95 @@ def core_sites(sites: DataFrame, eps: float, min_samples: int, k: int) -> DataFr
 
 
 def linked_cells(core: DataFrame, eps: float, k: int) -> DataFrame:
-    """Pairs ``(a, b)`` of small cells that hold core positions within ``eps`` of each other.
+    """Edges ``(a, b)`` whose components are those of the small cells of the core positions; not every linked pair is one.
 
-    Cells are named by the smallest ``sid`` they hold; all core positions of one small cell belong together.
+    Cells are named by the smallest ``sid`` they hold; all core positions of one small cell belong together. Touching
+    small cells are linked first. The component that this gives a small cell travels up into the boxes of wider cells,
+    and a pair of boxes is opened only while the two may still hold different components: the inside of a dense region,
+    however many pairs of cells it has within ``eps``, opens nothing. Two boxes wholly within ``eps`` are linked by the
+    names of their cells, and each of their small cells to those.
     """
-    eps2 = F.lit(eps * eps)
     clique = _clique_level(k)
+    small = _cell(F.col("x"), eps, clique)
+    tight = stage(_boxes(core, eps, clique, k, name="sid"))
+    touching = _touching(_side(_fan_out(tight), "a"), "cell_a", "cell_b", k).filter("cell_a < cell_b")
+    touching = _judged(_to_boxes(touching, _side(tight, "b"), tight.count(), "cell_b"), eps, k).filter("joined")
+    links = stage(touching.select(F.col("name_a").alias("a"), F.col("name_b").alias("b")))
+    names = tight.select("cell", "name")
+    rooted = stage(_rooted(core.withColumn("small", small).join(names.withColumnRenamed("cell", "small"), "small"), links))
+    # From here on a component is a star around its root, which keeps later rounds few.
+    star = F.col("root").alias("a"), F.col("name").alias("b")
+    links = rooted.select(*star).filter("a != b").distinct()
+
+    pairs = None
+    for level in range(clique + 1):
+        boxes = stage(_boxes(rooted, eps, level, k, name="name", root=True).withColumn("parent", _parent(F.col("cell"))))
+        if pairs is None:
+            around = _touching(_side(_fan_out(boxes.drop("parent")), "a"), "cell_a", "cell_b", k).filter("cell_a <= cell_b")
+            opened = _to_boxes(around, _side(boxes.drop("parent"), "b"), boxes.count(), "cell_b")
+        else:
+            opened = _opened(pairs, boxes).filter("parent_a != parent_b or cell_a <= cell_b")
+        judged = stage(_judged(opened.filter(_APART), eps, k))
+        settled = judged.filter("joined")
+        across = settled.select(F.col("name_a").alias("a"), F.col("name_b").alias("b")).filter("a != b")
+        links = links.unionByName(across)
+        if level < clique:
+            ends = [settled.select(F.col(f"cell_{s}").alias("cell"), F.col(f"name_{s}").alias("a")) for s in "ab"]
+            ends = ends[0].unionByName(ends[1]).distinct()
+            inside = rooted.select(_cell(F.col("x"), eps, level).alias("cell"), F.col("name").alias("b")).distinct()
+            links = links.unionByName(inside.join(ends, "cell").select("a", "b").filter("a != b"))
+        pairs = judged.filter("not joined").select("cell_a", "cell_b")
+
+    # Pairs of small cells that hold different components so far and lie neither within nor beyond eps as a whole.
+    while True:
+        boxes = _boxes(rooted, eps, level, k, name="name", root=True)
+        unsure = pairs.join(_side(boxes, "a"), "cell_a").join(_side(boxes, "b"), "cell_b").filter(_APART)
+        unsure = stage(unsure.select("cell_a", "cell_b", "n_a", "n_b", "name_a", "name_b"))
+        few = F.col("n_a") * F.col("n_b") <= LEAF * LEAF
+        members = rooted.select(_cell(F.col("x"), eps, level).alias("cell"), "x", "name")
+        leaf = unsure.filter(few).select("cell_a", "cell_b").join(_side(members, "a"), "cell_a")
+        leaf = leaf.join(_side(members, "b"), "cell_b").filter(_dist2(F.col("x_a"), F.col("x_b"), k) <= F.lit(eps * eps))
+        links = links.unionByName(leaf.select(F.col("name_a").alias("a"), F.col("name_b").alias("b")).distinct())
+        pairs = unsure.filter(~few).select("cell_a", "cell_b")
+        if pairs.isEmpty():
+            return stage(links)
+        rooted = stage(_rooted(rooted.drop("root"), stage(links)))
+        links = rooted.select(*star).filter("a != b").distinct()
+        level += 1
+        boxes = stage(_boxes(rooted, eps, level, k, name="name", root=True).withColumn("parent", _parent(F.col("cell"))))
+        judged = stage(_judged(_opened(pairs, boxes), eps, k))
+        across = judged.filter("joined").select(F.col("name_a").alias("a"), F.col("name_b").alias("b"))
+        links = links.unionByName(across)
+        pairs = judged.filter("not joined").select("cell_a", "cell_b")
 
-    def side(boxes: DataFrame, s: str) -> DataFrame:
-        return boxes.select(*(F.col(c).alias(f"{c}_{s}") for c in boxes.columns))
 
-    def judged(pairs: DataFrame) -> DataFrame:
-        boxes = [F.col(c) for c in ("lo_a", "hi_a", "lo_b", "hi_b")]
-        return pairs.filter(_near2(*boxes, k) <= eps2).withColumn("joined", _far2(*boxes, k) <= eps2)
+# Two boxes that may hold positions of different components.
+_APART = "not (root_a = last_a and root_b = last_b and root_a = root_b)"
 
-    boxes = stage(_boxes(core, eps, 0, k))
-    around = _touching(side(_fan_out(boxes), "a"), "cell_a", "cell_b", k)
-    pairs = judged(_to_boxes(around, side(boxes, "b"), boxes.count(), "cell_b").filter("cell_a <= cell_b"))
-    names = stage(
-        core.groupBy(_cell(F.col("x"), eps, clique).alias("cell")).agg(F.min("sid").alias("name"))
+
+def _side(boxes: DataFrame, s: str) -> DataFrame:
+    return boxes.select(*(F.col(c).alias(f"{c}_{s}") for c in boxes.columns))
+
+
+def _judged(pairs: DataFrame, eps: float, k: int) -> DataFrame:
+    """Pairs of boxes that are not wholly beyond ``eps``, with ``joined`` where they are wholly within."""
+    boxes = [F.col(c) for c in ("lo_a", "hi_a", "lo_b", "hi_b")]
+    near = pairs.filter(_near2(*boxes, k) <= F.lit(eps * eps))
+    return near.withColumn("joined", _far2(*boxes, k) <= F.lit(eps * eps))
+
+
+def _opened(pairs: DataFrame, boxes: DataFrame) -> DataFrame:
+    """The pairs of child boxes of pairs of cells."""
+    parents = _fan_out(pairs.withColumn("cell", F.col("cell_a"))).select(
+        F.col("cell_a").alias("parent_a"), F.col("cell_b").alias("parent_b")
     )
-    for level in range(1, clique + 1):
-        boxes = stage(_boxes(core, eps, level, k).withColumn("parent", _parent(F.col("cell"))))
-        opened = _fan_out(pairs.withColumn("cell", F.col("cell_a"))).select("cell_a", "cell_b").withColumnsRenamed({"cell_a": "parent_a", "cell_b": "parent_b"})
-        opened = opened.join(side(boxes, "a"), "parent_a").join(side(boxes, "b"), "parent_b")
-        opened = opened.filter("parent_a != parent_b or cell_a <= cell_b").drop("parent_a", "parent_b")
-        pairs = stage(judged(opened))
-    pairs = pairs.filter("cell_a != cell_b")
-    pairs = pairs.join(names.select(F.col("cell").alias("cell_a"), F.col("name").alias("a")), "cell_a")
-    pairs = pairs.join(names.select(F.col("cell").alias("cell_b"), F.col("name").alias("b")), "cell_b")
-
-    level = clique
-    links = None
-    while True:
-        pairs = stage(pairs)
-        found = pairs.filter("joined").select("a", "b")
-        unsure = pairs.filter("not joined")
-        small = F.col("n_a") * F.col("n_b") <= LEAF * LEAF
-        members = core.select(_cell(F.col("x"), eps, level).alias("cell"), "x")
-        leaf = unsure.filter(small).select("a", "b", "cell_a", "cell_b").join(side(members, "a"), "cell_a")
-        leaf = leaf.join(side(members, "b"), "cell_b").filter(_dist2(F.col("x_a"), F.col("x_b"), k) <= eps2)
-        new = found.unionByName(leaf.select("a", "b"))
-        links = stage((new if links is None else links.unionByName(new)).distinct())
-        deeper = unsure.filter(~small).join(links, ["a", "b"], "left_anti")
-        deeper = deeper.select("a", "b", F.col("cell_a").alias("parent_a"), F.col("cell_b").alias("parent_b"))
-        if deeper.isEmpty():
-            return links
-        level += 1
-        boxes = stage(_boxes(core, eps, level, k).withColumn("parent", _parent(F.col("cell"))))
-        pairs = judged(deeper.join(side(boxes, "a"), "parent_a").join(side(boxes, "b"), "parent_b"))
+    return parents.join(_side(boxes, "a"), "parent_a").join(_side(boxes, "b"), "parent_b")
+
+
+def _rooted(named: DataFrame, links: DataFrame) -> DataFrame:
+    """Add the component ``root`` of each position's small cell."""
+    roots = components(links)
+    return named.join(roots, F.col("name") == F.col("v"), "left").withColumn("root", F.coalesce("root", "name")).drop("v")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -345,30 +393,38 @@ def assign_topics(
     border = placed.filter("topic is null").select("id", "x", "here")
 
     targets = targets.join(border.select("here").distinct(), "here", "left_semi")
-    rows = border.join(targets.hint("merge"), "here").drop("here")
-    rows = rows.filter(_near2(F.col("x"), F.col("x"), F.col("lo"), F.col("hi"), k) <= eps2)
+    rows = _reaching(border.join(targets.hint("merge"), "here").drop("here"), k).filter(F.col("near") <= eps2)
     level = 0
     answers: DataFrame | None = None
     while True:
-        open_ = rows.groupBy("id", "x").agg(F.collect_list(F.struct("topic", "cell", "lo", "hi", "n")).alias("boxes"))
-        open_ = stage(_settle(open_, eps2, k))
-        done = open_.filter("topic is not null").select("id", "topic")
+        rows = stage(rows)
+        # Numbers per point, combined before the shuffle, however many boxes lie around it.
+        state = rows.groupBy("id").agg(
+            F.min("far").alias("reach"),
+            F.min("topic").alias("first"),
+            F.max("topic").alias("last"),
+            F.max("n").alias("most"),
+            F.min(F.struct("near", "topic")).alias("nearest"),
+        )
+        sure = F.when((F.col("first") == F.col("last")) & (F.col("reach") <= eps2), F.col("first"))
+        sure = sure.when(F.col("most") == 1, F.col("nearest.topic"))
+        state = stage(state.select("id", "reach", sure.alias("answer")))
+        done = state.filter("answer is not null").select("id", F.col("answer").alias("topic"))
         answers = done if answers is None else answers.unionByName(done)
-        left = open_.filter("topic is null").select("id", "x", F.inline("boxes"))
+        left = rows.join(state.filter("answer is null").select("id", "reach"), "id").filter("near <= reach")
+        left = left.select("id", "x", "topic", "cell", "lo", "hi", "n", "reach")
         if left.isEmpty():
             break
         # Single positions stay; small cells become their positions; the others their child cells.
         members = core.select(_cell(F.col("x"), eps, level).alias("cell"), "topic", F.col("x").alias("y"))
         single = left.filter("n = 1")
-        leaf = left.filter((F.col("n") > 1) & (F.col("n") <= LEAF)).select("id", "x", "topic", "cell")
-        leaf = leaf.join(members, ["cell", "topic"]).select(
-            "id", "x", "topic", "cell", F.col("y").alias("lo"), F.col("y").alias("hi"), F.lit(1).cast("bigint").alias("n")
-        )
+        leaf = left.filter((F.col("n") > 1) & (F.col("n") <= LEAF)).drop("lo", "hi", "n").join(members, ["cell", "topic"])
+        leaf = leaf.withColumns({"lo": F.col("y"), "hi": F.col("y"), "n": F.lit(1).cast("bigint")}).drop("y")
         children = _boxes(core, eps, level + 1, k, ["topic"]).withColumn("parent", _parent(F.col("cell"))).drop("w")
-        deeper = left.filter(F.col("n") > LEAF).select("id", "x", "topic", F.col("cell").alias("parent"))
+        deeper = left.filter(F.col("n") > LEAF).select("id", "x", "topic", F.col("cell").alias("parent"), "reach")
         deeper = deeper.join(children, ["parent", "topic"]).drop("parent")
         rows = single.unionByName(leaf).unionByName(deeper)
-        rows = rows.filter(_near2(F.col("x"), F.col("x"), F.col("lo"), F.col("hi"), k) <= eps2)
+        rows = _reaching(rows, k).filter(F.col("near") <= F.least(F.col("reach"), eps2)).drop("reach")
         level += 1
     # A point whose last box turned out to be too far has no answer: noise.
     border = border.select("id").join(answers, "id", "left").select("id", F.coalesce("topic", F.lit(-1)).alias("topic"))
@@ -382,27 +438,7 @@ def _look_up(rows: DataFrame, small: DataFrame, on: str) -> DataFrame:
     return rows.join(F.broadcast(small) if few else small.hint("merge"), on, "left")
 
 
-def _settle(open_: DataFrame, eps2: Column, k: int) -> DataFrame:
-    """Drop boxes that cannot hold the nearest position; fill ``topic`` where the answer is certain.
-
-    Certain: no box is left (-1), or all boxes are of one topic and one lies within reach, or all are single positions.
-    """
-    x = F.col("x")
-    near = F.filter("boxes", lambda b: _near2(x, x, b["lo"], b["hi"], k) <= eps2)
-    reach = F.array_min(F.transform("near", lambda b: _far2(x, x, b["lo"], b["hi"], k)))
-    kept = open_.select("id", "x", F.coalesce(near, F.array().cast(open_.schema["boxes"].dataType)).alias("near"))
-    kept = kept.withColumn("reach", reach)
-    best = F.filter("near", lambda b: _near2(x, x, b["lo"], b["hi"], k) <= F.col("reach"))
-    kept = kept.withColumn("boxes", best).drop("near")
-    topics = F.array_distinct(F.transform("boxes", lambda b: b["topic"]))
-    singles = F.forall("boxes", lambda b: b["n"] == 1)
-    nearest = F.array_min(
-        F.transform("boxes", lambda b: F.struct(_near2(x, x, b["lo"], b["hi"], k).alias("d"), b["topic"].alias("topic")))
-    )
-    topic = (
-        F.when(F.size("boxes") == 0, F.lit(-1))
-        .when((F.size(topics) == 1) & (F.col("reach") <= eps2), F.get(topics, F.lit(0)))
-        .when(singles, nearest["topic"])
-    )
-    return kept.select("id", "x", topic.alias("topic"), "boxes")
-
+def _reaching(rows: DataFrame, k: int) -> DataFrame:
+    """Add the squared distances of ``x`` to the nearest and the farthest corner of the box."""
+    box = (F.col("x"), F.col("x"), F.col("lo"), F.col("hi"))
+    return rows.withColumns({"near": _near2(*box, k), "far": _far2(*box, k)})

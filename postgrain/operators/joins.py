@@ -21,16 +21,28 @@ def attach(df: DataFrame, other: DataFrame, on: Sequence[str], defaults: Mapping
     return joined.withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in defaults.items()})
 
 
-def fetch_selected(selected: DataFrame, posts: DataFrame, rows: int, defaults: Mapping[str, Any]) -> DataFrame:
-    """Bring wide post columns to a selection of at most ``rows`` rows.
+def fetch_selected(
+    selected: DataFrame,
+    posts: DataFrame,
+    rows: int | None,
+    defaults: Mapping[str, Any],
+    on: Sequence[str] = ("post_id",),
+    one: bool = False,
+) -> DataFrame:
+    """Bring wide post columns to a selection of at most ``rows`` rows (None: as many as are counted).
 
     The selection is sent to the posts, not the reverse: while the bound is small, the post table is filtered where it
-    is read and its text is never shuffled. The selection is used twice and therefore written once.
+    is read and its text is never shuffled. The selection is used twice and therefore written once. With ``one``, a key
+    of several posts takes the greatest of their values, so that no selected row is multiplied.
     """
     selected = stage(selected)
-    keys = broadcast_bounded(selected.select("post_id"), rows)
-    wanted = posts.select("post_id", *defaults).join(keys, "post_id", "left_semi")
-    return attach(selected, wanted, ["post_id"], defaults)
+    rows = selected.count() if rows is None else rows
+    keys = broadcast_bounded(selected.select(*on).distinct(), rows)
+    wanted = posts.select(*on, *defaults).join(keys, list(on), "left_semi")
+    if one:
+        greatest = F.max(F.struct(*defaults)).alias("_v")
+        wanted = wanted.groupBy(*on).agg(greatest).select(*on, *(F.col(f"_v.{c}") for c in defaults))
+    return attach(selected, wanted, on, defaults)
 
 
 def keep_ids(df: DataFrame, ids: DataFrame, key: str = "post_id") -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from postgrain.operators.joins import fetch_selected
 from postgrain.operators.topn import topn
 
 # Thresholds and category names with their report order.
@@ -198,17 +199,14 @@ def density_hist(density: DataFrame, bins: int = 15) -> DataFrame:
 def feature_examples(acts: DataFrame, rewrites: DataFrame | None = None, n: int = 10) -> DataFrame:
     """The ``n`` strongest active vectors of every feature, with their texts.
 
-    Ranking carries keys only; texts join afterwards on (post, axis) and default to the empty string.
+    Ranking carries keys only. The ranked keys, at most ``n`` a feature, are then sent to the rewrites, so that their
+    texts are read where they lie; a post and axis of several rewrites shows the greatest, one of none the empty string.
     """
     long = activations_long(acts.select("pair_id", "post_id", "axis", "direction", "activations"))
     top = topn(long.filter("value > 0"), ["feature"], [F.col("value").desc(), F.col("pair_id")], n)
     if rewrites is None:
         return top
-    texts = rewrites.select("post_id", "axis", "original", "rewrite")
-    empty = F.lit("")
-    return top.join(texts, ["post_id", "axis"], "left").withColumns(
-        {"original": F.coalesce("original", empty), "rewrite": F.coalesce("rewrite", empty)}
-    )
+    return fetch_selected(top, rewrites, None, {"original": "", "rewrite": ""}, on=["post_id", "axis"], one=True)
 
 
 def feature_report(cats: DataFrame, lift: DataFrame, examples: DataFrame) -> DataFrame:

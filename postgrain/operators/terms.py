@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
 import numpy as np
@@ -122,15 +123,28 @@ def topic_info(topics: DataFrame, terms: DataFrame) -> DataFrame:
     )
 
 
+def hashed_places(buckets: int, dim: int, seed: int, fan: int) -> tuple[np.ndarray, np.ndarray]:
+    """``fan`` places and signs of every bucket: of each four MD5 digits of ``seed:bucket``, three give the place, modulo
+    ``dim``, and the last the sign, minus where it is odd."""
+    if fan > 8:
+        raise ValueError("an MD5 has digits for eight places")
+    digests = b"".join(hashlib.md5(f"{seed}:{b}".encode()).digest() for b in range(buckets))
+    digits = np.frombuffer(digests, dtype=">u2").reshape(buckets, 8)[:, :fan].astype(np.int64)
+    return (digits >> 4) % dim, np.where(digits % 2, -1.0, 1.0)
+
+
 def hash_embed(
     docs: DataFrame, text: str = "text", dim: int = 64, seed: int = 42, buckets: int = 1 << 16, fan: int = 4
 ) -> DataFrame:
     """Add ``embedding``: TF-IDF over hashed words, projected to ``dim`` by seeded signs, unit length.
 
-    Stands in for a text encoder. The document frequencies of the ``buckets`` word hashes (a fixed-size table) are
-    counted by Spark; the projection is row-local.
+    Stands in for a text encoder. A word's bucket is the number of its first eight MD5 digits, modulo ``buckets``; the
+    places and signs of a bucket are digits of the MD5 of seed and bucket, so that any engine with MD5 gives the same
+    vectors. The document frequencies of the buckets (a fixed-size table) are counted by Spark; the projection is
+    row-local. A text without words has the zero vector, a null text none.
     """
-    hashes = F.transform(words(F.col(text)), lambda w: F.pmod(F.xxhash64(w), F.lit(buckets)).cast("int"))
+    number = lambda w: F.conv(F.substring(F.md5(w.cast("binary")), 1, 8), 16, 10).cast("bigint")
+    hashes = F.transform(words(F.col(text)), lambda w: (number(w) % buckets).cast("int"))
     hashed = spread(docs).withColumn("_h", hashes)
     every = F.array_append(F.array_distinct("_h"), F.lit(buckets))  # one more entry counts the texts themselves
     found = hashed.select(F.explode(every).alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n"))
@@ -138,9 +152,8 @@ def hash_embed(
     for row in found.collect():  # a fixed-size table: one row per bucket
         counts[row.h] = row.n
     idf = np.log((counts[buckets] + 1.0) / (counts[:buckets] + 1.0))
-    rng = np.random.default_rng(seed)
-    places = rng.integers(0, dim, size=(buckets, fan))
-    signs = rng.choice([-1.0, 1.0], size=(buckets, fan)) * idf[:, None]
+    places, signs = hashed_places(buckets, dim, seed, fan)
+    signs = signs * idf[:, None]
 
     @F.arrow_udf("array<double>")
     def project(col: pa.Array) -> pa.Array:

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import math
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postgrain.functions.text import run_number
 from postgrain.operators.filters import with_keys
 from postgrain.operators.rewrites import NESTED_SCHEMA, explode_rewrites
+from postgrain.operators.topn import dedupe
+from postgrain.session import stage
 
 POST_SCHEMA = "post_id string, text string, engagement bigint"
 POST_RAW_SCHEMA = POST_SCHEMA + ", lang string, is_reply boolean, is_repost boolean, is_quote boolean"
@@ -25,6 +28,11 @@ RANKING_SCHEMA = (
 DATASET_SCHEMA = RANKING_SCHEMA + ", axes_json string"
 
 
+# Fixed value: the key of the axis names in a document of rewrites.
+AXES_KEY = "__axis_names__"
+AXES_SCHEMA = "ord int, axis string"
+
+
 def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Newline-delimited JSON, plain or compressed by file extension."""
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
@@ -40,9 +48,15 @@ def read_posts(spark: SparkSession, path: str, schema: str = POST_SCHEMA, partit
 
 
 def read_labels(spark: SparkSession, path: str) -> DataFrame:
-    """CSV with a header that names ``post_id`` and an integer ``label``, among any other columns, in any order."""
+    """CSV with a header that names ``post_id`` and an integer ``label``, among any other columns, in any order.
+
+    One row per post: of several labels of a post the last line counts, files in the order of their names.
+    """
     rows = spark.read.csv(path, header=True, mode="FAILFAST")
-    return rows.select(F.col("post_id").cast("string"), F.col("label").cast("int"))
+    # Numbers of lines ascend within a block of a file, whatever task reads it.
+    line = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("n"))
+    rows = rows.select(F.col("post_id").cast("string"), F.col("label").cast("int"), line.alias("_line"))
+    return dedupe(rows, ["post_id"], ["_line"]).drop("_line")
 
 
 def read_topics(spark: SparkSession, path: str) -> DataFrame:
@@ -124,9 +138,58 @@ def _fields(ddl: str) -> str:
     return ", ".join(f"{n}: {t}" for n, t in (f.split(" ", 1) for f in ddl.split(", ")))
 
 
-def write_rewrites(nested: DataFrame, path: str) -> None:
-    """Nested posts, one per line (layout ``lines``), so that writing and reading both stay parallel."""
-    nested.write.json(path)
+def write_rewrites(
+    nested: DataFrame, path: str, axes: Sequence[str] = (), layout: str = "lines", posts_per_file: int = 10_000
+) -> None:
+    """Nested posts in one of the layouts of ``read_rewrites``, with the names of the axes.
+
+    ``lines``, one post per line, is the form that splits; the names go to a file beside the lines (``_axes``, which
+    readers of the folder pass over). The other layouts are documents, of about ``posts_per_file`` posts each, so that
+    no task holds more however many posts there are; each ``wrapped`` document carries the names. ``list`` and ``flat``
+    documents have no place for them, and get the same file.
+    """
+    spark = nested.sparkSession
+    if layout == "lines":
+        nested.write.json(path)
+    elif layout in ("wrapped", "list", "flat"):
+        nested = stage(nested)
+        files = max(1, math.ceil(nested.count() / posts_per_file))
+        bucket = F.pmod(F.xxhash64("post_id"), F.lit(files)).alias("file")
+        entry = F.struct("post_id", "original", "rewrites")
+        if layout == "flat":
+            items = F.transform(F.map_entries("rewrites"), lambda e: _flat_item(e))
+            document = F.to_json(F.map_from_entries(F.flatten(F.collect_list(items))))
+        elif layout == "list":
+            document = F.to_json(F.collect_list(entry))
+        else:
+            names = F.array(*(F.lit(a) for a in axes)).cast("array<string>").alias(AXES_KEY)
+            document = F.to_json(F.struct(names, F.collect_list(entry).alias("posts")))
+        texts = nested.select("*", bucket).groupBy("file").agg(document.alias("value"))
+        texts.write.partitionBy("file").text(path)
+    else:
+        raise ValueError(f"unknown layout {layout!r}")
+    if axes and layout != "wrapped":
+        names = [(i, a) for i, a in enumerate(axes)]
+        spark.createDataFrame(names, AXES_SCHEMA).coalesce(1).write.json(f"{path}/_axes")
+
+
+def _flat_item(entry: Column) -> Column:
+    """Key and value of one post and axis in the flat layout."""
+    r = entry["value"]
+    value = F.struct(
+        F.col("post_id"), entry["key"].alias("axis"), r["direction"].alias("direction"), F.col("original"), r["rewrite"].alias("rewrite")
+    )
+    return F.struct(F.concat(F.col("post_id"), F.lit("|"), entry["key"]), value)
+
+
+def read_axis_names(spark: SparkSession, path: str, layout: str = "lines") -> DataFrame:
+    """``(ord, axis)``: the names of the axes stored with rewrites, in order; no rows where none were stored."""
+    if layout == "wrapped":
+        documents = spark.read.schema(f"`{AXES_KEY}` array<string>").json(path, multiLine=True, mode="FAILFAST")
+        return documents.select(F.posexplode(AXES_KEY).alias("ord", "axis")).distinct()
+    if not exists(spark, f"{path}/_axes"):
+        return spark.createDataFrame([], AXES_SCHEMA)
+    return spark.read.schema(AXES_SCHEMA).json(f"{path}/_axes", mode="FAILFAST")
 
 
 def _file_system(spark: SparkSession, path: str):

@@ -43,6 +43,23 @@ def gzip_roundtrip(spark, sf):
     return tb.read_posts(spark, path, partitions=8)
 
 
+@query(
+    "labels_last",
+    "select cast(doc_id as varchar) as post_id, 1 - quality as label from labels where doc_id % 3 = 0 "
+    "union all select cast(doc_id as varchar), quality from labels where doc_id % 3 <> 0",
+)
+def labels_last(spark, sf):
+    """A label file with other columns in another order, a third of whose posts are labelled anew further down."""
+    path = _fresh(spark, "labels-anew")
+    labels = fx.labels(spark, sf).select("label", F.lit("by hand").alias("note"), "post_id", F.lit(0).alias("turn"))
+    anew = labels.filter(F.col("post_id").cast("bigint") % 3 == 0).withColumns(
+        {"label": 1 - F.col("label"), "turn": F.lit(1)}
+    )
+    rows = labels.unionByName(anew).orderBy("turn").drop("turn")
+    rows.write.csv(path, header=True)
+    return tb.read_labels(spark, path)
+
+
 @query("csv_roundtrip", "select cast(doc_id as varchar) as post_id, quality as label from labels")
 def csv_roundtrip(spark, sf):
     path = _fresh(spark, "labels")
@@ -207,6 +224,53 @@ def rewrite_sets(spark, sf):
     return rw.explode_pairs(tb.read_rewrites(spark, path, "lines"), fx.AXES)
 
 
+# Rewrites with a null post have no key in a document and are not nested.
+_LONG_SQL = f"with {_REWRITES_SQL} select post_id, axis, direction, original, rewrite from rewrites"
+_LONG = ("post_id", "axis", "direction", "original", "rewrite")
+
+
+def _layout(spark, sf, layout: str):
+    path = _fresh(spark, f"rewrites-{layout}")
+    nested = rw.nest_rewrites(_rewrites(spark, sf), fx.AXES)
+    tb.write_rewrites(nested, path, fx.AXES, layout, posts_per_file=500)
+    return path, tb.read_rewrites(spark, path, layout).select(*_LONG)
+
+
+@query("rewrites_wrapped", _LONG_SQL)
+def rewrites_wrapped(spark, sf):
+    """All rewrites, written and read back as documents that wrap a list of posts."""
+    return _layout(spark, sf, "wrapped")[1]
+
+
+@query("rewrites_list", _LONG_SQL)
+def rewrites_list(spark, sf):
+    """All rewrites, written and read back as bare lists of posts."""
+    return _layout(spark, sf, "list")[1]
+
+
+@query("rewrites_flat", _LONG_SQL)
+def rewrites_flat(spark, sf):
+    """All rewrites, written and read back as flat documents, an entry per post and axis."""
+    return _layout(spark, sf, "flat")[1]
+
+
+@query(
+    "rewrite_axes",
+    f"""with {_REWRITES_SQL}, names(ord, axis) as (values {fx.AXIS_LIST})
+select layout, n.ord::int as ord, n.axis, (select count(*) from rewrites r where r.axis = n.axis) as n
+from names n cross join (values ('lines'), ('wrapped')) l(layout)""",
+)
+def rewrite_axes(spark, sf):
+    """The axis names stored with two layouts, with the number of rewrites of each."""
+    parts = []
+    for layout in ("lines", "wrapped"):
+        path, long = _layout(spark, sf, layout)
+        counts = long.groupBy("axis").agg(F.count(F.lit(1)).alias("n"))
+        names = tb.read_axis_names(spark, path, layout).join(counts, "axis", "left")
+        parts.append(names.select(F.lit(layout).alias("layout"), "ord", "axis", F.coalesce("n", F.lit(0)).alias("n")))
+    return parts[0].unionByName(parts[1])
+
+
 @query(
     "restore_rewrites",
     f"""with {_REWRITES_SQL}, {fx.AXIS_SCORES}

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
+from postgrain.functions.vectors import affine
 from postgrain.operators import cluster as cl
 from postgrain.operators import numbering, terms
 from registry import fixtures as fx
@@ -109,10 +111,20 @@ def topic_renumber(spark, sf):
 
 EPS, MIN_SAMPLES, MIN_SIZE, DIMS = 0.12, 5, 5, 5
 
+# Points are the vectors along five orthogonal directions, each of which weighs all coordinates by 1/8 or -1/8: the sign
+# is the parity of the bits that the coordinate's number shares with a mask. Eighths keep the sums free of rounding.
+MASKS = [11, 22, 37, 42, 63]
+DIRECTIONS = np.array([[(-1.0) ** (j & m).bit_count() / 8 for j in range(fx.DIM)] for m in MASKS])
+POINT_SQL = (
+    "["
+    + ", ".join(f"list_dot_product(embedding::double[], {row.tolist()}::double[])" for row in DIRECTIONS)
+    + "]"
+)
+
 
 def _cluster_sql(points: str) -> str:
     """All-pairs form of the flat density cut over the rows of ``points``."""
-    return f"""pts as (select vec_id, list_transform(embedding[1:{DIMS}], lambda v: v::double) as x from {points}),
+    return f"""pts as (select vec_id, {POINT_SQL} as x from {points}),
 near as (
   select a.vec_id as a, b.vec_id as b from pts a cross join pts b
   where list_sum(list_transform(range(1, {DIMS + 1}), lambda i: (a.x[i] - b.x[i]) * (a.x[i] - b.x[i]))) <= {EPS}::double * {EPS}::double),
@@ -126,7 +138,7 @@ clustered as (select v, topic from comps c join placed p on p.root = c.root)"""
 
 
 def _points(df):
-    return df.select("vec_id", F.slice("embedding", 1, DIMS).alias("point"))
+    return df.select("vec_id", affine(F.col("embedding"), DIRECTIONS, np.zeros(DIMS)).alias("point"))
 
 
 @query(
@@ -149,7 +161,7 @@ SAMPLE = 400
 sample as (select * from ranked where pos <= {SAMPLE}),
 {_cluster_sql('sample')},
 rest as (
-  select vec_id, list_transform(embedding[1:{DIMS}], lambda v: v::double) as x from ranked where pos > {SAMPLE}),
+  select vec_id, {POINT_SQL} as x from ranked where pos > {SAMPLE}),
 dist as (
   select r.vec_id, c.topic,
          list_sum(list_transform(range(1, {DIMS + 1}), lambda i: (r.x[i] - p.x[i]) * (r.x[i] - p.x[i]))) as d
@@ -187,7 +199,27 @@ def discover_topics(spark, sf):
     return cl.label_points(chosen, core).unionByName(cl.assign_topics(rest, core, 0.08, DIMS))
 
 
-@query("hash_embed")
+@query(
+    "hash_embed",
+    f"""with {fx.POSTS},
+tokens as (select post_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}') as ws from posts),
+hashed as (
+  select post_id, ('0x' || substr(md5(w), 1, 8))::bigint % 65536 as h, count(*) as n
+  from (select post_id, unnest(ws) as w from tokens) group by all),
+idf as (
+  select h, ln(((select count(*) from posts) + 1.0) / (count(*) + 1.0)) as idf, md5('42:' || h) as digits
+  from hashed group by h),
+fans as (
+  select h, idf, ('0x' || substr(digits, 4 * f + 1, 3))::bigint % {fx.DIM} as dim,
+    case when ('0x' || substr(digits, 4 * f + 4, 1))::int % 2 = 1 then -idf else idf end as part
+  from idf cross join range(4) r(f)),
+sums as (select post_id, dim, sum(n * part) as x from hashed join fans using (h) group by post_id, dim),
+norms as (select post_id, greatest(sqrt(sum(x * x)), 1e-12) as norm from sums group by post_id)
+select post_id, dim::int as dim, round(x / norm, 6) + 0.0 as x from sums join norms using (post_id)
+where round(x / norm, 6) <> 0""",
+)
 def hash_embed(spark, sf):
+    """The entries of the text vectors that are not zero."""
     docs = fx.posts(spark, sf).select("post_id", "text")
-    return terms.hash_embed(docs).select("post_id", "embedding")
+    vectors = terms.hash_embed(docs).select("post_id", F.posexplode("embedding").alias("dim", "x"))
+    return vectors.withColumn("x", F.round("x", SIX) + F.lit(0.0)).filter("x <> 0")

@@ -314,7 +314,34 @@ def test_rewrite_layouts(spark, tmp_path):
     out = str(tmp_path / "out")
     tb.write_rewrites(rw.nest_rewrites(long, ["x", "y", "z"]), out)
     again = tb.read_rewrites(spark, out, "lines")
-    assert again.count() == 4
+    assert again.count() == 4 and tb.read_axis_names(spark, out).count() == 0
+
+
+@pytest.mark.parametrize("layout", ["lines", "wrapped", "list", "flat"])
+def test_rewrites_written_and_read(spark, tmp_path, layout):
+    posts = [(f"p{i}", f'o"{i}', {a: ("up", f"r{i}{a}\n") for a in "xy"[: 1 + i % 2]}) for i in range(25)]
+    nested = spark.createDataFrame(posts, rw.NESTED_SCHEMA)
+    path = str(tmp_path / layout)
+    tb.write_rewrites(nested, path, ["y", "x", "z"], layout, posts_per_file=4)
+    names = {r.ord: r.axis for r in tb.read_axis_names(spark, path, layout).collect()}
+    assert names == {0: "y", 1: "x", 2: "z"}
+    long = tb.read_rewrites(spark, path, layout).select("post_id", "axis", "direction", "original", "rewrite")
+    assert sorted(map(tuple, long.collect())) == sorted(
+        (p, a, d, o, r) for p, o, m in posts for a, (d, r) in m.items()
+    )
+    empty = str(tmp_path / "empty")
+    tb.write_rewrites(nested.limit(0), empty, ["x"], layout)
+    assert tb.read_rewrites(spark, empty, layout).count() == 0
+    with pytest.raises(ValueError):
+        tb.write_rewrites(nested, str(tmp_path / "none"), ["x"], "other")
+
+
+def test_last_label_of_a_post_counts(spark, tmp_path):
+    (tmp_path / "labels").mkdir()
+    (tmp_path / "labels" / "a.csv").write_text("note,label,post_id\nx,1,p\ny,0,q\nz,0,p\n")
+    (tmp_path / "labels" / "b.csv").write_text("note,label,post_id\n,1,q\n")
+    got = sorted(map(tuple, tb.read_labels(spark, str(tmp_path / "labels")).collect()))
+    assert got == [("p", 0), ("q", 1)]
 
 
 def test_versions_are_numeric(spark, tmp_path):

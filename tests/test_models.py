@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -367,6 +369,26 @@ def test_assignment_matches_brute_force(spark):
     assert [got[i] for i in range(len(new))] == want and len(set(want)) > 2
 
 
+def test_dense_region_opens_no_pairs_of_cells(spark):
+    """In a filled cube hundreds of small cells lie within reach of each; their links stay about one a cell."""
+    x = np.random.default_rng(3).uniform(0, 1, (6000, 3))
+    rows = [(i, p.tolist()) for i, p in enumerate(x)] + [(6000 + i, [5.0, 5.0, float(i) / 100]) for i in range(30)]
+    df = spark.createDataFrame(rows, "sid bigint, point array<double>")
+    core = cl.stage(cl.core_sites(cl._sites(df, "sid", "point"), 0.25, 5, 3))
+    cells = core.select(cl._cell(F.col("x"), 0.25, cl._clique_level(3))).distinct().count()
+    links = cl.linked_cells(core, 0.25, 3)
+    assert links.count() <= 2 * cells and cells > 2500
+    roots = {r.root for r in cl.components(links).collect()}
+    assert roots == {0, 6000}
+
+
+def test_assignment_keeps_no_lists(spark):
+    df = spark.createDataFrame([(i, [float(i % 20) / 50, 0.0]) for i in range(60)], "post_id bigint, point array<double>")
+    core = cl.cluster_core(df, 0.05, 3, 3, 2)
+    plan = cl.assign_topics(df, core, 0.05, 2)._jdf.queryExecution().toString()
+    assert "collect_list" not in plan
+
+
 def test_components_of_a_long_path_and_a_hub(spark):
     path = [(i, i + 1) for i in range(100, 160)]
     hub = [(5, i) for i in range(200, 260)]
@@ -416,3 +438,43 @@ def test_hash_embed(spark):
     got = {r.post_id: np.array(r.embedding) for r in tm.hash_embed(docs).collect()}
     assert np.allclose(got["a"], got["b"]) and abs(np.linalg.norm(got["c"]) - 1) < 1e-9
     assert got["a"] @ got["c"] < 0.9 and np.allclose(got["d"], 0)
+
+
+def test_hash_embed_by_hand(spark):
+    texts = {"a": "red cat red", "b": "Blue dog", "c": None, "d": "cat"}
+    docs = spark.createDataFrame(list(texts.items()), "post_id string, text string")
+    got = {r.post_id: r.embedding for r in tm.hash_embed(docs, dim=16, seed=3, buckets=1 << 10, fan=3).collect()}
+    bucket = {w: int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % (1 << 10) for w in ("red", "cat", "blue", "dog")}
+    df = {"red": 1, "cat": 2, "blue": 1, "dog": 1}
+    for key, words in {"a": ["red", "cat", "red"], "b": ["blue", "dog"], "d": ["cat"]}.items():
+        want = np.zeros(16)
+        for w in words:
+            digits = hashlib.md5(f"3:{bucket[w]}".encode()).hexdigest()
+            for f in range(3):
+                sign = -1 if int(digits[4 * f + 3], 16) % 2 else 1
+                want[int(digits[4 * f : 4 * f + 3], 16) % 16] += sign * np.log(5 / (df[w] + 1))
+        assert np.allclose(got[key], want / max(np.linalg.norm(want), 1e-12))
+    assert got["c"] is None
+
+
+def test_examples_read_rewrites_where_they_lie(spark):
+    acts = spark.createDataFrame(
+        [(i, str(i % 7), "x", "up", [float(i), float(-i)]) for i in range(40)],
+        "pair_id bigint, post_id string, axis string, direction string, activations array<double>",
+    )
+    texts = [(str(p), "x", f"o{p}", f"r{c}") for p in range(5) for c in (2, 1)]
+    rewrites = spark.createDataFrame(texts, "post_id string, axis string, original string, rewrite string")
+    top = lf.feature_examples(acts, rewrites, 10)
+    rows = sorted((r.feature, r.rn, r.pair_id, r.original, r.rewrite) for r in top.collect())
+    want = [(0, n + 1, 39 - n, f"o{(39 - n) % 7}", "r2") for n in range(10)]
+    assert rows == [(*w[:3], "", "") if int(w[3][1:]) > 4 else w for w in want]
+    plan = top._jdf.queryExecution().toString()
+    scan = plan[plan.index("== Physical Plan ==") :]
+    assert "BroadcastHashJoin" in scan and "LeftSemi" in scan
+
+
+def test_examples_without_active_vectors(spark):
+    schema = "pair_id bigint, post_id string, axis string, direction string, activations array<double>"
+    acts = spark.createDataFrame([(1, "a", "x", "up", [0.0])], schema)
+    rewrites = spark.createDataFrame([("a", "x", "o", "r")], "post_id string, axis string, original string, rewrite string")
+    assert lf.feature_examples(acts, rewrites).count() == 0
