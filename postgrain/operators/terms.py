@@ -141,7 +141,7 @@ def hash_embed(
     Stands in for a text encoder. A word's bucket is the number of its first eight MD5 digits, modulo ``buckets``; the
     places and signs of a bucket are digits of the MD5 of seed and bucket, so that any engine with MD5 gives the same
     vectors. The document frequencies of the buckets (a fixed-size table) are counted by Spark; the projection is
-    row-local. A text without words has the zero vector, a null text none.
+    row-local. A text without words has the zero vector; a null text has none and is not counted.
     """
     number = lambda w: F.conv(F.substring(F.md5(w.cast("binary")), 1, 8), 16, 10).cast("bigint")
     hashes = F.transform(words(F.col(text)), lambda w: (number(w) % buckets).cast("int"))

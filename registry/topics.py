@@ -207,7 +207,7 @@ hashed as (
   select post_id, ('0x' || substr(md5(w), 1, 8))::bigint % 65536 as h, count(*) as n
   from (select post_id, unnest(ws) as w from tokens) group by all),
 idf as (
-  select h, ln(((select count(*) from posts) + 1.0) / (count(*) + 1.0)) as idf, md5('42:' || h) as digits
+  select h, ln(((select count(text) from posts) + 1.0) / (count(*) + 1.0)) as idf, md5('42:' || h) as digits
   from hashed group by h),
 fans as (
   select h, idf, ('0x' || substr(digits, 4 * f + 1, 3))::bigint % {fx.DIM} as dim,
