@@ -6,10 +6,14 @@ bound of every score. A first scan over the codes finds, for each query, a score
 second one visits the exact vectors of those whose upper bound is not below it, best bound first, until the bound of the
 next cannot change the k best. Both scans keep k entries per query and task; only those are shuffled.
 
-Queries go in waves of about ``wave`` rows, so that what is broadcast has a fixed size; each wave scans all blocks.
-Vectors that are null, or hold null or non-finite components, take no part. Vectors are compared with those of the same
-number of components. Rows that share a query's id are the query's own; otherwise repeated rows are separate candidates,
-with the smaller id first at equal scores. Scores beyond 64 bits count as the ends of that range.
+Queries go in waves of about ``wave`` rows, so that what is broadcast has a fixed size; each wave scans all blocks, is
+written out and gives its broadcasts back before the next begins. A task bounds a strip of ``STRIP`` queries against a block
+at a time, so that its memory depends on neither the wave nor the table.
+
+Vectors that are null, or hold null or non-finite components, take no part; an empty table has an empty result. Vectors are
+compared with those of the same number of components. Rows that share a query's id are the query's own; of several such rows
+the smallest vector that takes part asks. Otherwise repeated rows are separate candidates, with the smaller id first at equal
+scores. Scores beyond 64 bits count as the ends of that range. Other columns play no part.
 """
 
 from __future__ import annotations
@@ -25,6 +29,7 @@ from postgrain.session import stage
 
 CELLS = 64
 BLOCK = 4096
+STRIP = 256  # queries whose bounds with a block are held at once: 8 MB a matrix
 SAFE = 1 << 53
 ENDS = float(1 << 63)  # scores are clipped to 64 bits
 BLOCK_SCHEMA = "dim int, n int, ids binary, codes binary, lows binary, widths binary, exact binary"
@@ -106,13 +111,22 @@ def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
             yield Block(row)
 
 
+def strips(queries: np.ndarray) -> Iterator[slice]:
+    for at in range(0, len(queries), STRIP):
+        yield slice(at, at + STRIP)
+
+
 def top_k(vectors: DataFrame, is_query: Column, k: int, wave: int = 4096) -> DataFrame:
     """Columns query_id, rank (from 1), vec_id, score: for each query row the k best other vectors (all, if fewer)."""
-    spark = vectors.sparkSession
     file = build(vectors)
-    asked = vectors.filter(is_query & F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).select("vec_id", "embedding")
+    x = F.col("embedding")
+    takes_part = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
+    asked = vectors.filter(is_query & F.col("vec_id").isNotNull() & takes_part).groupBy("vec_id").agg(F.min(x).alias("embedding"))
+    asked = stage(asked)
     waves = max(1, -(-asked.count() // wave))
-    found = [_wave(file, asked.filter(F.pmod(F.xxhash64("vec_id"), F.lit(waves)) == w), k) for w in range(waves)]
+    if waves > 1:  # a folder a wave
+        asked = stage(asked.withColumn("wave", F.pmod(F.xxhash64("vec_id"), F.lit(waves))), ["wave"])
+    found = [_wave(file, asked.filter(F.col("wave") == w) if waves > 1 else asked, k) for w in range(waves)]
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
@@ -122,7 +136,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int, wave: int = 4096) -> Dat
 def _wave(file: DataFrame, asked: DataFrame, k: int) -> DataFrame:
     spark = asked.sparkSession
     queries: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-    table = asked.dropDuplicates(["vec_id"]).toArrow()  # a wave: bounded
+    table = asked.select("vec_id", "embedding").toArrow()  # a wave: bounded
     for batch in table.to_batches():
         for ids, block in usable(batch):
             before = queries.get(block.shape[1])
@@ -134,12 +148,15 @@ def _wave(file: DataFrame, asked: DataFrame, k: int) -> DataFrame:
     def sure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: dict[int, np.ndarray] = {}
         for b in blocks(batches):
-            if b.dim in sent.value:
-                ids, vectors = sent.value[b.dim]
-                low, _ = b.bounds(integers(vectors).astype(np.float64))
-                low[ids[:, None] == b.ids[None, :]] = -np.inf
-                both = np.concatenate([best.get(b.dim, np.full((len(ids), k), -np.inf)), low], axis=1)
-                best[b.dim] = np.partition(both, both.shape[1] - k, axis=1)[:, -k:]
+            if b.dim not in sent.value:
+                continue
+            ids, vectors = sent.value[b.dim]
+            kept = best.setdefault(b.dim, np.full((len(ids), k), -np.inf))
+            for part in strips(ids):
+                low, _ = b.bounds(integers(vectors[part]).astype(np.float64))
+                low[ids[part, None] == b.ids[None, :]] = -np.inf
+                both = np.concatenate([kept[part], low], axis=1)
+                kept[part] = np.partition(both, both.shape[1] - k, axis=1)[:, -k:]
         for dim, bound in best.items():
             query = np.repeat(sent.value[dim][0], k)
             yield pa.RecordBatch.from_arrays([pa.array(query), pa.array(bound.ravel())], ["query_id", "bound"])
@@ -155,24 +172,31 @@ def _wave(file: DataFrame, asked: DataFrame, k: int) -> DataFrame:
             if b.dim not in sent.value:
                 continue
             ids, vectors = sent.value[b.dim]
-            exact = integers(vectors)
-            _, high = b.bounds(exact.astype(np.float64))
-            for q, (query, row) in enumerate(zip(ids.tolist(), high)):
-                kept = best.setdefault(query, [])  # (-score, vec_id), best first
-                near = np.flatnonzero((row >= reach.value.get(query, -np.inf)) & (b.ids != query))
-                near = near[np.argsort(-row[near], kind="stable")]
-                for at in range(0, len(near), 64):
-                    part = near[at : at + 64]
-                    if len(kept) == k and row[part[0]] < -kept[-1][0]:
-                        break
-                    scores = [max(-(1 << 63), min((1 << 63) - 1, s)) for s in (b.exact[part] @ exact[q]).tolist()]
-                    kept = sorted([*kept, *((-s, i) for s, i in zip(scores, b.ids[part].tolist()))])[:k]
-                best[query] = kept
+            for part in strips(ids):
+                exact = integers(vectors[part])
+                _, high = b.bounds(exact.astype(np.float64))
+                for query, own, row in zip(ids[part].tolist(), exact, high):
+                    best[query] = visited(b, query, own, row, best.get(query, []))
         rows = [(q, i, -s) for q, kept in best.items() for s, i in kept]
         columns = list(zip(*rows)) if rows else [[]] * 3
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["query_id", "vec_id", "score"])
 
+    def visited(b: Block, query: int, own: np.ndarray, high: np.ndarray, kept: list[tuple[int, int]]) -> list[tuple[int, int]]:
+        """The k best (-score, vec_id) of ``kept`` and a block, whose exact vectors are read by falling bound."""
+        near = np.flatnonzero((high >= reach.value.get(query, -np.inf)) & (b.ids != query))
+        near = near[np.argsort(-high[near], kind="stable")]
+        for at in range(0, len(near), 64):
+            part = near[at : at + 64]
+            if len(kept) == k and high[part[0]] < -kept[-1][0]:
+                break
+            scores = [max(-(1 << 63), min((1 << 63) - 1, s)) for s in (b.exact[part] @ own).tolist()]
+            kept = sorted([*kept, *((-s, i) for s, i in zip(scores, b.ids[part].tolist()))])[:k]
+        return kept
+
     scored = file.mapInArrow(refine, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+    written = stage(ranked.select("query_id", "rank", "vec_id", "score"))
+    sent.unpersist()
+    reach.unpersist()
+    return written

@@ -150,6 +150,26 @@ def test_top_k_by_brute_force(spark):
     assert va_file.top_k(vectors.limit(0), vectors.vec_id % 100 == 0, 10).count() == 0
 
 
+def test_top_k_of_many_queries_and_repeated_ids(spark):
+    """More queries than a strip and a wave; of rows with a query's id the smallest vector that takes part asks."""
+    rng = np.random.default_rng(7)
+    rows = [(k, [float(x) for x in v]) for k, v in enumerate(rng.integers(-3, 4, size=(900, 5)))]
+    rows += [(10, [float("nan")] * 5), (10, [-9.0, 1.0, 2.0, 3.0, 4.0]), (20, rows[20][1]), (30, None)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    good = [(i, v) for i, v in rows if v and np.isfinite(v).all()]
+    asks = {}
+    for i, v in good:
+        if i % 2 == 0:
+            asks[i] = min(asks.get(i, v), v)
+    want = []
+    for q, a in asks.items():
+        scores = sorted((-int(1024 * 1024 * np.dot(a, b)), i) for i, b in good if i != q)[:10]
+        want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(scores)]
+    for wave in (4096, 300):
+        got = va_file.top_k(vectors, vectors.vec_id % 2 == 0, 10, wave=wave).collect()
+        assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in got) == sorted(want)
+
+
 KINDS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
     "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
