@@ -135,10 +135,11 @@ def op8_top_k(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("op5_simhash")
 def op5_simhash(spark: SparkSession, sf: str) -> DataFrame:
-    """Fingerprints of every document and of its edited text."""
-    from postgrain.llm.simhash import edit_study
+    """Fingerprints of every document and of its edited text, and the group of near fingerprints it belongs to."""
+    from postgrain.llm.simhash import edit_study, with_near_id
+    from postgrain.session import stage
 
-    return edit_study(table(spark, sf, "documents"))
+    return with_near_id(stage(edit_study(table(spark, sf, "documents"))))
 
 
 LINK_SQL = r"""

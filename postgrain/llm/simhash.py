@@ -6,7 +6,18 @@ the sign of each bit's total. A text without words has the fingerprint 0, and so
 
 The search cuts fingerprints into blocks. Fingerprints within the radius agree on at least (blocks - radius) whole blocks,
 so there is one table for each choice of such blocks, keyed by the blocks permuted to the front. Equal fingerprints are
-collapsed first, so that a group of copies is one entry.
+collapsed first, so that a group of copies is one entry. ``within_radius`` lists all pairs, for tables in which few are near;
+``near_groups`` gives the components of these links and never forms all pairs of a bucket:
+
+1. Every entry of a bucket meets the smallest one, which settles buckets of near-equal fingerprints.
+2. Buckets whose entries are still of several components are open. In an open bucket of at most ``SMALL`` entries those of
+   different components meet.
+3. A larger open bucket is cut anew: its entries agree on the bucket's bits, so the remaining bits are divided into blocks
+   and the entries go to one smaller bucket for each choice of blocks, as in the first tables. No link is lost, as entries
+   within the radius agree on some choice again. A bucket that agrees on all bits but ``w`` has at most 2^w entries, so the
+   cuts come to an end.
+
+Very long texts are read whole. An empty table has empty results. Other columns play no part.
 """
 
 from __future__ import annotations
@@ -19,10 +30,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from postgrain.llm.group_join import components
 from postgrain.llm.hashing import mix, run_hashes, word_hashes
 from postgrain.session import stage
 
 BITS = 128
+SMALL = 64  # entries of a bucket that are compared directly where their components differ
 
 
 def fingerprint(text: bytes) -> bytes:
@@ -150,3 +163,89 @@ def within_radius(prints: DataFrame, radius: int = 3, blocks: int = 8, column: s
     distance = halves[0] + halves[1] + halves[2] + halves[3]
     found = both.select(F.col("x.p").alias("a"), F.col("y.p").alias("b"), distance.cast("int").alias("distance"))
     return found.filter(F.col("distance") <= radius).distinct()
+
+
+def cut(used: int, blocks: int, agree: int) -> list[int]:
+    """Masks of ``used`` bits and the bits of ``agree`` of the ``blocks`` blocks into which the others are divided."""
+    left = [k for k in range(BITS) if not used >> k & 1]
+    parts = [sum(1 << k for k in part.tolist()) for part in np.array_split(np.array(left, dtype=object), blocks)]
+    return [used | sum(chosen) for chosen in combinations(parts, agree)]
+
+
+def buckets(entries: DataFrame, radius: int, blocks: int) -> DataFrame:
+    """Entries (p, used), a fingerprint and the mask that it shares with its bucket, in the buckets of the next cut.
+
+    Columns key (64 bits of mask and shared bits), used, p; all masks are binary of 16 bytes.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            masks = batch.column("used").dictionary_encode()
+            prints = np.frombuffer(b"".join(batch.column("p").to_pylist()), dtype=">u8").reshape(-1, 2).astype(np.uint64)
+            which = masks.indices.to_numpy()
+            for number, used in enumerate(masks.dictionary.to_pylist()):
+                rows = np.flatnonzero(which == number)
+                own = batch.column("p").take(pa.array(rows))
+                for mask in cut(int.from_bytes(used, "big"), blocks, blocks - radius):
+                    wide = mask.to_bytes(BITS // 8, "big")
+                    high, low = (np.uint64(x) for x in np.frombuffer(wide, dtype=">u8"))
+                    salt = mix(np.array([high ^ mix(np.array([low]))[0]], dtype=np.uint64))[0]
+                    key = mix(mix(prints[rows, 0] & high ^ salt) ^ prints[rows, 1] & low)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(key.view(np.int64)), pa.array([wide] * len(rows), pa.binary()), own], ["key", "used", "p"]
+                    )
+
+    return entries.select("p", "used").mapInArrow(run, "key long, used binary, p binary")
+
+
+def apart(a: str, b: str) -> Column:
+    """The Hamming distance of two fingerprints of 16 bytes."""
+    halves = [f"bit_count(conv(hex(substring({a}, {k}, 4)), 16, 10)::bigint ^ conv(hex(substring({b}, {k}, 4)), 16, 10)::bigint)" for k in (1, 5, 9, 13)]
+    return F.expr(" + ".join(halves))
+
+
+def near_groups(prints: DataFrame, radius: int = 3, blocks: int = 4, column: str = "fingerprint") -> DataFrame:
+    """Columns fingerprint, lowest: for each fingerprint (hex) that others reach by links of at most ``radius`` bits, the
+    smallest fingerprint of its component. That one itself and fingerprints without a link have no row; nulls and repeated
+    rows add none.
+    """
+    if not 0 < radius < blocks:
+        raise ValueError("more blocks than radius are needed")
+    nothing = F.lit(bytes(BITS // 8))
+    distinct = stage(prints.filter(F.col(column).isNotNull()).select(F.unhex(column).alias("p")).distinct())
+    entries, linked, edges = distinct.withColumn("used", nothing), None, None
+    while True:
+        keyed = buckets(entries, radius, blocks)
+        filled = keyed.groupBy("key", "used").agg(F.min("p").alias("first"), F.max("p").alias("last"), F.count(F.lit(1)).alias("n"))
+        filled = stage(filled.filter("first <> last"))
+        # Buckets of one entry leave before the shuffle where Spark finds ``filled`` small enough to send.
+        met = stage(keyed.join(filled.select("key", "used", "first", "n"), ["key", "used"]))
+        found = met.filter((F.col("p") != F.col("first")) & (apart("p", "first") <= radius)).select(F.col("p").alias("a"), F.col("first").alias("b")).distinct()
+        edges = stage(found if edges is None else edges.unionByName(found).distinct())
+        linked = stage(components(edges))
+        own = linked.select(F.col("node").alias("p"), "component")
+        labelled = met.join(own, "p", "left").withColumn("component", F.coalesce("component", "p"))
+        labelled = stage(labelled.select("key", "used", "n", "p", "component"))
+        several = labelled.groupBy("key", "used").agg(F.min("component").alias("x"), F.max("component").alias("y"))
+        open_ = stage(labelled.join(several.filter("x <> y").select("key", "used"), ["key", "used"], "left_semi"))
+        small = open_.filter(F.col("n") <= SMALL)
+        both = small.alias("l").join(small.alias("r"), ["key", "used"]).filter(F.col("l.component") < F.col("r.component"))
+        across = both.select(F.col("l.p").alias("a"), F.col("r.p").alias("b")).filter(apart("a", "b") <= radius).distinct()
+        edges = stage(edges.unionByName(across))
+        entries = stage(open_.filter(F.col("n") > SMALL).select("p", "used").distinct())
+        if entries.isEmpty():
+            break
+    linked = components(edges)
+    return linked.select(F.lower(F.hex("node")).alias("fingerprint"), F.lower(F.hex("component")).alias("lowest"))
+
+
+def with_near_id(docs: DataFrame, radius: int = 3) -> DataFrame:
+    """``docs`` (doc_id, fingerprint, others) with near_id, the smallest doc_id among the documents whose fingerprints links
+    of at most ``radius`` bits reach, equal fingerprints included. A null id is a component's only where it has no other; a null fingerprint has no near_id.
+    """
+    own = stage(docs.groupBy("fingerprint").agg(F.min("doc_id").alias("first")))
+    groups = stage(near_groups(own, radius))
+    of = own.join(groups, "fingerprint", "left").withColumn("lowest", F.coalesce("lowest", "fingerprint"))
+    least = of.groupBy("lowest").agg(F.min("first").alias("near_id"))
+    by_print = of.join(least, "lowest").select("fingerprint", "near_id")
+    return docs.join(by_print, "fingerprint", "left").select(*docs.columns, "near_id")

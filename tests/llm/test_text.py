@@ -141,6 +141,91 @@ def test_radius_search_by_brute_force(spark):
     assert {(r.a, r.b) for r in got} == want and len(got) == len(want)
 
 
+def near_components(prints):
+    """The smallest fingerprint that each of ``prints`` (hex) reaches by links of at most three bits."""
+    values = sorted(set(prints))
+    numbers = [int(p, 16) for p in values]
+    label = list(range(len(values)))
+
+    def find(a):
+        while label[a] != a:
+            a = label[a]
+        return a
+
+    for a in range(len(values)):
+        for b in range(a):
+            if (numbers[a] ^ numbers[b]).bit_count() <= 3:
+                x, y = find(a), find(b)
+                label[max(x, y)] = min(x, y)
+    return {p: values[find(k)] for k, p in enumerate(values)}
+
+
+def flipped(value, bits):
+    for bit in bits:
+        value ^= 1 << bit
+    return value
+
+
+def crowded_prints(rng):
+    """Scattered fingerprints with neighbours, a dense cube, and many that share most bits and mostly lie four bits or more apart."""
+    values = [rng.getrandbits(128) for _ in range(40)]
+    values += [flipped(v, rng.sample(range(128), n)) for v in values for n in (1, 3, 4, 5)]
+    center, other = rng.getrandbits(128), rng.getrandbits(128)
+    values += [center ^ k for k in range(256)]
+    values += [flipped(other, rng.sample(range(100, 124), rng.choice([4, 6, 8]))) for _ in range(400)]
+    values += [flipped(other, rng.sample(range(0, 128, 5), 7)) for _ in range(300)]
+    return [f"{v:032x}" for v in values]
+
+
+def test_near_groups_by_brute_force(spark):
+    prints = crowded_prints(random.Random(9))
+    want = {p: low for p, low in near_components(prints).items() if p != low}
+    assert len(set(want.values())) > 20
+    table = spark.createDataFrame([(p,) for p in [*prints, *prints[:50], None]], "fingerprint string")
+    got = simhash.near_groups(table).collect()
+    assert {r.fingerprint: r.lowest for r in got} == want and len(got) == len(want)
+    assert simhash.near_groups(table.limit(0)).count() == 0
+    assert simhash.within_radius(table.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        simhash.near_groups(table, 4, 4)
+
+
+@pytest.mark.parametrize("used", [0, (1 << 90) - 1, ((1 << 128) - 1) ^ 0b1111111 << 30])
+def test_cuts_lose_no_link(used):
+    """Fingerprints that agree on ``used`` and lie within the radius agree on one of the next masks; every mask is larger."""
+    rng = random.Random(used)
+    masks = simhash.cut(used, 4, 1)
+    assert all(m & used == used and m != used for m in masks)
+    free = [k for k in range(128) if not used >> k & 1]
+    for _ in range(500):
+        differ = flipped(0, rng.sample(free, rng.randrange(4)))
+        assert any(differ & m == 0 for m in masks)
+
+
+def test_large_open_buckets_are_cut_anew(spark):
+    """Two hundred fingerprints that agree on 96 bits but hardly link: no bucket of them is compared pair by pair."""
+    rng = random.Random(10)
+    found = []
+    while len(found) < 200:
+        new = rng.getrandbits(32)
+        if all((new ^ x).bit_count() > 3 for x in found):
+            found.append(new)
+    found += [x ^ 0b1001 for x in found[:30]]
+    prints = [f"{x:032x}" for x in found]
+    got = simhash.near_groups(spark.createDataFrame([(p,) for p in prints], "fingerprint string")).collect()
+    assert {r.fingerprint: r.lowest for r in got} == {p: low for p, low in near_components(prints).items() if p != low}
+
+
+def test_near_ids(spark):
+    a, b, far = "0" * 32, "0" * 31 + "7", "f" * 32
+    rows = [(5, b, 1), (3, a, 1), (None, a, 2), (9, far, 1), (9, far, 1), (None, "5" * 32, 1), (8, None, 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, fingerprint string, lowest int")
+    got = simhash.with_near_id(docs.withColumnRenamed("lowest", "first")).collect()
+    want = [(*r, {a: 3, b: 3, far: 9}.get(r[1])) for r in rows]
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+    assert simhash.with_near_id(docs.limit(0)).count() == 0
+
+
 PAGE = """<html><head><title>T</title><style>p{}</style></head><body><header><h1>Site</h1><p>Welcome to the best site there is.</p></header>
 <div id="cookie-notice"><p>We use cookies on this site. Please accept all of them.</p></div><nav><a href=1>Home</a></nav>
 <main><div class="post-content with-sidebar"><h1>Title &amp; more</h1><p>First   paragraph, with a <a href=x>link</a> and&nbsp;text.<br>Same block.
