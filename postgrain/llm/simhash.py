@@ -9,13 +9,12 @@ so there is one table for each choice of such blocks, keyed by the blocks permut
 collapsed first, so that a group of copies is one entry. ``within_radius`` lists all pairs, for tables in which few are near;
 ``near_groups`` gives the components of these links and never forms all pairs of a bucket:
 
-1. Every entry of a bucket meets the smallest one, which settles buckets of near-equal fingerprints.
-2. Buckets whose entries are still of several components are open. In an open bucket of at most ``SMALL`` entries those of
-   different components meet.
-3. A larger open bucket is cut anew: its entries agree on the bucket's bits, so the remaining bits are divided into blocks
-   and the entries go to one smaller bucket for each choice of blocks, as in the first tables. No link is lost, as entries
-   within the radius agree on some choice again. A bucket that agrees on all bits but ``w`` has at most 2^w entries, so the
-   cuts come to an end.
+1. The entries of a bucket of at most ``SMALL`` are compared within one task, which returns only what connects them.
+2. In a larger bucket every entry meets the smallest one. If all lie within the radius of it, or all are of one component by
+   the links found so far, the bucket is settled.
+3. Else it is cut anew: the bits in which its entries vary are divided into blocks, and the entries go to one smaller bucket
+   for each choice of blocks, as in the first tables. No link is lost, as entries within the radius agree on some choice
+   again. Entries that vary in ``w`` bits are at most 2^w, so the cuts come to an end.
 
 Very long texts are read whole. An empty table has empty results. Other columns play no part.
 """
@@ -35,7 +34,7 @@ from postgrain.llm.hashing import mix, run_hashes, word_hashes
 from postgrain.session import stage
 
 BITS = 128
-SMALL = 64  # entries of a bucket that are compared directly where their components differ
+SMALL = 1024  # entries of a bucket that one task compares: 16 MB of distances
 
 
 def fingerprint(text: bytes) -> bytes:
@@ -204,35 +203,66 @@ def apart(a: str, b: str) -> Column:
     return F.expr(" + ".join(halves))
 
 
-def near_groups(prints: DataFrame, radius: int = 3, blocks: int = 4, column: str = "fingerprint") -> DataFrame:
+def forest(prints: np.ndarray, radius: int) -> list[tuple[int, int]]:
+    """Places (a, b), b the first of a's component, of fingerprints (rows of two words) linked within the radius."""
+    apart_by = sum(np.bitwise_count(prints[:, None, k] ^ prints[None, :, k]) for k in range(2))
+    near, fresh, out = apart_by <= radius, np.ones(len(prints), dtype=bool), []
+    for first in range(len(prints)):
+        reached = np.array([first] if fresh[first] else [], dtype=int)
+        while len(reached):
+            fresh[reached] = False
+            out += [(k, first) for k in reached.tolist() if k != first]
+            reached = np.flatnonzero(near[reached].any(axis=0) & fresh)
+    return out
+
+
+def shared(a: str, b: str) -> Column:
+    """Over a group, the mask of the bits in which no ``a`` differs from ``b``."""
+    words = [f"conv(hex(substring({{}}, {k}, 4)), 16, 10)::bigint" for k in (1, 5, 9, 13)]
+    same = [f"lpad(hex(4294967295 ^ bit_or({w.format(a)} ^ {w.format(b)})), 8, '0')" for w in words]
+    return F.expr(f"unhex(concat({', '.join(same)}))")
+
+
+def near_groups(prints: DataFrame, radius: int = 3, blocks: int = 4, column: str = "fingerprint", small: int = SMALL) -> DataFrame:
     """Columns fingerprint, lowest: for each fingerprint (hex) that others reach by links of at most ``radius`` bits, the
     smallest fingerprint of its component. That one itself and fingerprints without a link have no row; nulls and repeated
     rows add none.
     """
-    if not 0 < radius < blocks:
-        raise ValueError("more blocks than radius are needed")
-    nothing = F.lit(bytes(BITS // 8))
-    distinct = stage(prints.filter(F.col(column).isNotNull()).select(F.unhex(column).alias("p")).distinct())
-    entries, linked, edges = distinct.withColumn("used", nothing), None, None
+    if not 0 < radius < blocks or small < 1 << blocks:
+        raise ValueError("more blocks than radius are needed, and small buckets of 2^blocks entries or more")
+
+    def connect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = [], []
+            for own in batch.column("own").to_pylist():
+                words = np.frombuffer(b"".join(own), dtype=">u8").reshape(-1, 2).astype(np.uint64)
+                for x, y in forest(words, radius):
+                    a.append(own[x])
+                    b.append(own[y])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+
+    distinct = prints.filter(F.col(column).isNotNull()).select(F.unhex(column).alias("p")).distinct()
+    entries, edges = stage(distinct.withColumn("used", F.lit(bytes(BITS // 8)))), None
     while True:
         keyed = buckets(entries, radius, blocks)
-        filled = keyed.groupBy("key", "used").agg(F.min("p").alias("first"), F.max("p").alias("last"), F.count(F.lit(1)).alias("n"))
-        filled = stage(filled.filter("first <> last"))
+        filled = keyed.groupBy("key", "used").agg(F.min("p").alias("first"), F.count(F.lit(1)).alias("n"))
         # Buckets of one entry leave before the shuffle where Spark finds ``filled`` small enough to send.
-        met = stage(keyed.join(filled.select("key", "used", "first", "n"), ["key", "used"]))
-        found = met.filter((F.col("p") != F.col("first")) & (apart("p", "first") <= radius)).select(F.col("p").alias("a"), F.col("first").alias("b")).distinct()
-        edges = stage(found if edges is None else edges.unionByName(found).distinct())
-        linked = stage(components(edges))
-        own = linked.select(F.col("node").alias("p"), "component")
-        labelled = met.join(own, "p", "left").withColumn("component", F.coalesce("component", "p"))
-        labelled = stage(labelled.select("key", "used", "n", "p", "component"))
-        several = labelled.groupBy("key", "used").agg(F.min("component").alias("x"), F.max("component").alias("y"))
-        open_ = stage(labelled.join(several.filter("x <> y").select("key", "used"), ["key", "used"], "left_semi"))
-        small = open_.filter(F.col("n") <= SMALL)
-        both = small.alias("l").join(small.alias("r"), ["key", "used"]).filter(F.col("l.component") < F.col("r.component"))
-        across = both.select(F.col("l.p").alias("a"), F.col("r.p").alias("b")).filter(apart("a", "b") <= radius).distinct()
-        edges = stage(edges.unionByName(across))
-        entries = stage(open_.filter(F.col("n") > SMALL).select("p", "used").distinct())
+        met = stage(keyed.join(stage(filled.filter("n > 1")), ["key", "used"]))
+        lists = met.filter(F.col("n") <= small).groupBy("key", "used").agg(F.sort_array(F.collect_list("p")).alias("own"))
+        within = lists.select("own").mapInArrow(connect, "a binary, b binary")
+        large = met.filter(F.col("n") > small).withColumn("far", apart("p", "first"))
+        stars = large.filter(F.col("far").between(1, radius)).select(F.col("p").alias("a"), F.col("first").alias("b"))
+        found = within.unionByName(stars).distinct()
+        edges = stage(found) if edges is None else edges.unionByName(stage(found))
+        wide = large.groupBy("key", "used").agg(F.max("far").alias("spread"), shared("p", "first").alias("common"))
+        wide = stage(large.join(wide.filter(F.col("spread") > radius), ["key", "used"]).select("key", "common", "p"))
+        if wide.isEmpty():
+            break
+        own = components(edges).select(F.col("node").alias("p"), "component")
+        labelled = stage(wide.join(own, "p", "left").withColumn("component", F.coalesce("component", "p")))
+        several = labelled.groupBy("key", "common").agg(F.min("component").alias("x"), F.max("component").alias("y"))
+        still = labelled.join(several.filter("x <> y").select("key", "common"), ["key", "common"], "left_semi")
+        entries = stage(still.select("p", F.col("common").alias("used")).distinct())
         if entries.isEmpty():
             break
     linked = components(edges)

@@ -182,8 +182,9 @@ def test_near_groups_by_brute_force(spark):
     want = {p: low for p, low in near_components(prints).items() if p != low}
     assert len(set(want.values())) > 20
     table = spark.createDataFrame([(p,) for p in [*prints, *prints[:50], None]], "fingerprint string")
-    got = simhash.near_groups(table).collect()
-    assert {r.fingerprint: r.lowest for r in got} == want and len(got) == len(want)
+    for small in (simhash.SMALL, 64):
+        got = simhash.near_groups(table, small=small).collect()
+        assert {r.fingerprint: r.lowest for r in got} == want and len(got) == len(want)
     assert simhash.near_groups(table.limit(0)).count() == 0
     assert simhash.within_radius(table.limit(0)).count() == 0
     with pytest.raises(ValueError):
@@ -202,8 +203,8 @@ def test_cuts_lose_no_link(used):
         assert any(differ & m == 0 for m in masks)
 
 
-def test_large_open_buckets_are_cut_anew(spark):
-    """Two hundred fingerprints that agree on 96 bits but hardly link: no bucket of them is compared pair by pair."""
+def test_wide_buckets_are_cut_anew(spark):
+    """Two hundred fingerprints that agree on 96 bits but hardly link: tasks compare sixteen at a time."""
     rng = random.Random(10)
     found = []
     while len(found) < 200:
@@ -212,7 +213,7 @@ def test_large_open_buckets_are_cut_anew(spark):
             found.append(new)
     found += [x ^ 0b1001 for x in found[:30]]
     prints = [f"{x:032x}" for x in found]
-    got = simhash.near_groups(spark.createDataFrame([(p,) for p in prints], "fingerprint string")).collect()
+    got = simhash.near_groups(spark.createDataFrame([(p,) for p in prints], "fingerprint string"), small=16).collect()
     assert {r.fingerprint: r.lowest for r in got} == {p: low for p, low in near_components(prints).items() if p != low}
 
 
