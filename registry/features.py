@@ -121,7 +121,7 @@ def sae_encode_fixed(spark, sf):
          sum(value) as sparsity, count(*) filter (value > 0) as active
   from acts a join pairs p on p.pair_id = a.pair_id group by a.pair_id)
 select round(avg(recon), 6) as recon, round(avg(sparsity), 6) as sparsity,
-  round(avg(recon) + 0.05 * avg(sparsity), 6) as loss, round(sum(active) / (8.0 * count(*)), 6) as density from per""",
+  round(avg(recon) + 0.05 * avg(sparsity), 6) as loss, round(sum(active) / ({fx.FIXED_FEATURES}.0 * count(*)), 6) as density from per""",
 )
 def sae_losses_fixed(spark, sf):
     losses = ae.sae_losses(_encoded(spark, sf), fx.fixed_sae())

@@ -21,8 +21,8 @@ FIXED_WEIGHTS = [((j % 7) - 3) / 10.0 for j in range(DIM)]
 FIXED_BIAS = 0.1
 FIXED_MODEL = LinearModel(np.array(FIXED_WEIGHTS), FIXED_BIAS)
 
-# Eight autoencoder features that read one coordinate each.
-FIXED_FEATURES = 8
+# An autoencoder feature for each coordinate.
+FIXED_FEATURES = DIM
 ENCODER_BIAS = -0.1
 
 
