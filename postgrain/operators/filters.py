@@ -61,8 +61,11 @@ def corpus_prefilter(
 
 
 def in_topics(df: DataFrame, topics: DataFrame, n_topics: int) -> DataFrame:
-    """Rows of the chosen clusters, with their ``topic_name``; ``topics`` is the dimension of ``n_topics`` rows."""
-    dim = topics.select(F.col("cluster_id").alias("topic"), "topic_name")
+    """Rows of the chosen clusters, with their ``topic_name``; ``topics`` is the dimension of ``n_topics`` rows.
+
+    A cluster listed twice counts once, with the greatest of its names.
+    """
+    dim = topics.groupBy(F.col("cluster_id").alias("topic")).agg(F.max("topic_name").alias("topic_name"))
     return df.join(broadcast_bounded(dim, n_topics), "topic").withColumnRenamed("topic", "cluster_id")
 
 

@@ -248,3 +248,11 @@ def test_annotate_keeps_earlier_axes(spark):
     dataset = spark.createDataFrame([("a", "{1}"), ("b", None), ("c", "{3}")], "post_id string, axes_json string")
     axes = spark.createDataFrame([("a", "{9}")], "post_id string, axes_json string")
     assert {r.post_id: r.axes_json for r in plan.annotate(dataset, axes).collect()} == {"a": "{9}", "b": None, "c": "{3}"}
+
+
+def test_topics_listed_twice(spark):
+    posts = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3), ("d", None)], "post_id string, topic int")
+    dim = spark.createDataFrame([(1, "one"), (1, "uno"), (2, "two"), (None, "none")], "cluster_id int, topic_name string")
+    got = filters.in_topics(posts, dim, 4).select("post_id", "cluster_id", "topic_name").collect()
+    assert sorted(map(tuple, got)) == [("a", 1, "uno"), ("b", 2, "two")]
+    assert filters.in_topics(posts, dim.limit(0), 0).count() == 0
