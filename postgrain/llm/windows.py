@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from postgrain.llm.hashing import CASED, chunks, mix, run_hashes, word_bounds, word_hashes
 from postgrain.llm.ordering import positions
+from postgrain.llm.workers import lean
 from postgrain.session import stage
 
 RUN = 8
@@ -88,21 +89,47 @@ class Windows:
         return self.starts[found]
 
 
+@dataclass
+class Counters:
+    """Counters up to two, a bit of ``once`` and a bit of ``twice`` for each."""
+
+    once: np.ndarray
+    twice: np.ndarray
+
+    @classmethod
+    def of(cls, n: int) -> Counters:
+        return cls(np.zeros(n // 8, dtype=np.uint8), np.zeros(n // 8, dtype=np.uint8))
+
+    def add(self, c: np.ndarray) -> None:
+        """Count each of ``c``."""
+        c = np.sort(c)
+        at, bits = set_bits(c[1:][c[1:] == c[:-1]])
+        self.twice[at] |= bits
+        at, bits = set_bits(c)
+        self.twice[at] |= bits & self.once[at]
+        self.once[at] |= bits
+
+
+def set_bits(places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes that hold the bits at rising ``places``, each once, and these bits in them."""
+    at = places >> 3
+    heads = np.flatnonzero(np.diff(at, prepend=-1))
+    return at[heads], np.bitwise_or.reduceat(np.uint8(1) << (places & 7).astype(np.uint8), heads) if len(heads) else np.zeros(0, dtype=np.uint8)
+
+
 def sketch(texts: DataFrame, size: int) -> np.ndarray:
     """A bit for each counter of the added sketches: whether it reached two."""
     n, width = DEPTH << WIDTH_BITS, 1 << SLICE_BITS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(n, dtype=np.uint8)
+        total = Counters.of(n)
         for batch in batches:
             for _, raw, offsets in chunks(batch.column("text")):
                 for c in cells(Windows.of(raw, offsets, size).counted()):
-                    place, times = np.unique(c, return_counts=True)
-                    total[place] = np.minimum(total[place] + np.minimum(times, 2), 2)
-        for k, part in enumerate(total.reshape(-1, width)):
-            if part.any():
-                bits = [np.packbits(part >= least, bitorder="little").tobytes() for least in (1, 2)]
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), *(pa.array([b], pa.binary()) for b in bits)], ["slice", "once", "twice"])
+                    total.add(c)
+        for k, bits in enumerate(zip(*(x.reshape(-1, width // 8) for x in (total.once, total.twice)))):
+            if bits[0].any():
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), *(pa.array([b.tobytes()], pa.binary()) for b in bits)], ["slice", "once", "twice"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: dict[int, list[np.ndarray]] = {}
@@ -117,8 +144,8 @@ def sketch(texts: DataFrame, size: int) -> np.ndarray:
 
     # As many sketches as cores: each has a fixed size, however much text it counts.
     counted = texts.select("text").coalesce(texts.sparkSession.sparkContext.defaultParallelism)
-    parts = counted.mapInArrow(count, "slice int, once binary, twice binary")
-    added = parts.repartition(n // width, "slice").mapInArrow(add, "slice int, twice binary")
+    parts = counted.mapInArrow(lean(count), "slice int, once binary, twice binary")
+    added = parts.repartition(n // width, "slice").mapInArrow(lean(add), "slice int, twice binary")
     twice = np.zeros(n // 8, dtype=np.uint8)
     for row in added.toLocalIterator():  # n / 8 bytes in all
         twice[row["slice"] * width // 8 : (row["slice"] + 1) * width // 8] = np.frombuffer(row["twice"], dtype=np.uint8)
@@ -154,7 +181,7 @@ def first_places(texts: DataFrame, size: int, twice) -> DataFrame:
                     columns = [*hashes, ids[row + of], turns[row + of], (starts - windows.firsts[of]).astype(np.int32)]
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["h", "g", "id", "turn", "start"])
 
-    found = texts.mapInArrow(candidates, "h long, g int, id long, turn long, start int")
+    found = texts.mapInArrow(lean(candidates), "h long, g int, id long, turn long, start int")
     first = found.groupBy("h", "g").agg(F.min(F.struct("id", "turn", "start")).alias("first")).select("first.*")
     return stage(first.groupBy("id", "turn").agg(F.collect_list("start").alias("first")))
 
@@ -195,7 +222,7 @@ def remove_repeats(docs: DataFrame, size: int = 20) -> DataFrame:
                 counts = [pa.array(np.diff(x)) for x in (windows.firsts, before)]
                 yield pa.RecordBatch.from_arrays([batch.column(c).slice(row, n) for c in ("doc_id", "copies")] + counts + [text], ["doc_id", "copies", "n_words", "n_removed", "kept"])
 
-    settled = joined.select("doc_id", "copies", "text", "first").mapInArrow(settle, "doc_id long, copies long, n_words long, n_removed long, kept string")
+    settled = joined.select("doc_id", "copies", "text", "first").mapInArrow(lean(settle), "doc_id long, copies long, n_words long, n_removed long, kept string")
     repeat = settled.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
     again = (F.col("copy") > 1) & (F.col("n_words") >= size)  # all its windows also start in the copy before
     return repeat.select(

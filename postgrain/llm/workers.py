@@ -2,11 +2,31 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from typing import TypeVar
 
+import pyarrow as pa
+
 T = TypeVar("T")
+Batches = Iterator[pa.RecordBatch]
+
+
+def lean(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """``run``, after which the worker gives the memory that it no longer uses back to the system.
+
+    Workers outlive their tasks; what allocators hold for them would be missing in the tasks of other operators.
+    """
+
+    def then_release(batches: Batches) -> Batches:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library
+        if trim is not None:
+            trim(0)
+
+    return then_release
 
 
 def only(operator: str) -> dict:

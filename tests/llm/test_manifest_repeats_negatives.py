@@ -152,6 +152,19 @@ def test_sketch_only_overestimates():
             assert len(set(runs)) == 1 and counts[runs[0]] >= len(runs)
 
 
+def test_counters_are_two_bits():
+    """Counts up to two as by numpy, in a quarter of a byte each (a byte each took an executor beyond its memory)."""
+    rng, n = np.random.default_rng(5), 1 << 12
+    counters, total = windows.Counters.of(n), np.zeros(n, dtype=np.int64)
+    assert counters.once.nbytes + counters.twice.nbytes == n // 4
+    for size in (0, 1, 300, 2000):
+        c = rng.integers(0, n, size)
+        counters.add(c)
+        total += np.bincount(c, minlength=n)
+    for least, bits in ((1, counters.once), (2, counters.twice)):
+        assert (np.unpackbits(bits, bitorder="little").astype(bool) == (total >= least)).all()
+
+
 def test_small_sketch_loses_nothing(spark, documents, monkeypatch):
     """A sketch in which most counters meet gives the same result."""
     rows = [(k, " ".join(f"w{(k % 5) * 7 + j % 31}" for j in range(60))) for k in range(40)]
