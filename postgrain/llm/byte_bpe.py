@@ -22,7 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
-from postgrain.llm.workers import per_worker
+from postgrain.llm.hashing import pieces
+from postgrain.llm.workers import lean, per_worker
 
 CACHED_BYTES = 48 << 20  # about, in each half of a worker's cache; a full half becomes the older one
 ENTRY_BYTES = 240  # of a cached pre-token besides its characters and ids
@@ -143,17 +144,23 @@ def loaded(path: str, pattern: str) -> ByteBpe:
     return per_worker(("byte_bpe", path, pattern), lambda: ByteBpe.load(path, pattern))
 
 
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches by bytes of text, not rows: the ids of a slice, as Python lists, take some ten times the room of its text."""
+    for batch in batches:
+        yield from pieces(batch, "__text")
+
+
 def encode(docs: DataFrame, path: str, pattern: str, keep: list[str], text: str = "text") -> DataFrame:
     """Columns ``keep`` with the array ``ids``. ``path`` is the rank file, which every executor has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(path, pattern)
-        for batch in batches:
+        for batch in slices(batches):
             ids = pa.array([bpe.encode(x.as_py()) for x in batch.column("__text")], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [ids], [*keep, "ids"])
 
     made = docs.select(*keep, F.col(text).alias("__text"))
-    return made.mapInArrow(run, docs.select(*keep).schema.add("ids", ArrayType(IntegerType())))
+    return made.mapInArrow(lean(run), docs.select(*keep).schema.add("ids", ArrayType(IntegerType())))
 
 
 def decode(encoded: DataFrame, path: str, pattern: str, keep: list[str]) -> DataFrame:
@@ -166,7 +173,7 @@ def decode(encoded: DataFrame, path: str, pattern: str, keep: list[str]) -> Data
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [out], [*keep, "decoded"])
 
     made = encoded.select(*keep, F.col("ids").alias("__ids"))
-    return made.mapInArrow(run, encoded.select(*keep).schema.add("decoded", "binary"))
+    return made.mapInArrow(lean(run), encoded.select(*keep).schema.add("decoded", "binary"))
 
 
 def encode_and_check(docs: DataFrame, path: str, pattern: str, keep: list[str], text: str = "text") -> DataFrame:
@@ -177,7 +184,7 @@ def encode_and_check(docs: DataFrame, path: str, pattern: str, keep: list[str],
         from hashlib import sha256
 
         bpe = loaded(path, pattern)
-        for batch in batches:
+        for batch in slices(batches):
             ids = [bpe.encode(x.as_py()) for x in batch.column("__text")]
             made = [
                 pa.array([len(x) for x in ids], pa.int64()),
@@ -186,7 +193,7 @@ def encode_and_check(docs: DataFrame, path: str, pattern: str, keep: list[str],
             ]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + made, schema.names)
 
-    return docs.select(*keep, F.col(text).alias("__text")).mapInArrow(run, schema)
+    return docs.select(*keep, F.col(text).alias("__text")).mapInArrow(lean(run), schema)
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str, keep: list[str], text: str = "text") -> DataFrame:
@@ -198,7 +205,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str, keep: list[str], text:
 
         bpe = loaded(path, pattern)
         decimal = [str(k) for k in range(len(bpe.bytes))].__getitem__
-        for batch in batches:
+        for batch in slices(batches):
             count, ids_sha, text_sha = [], [], []
             for value in batch.column("__text"):
                 ids = bpe.encode(value.as_py())
@@ -208,4 +215,4 @@ def round_trip(docs: DataFrame, path: str, pattern: str, keep: list[str], text:
             made = [pa.array(count, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + made, schema.names)
 
-    return docs.select(*keep, F.col(text).alias("__text")).mapInArrow(run, schema)
+    return docs.select(*keep, F.col(text).alias("__text")).mapInArrow(lean(run), schema)

@@ -75,6 +75,12 @@ def chunks(column: pa.Array, size: int = 1 << 19) -> Iterator[tuple[int, np.ndar
         row = end
 
 
+def pieces(batch: pa.RecordBatch, column: str, size: int = 1 << 19) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in slices of about ``size`` bytes of ``column``, in order; a longer text is a slice of its own."""
+    for row, _, offsets in chunks(batch.column(column), size):
+        yield batch.slice(row, len(offsets) - 1)
+
+
 def word_bounds(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where each word of a slice of texts begins and ends."""
     word = _WORD[raw]

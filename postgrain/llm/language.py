@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postgrain.llm.hashing import chunks
-from postgrain.llm.workers import only
+from postgrain.llm.workers import lean, only
 from postgrain.session import stage
 
 BUCKETS = 1 << 16
@@ -153,7 +153,7 @@ def fit_languages(docs: DataFrame, key: str = "doc_id", rows_per_language: int =
                 yield pa.RecordBatch.from_arrays([pa.array(cell // ROWS), pa.array(cell % ROWS), pa.array(n)], ["lang_at", "bucket", "n"])
 
     counted = sample.coalesce(sample.sparkSession.sparkContext.defaultParallelism)
-    counts = counted.mapInArrow(count, "lang_at long, bucket long, n long").groupBy("lang_at", "bucket").agg(F.sum("n").alias("n"))
+    counts = counted.mapInArrow(lean(count), "lang_at long, bucket long, n long").groupBy("lang_at", "bucket").agg(F.sum("n").alias("n"))
     found = counts.toPandas()  # at most languages x ROWS rows, however long the texts
     table = np.zeros((len(languages), ROWS))
     table[found.lang_at, found.bucket] = found.n
@@ -175,7 +175,7 @@ def fit_languages(docs: DataFrame, key: str = "doc_id", rows_per_language: int =
         lang, bit = np.indices(right.shape)
         yield pa.RecordBatch.from_arrays([pa.array(x.ravel()) for x in (lang, bit, right)], ["lang_at", "bit", "n"])
 
-    hits = counted.mapInArrow(judge, "lang_at long, bit long, n double").groupBy("lang_at", "bit").agg(F.sum("n").alias("n")).toPandas()
+    hits = counted.mapInArrow(lean(judge), "lang_at long, bit long, n double").groupBy("lang_at", "bit").agg(F.sum("n").alias("n")).toPandas()
     right = np.zeros((len(languages), codes.shape[1] + 1))
     right[hits.lang_at, hits.bit] = hits.n
     trust = right[:, :-1] / np.maximum(right[:, -1:], 1) + 1e-9
@@ -225,5 +225,5 @@ def predict_languages(docs: DataFrame, model: LanguageModel, keep: list[str], am
             columns = [batch.column(i) for i in range(len(keep))] + [names, pa.array(np.where(known, score, 0.0))]
             yield pa.RecordBatch.from_arrays(columns, [*keep, "lang_pred", "score"])
 
-    out = made.mapInArrow(predict, schema)
+    out = made.mapInArrow(lean(predict), schema)
     return out.withColumn("ambiguous", (F.col("lang_pred") != UNKNOWN) & (F.col("score") < ambiguous_below))

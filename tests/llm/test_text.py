@@ -319,6 +319,16 @@ def test_language_sample_of_null_ids(spark, documents):
         language.fit_languages(documents([(k, "some words", f"l{k}", "a") for k in range(language.MOST_LANGUAGES + 1)]))
 
 
+def test_batches_are_cut_by_bytes():
+    """Encoders see slices of bounded bytes, a longer text alone, with all rows in order."""
+    texts = ["x" * n for n in (5, 0, 300, 2, 40, 40, 40)] + [None, "é"]
+    batch = pa.RecordBatch.from_pydict({"id": list(range(9)), "__text": texts}).slice(1)
+    cut = list(hashing.pieces(batch, "__text", 100))
+    assert [p.column("id").to_pylist() for p in cut] == [[1], [2], [3, 4, 5], [6, 7, 8]]
+    assert [t for p in cut for t in p.column("__text").to_pylist()] == texts[1:]
+    assert [len(p) for p in byte_bpe.slices(iter([batch]))] == [8]
+
+
 def test_worker_keeps_one_operator():
     from postgrain.llm.workers import per_worker
 
