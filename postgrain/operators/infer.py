@@ -11,6 +11,8 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,7 +21,7 @@ from postgrain.config import Config
 from postgrain.functions.text import FENCE, strip_fence, strip_space, truncate, two_decimals
 from postgrain.operators.joins import pending
 from postgrain.operators.numbering import batch_slots
-from postgrain.sources.tables import append_checkpoint, read_checkpoint
+from postgrain.sources.tables import append_checkpoint, exists, read_checkpoint
 from postgrain.session import broadcast_bounded, stage
 
 # The instruction texts and request formats that a model's answers depend on.
@@ -64,6 +66,7 @@ SCORE_BATCH, SCORE_CHARS = 10, 600
 LABEL_BATCH, LABEL_CHARS = 5, 500
 FALLBACK_SCORE = 0.5
 CALLS = 8  # calls in flight, unless a job names another number
+POSTS_PER_CALL = 32  # posts, for each call in flight, from which whole posts are dealt out
 
 
 class Request(str):
@@ -161,16 +164,18 @@ def infer_batches(
     base_delay: float = 2.0,
     key: Sequence[str] = ("batch_id",),
     system: str | None = None,
+    dealt: bool = False,
 ) -> DataFrame:
     """Add ``response``, the plug-in's answer to ``prompt``; null once every attempt has raised.
 
     Every request carries ``system``. Only exceptions are retried, after ``base_delay ** attempt`` seconds; when ``expect``
-    is ``json`` or ``fenced json``, an answer that does not parse counts as one. Requests are always dealt out by ``key`` to
-    ``calls`` tasks, each with one call at a time, so that a few requests do not wait for each other.
+    is ``json`` or ``fenced json``, an answer that does not parse counts as one. Requests are dealt out by ``key`` to
+    ``calls`` tasks, each with one call at a time, so that a few requests do not wait for each other; ``dealt`` says that
+    the rows come from such a repartitioning.
     """
     # By a hash of the key: a repartitioning by the key itself is left out where batches come out of a grouping by it, and
     # that grouping's few rows may then be put into one task.
-    spread = df.repartition(calls, F.xxhash64(*key))
+    spread = df if dealt else df.repartition(calls, F.xxhash64(*key))
 
     def call(prompt: str) -> str | None:
         for attempt in range(1, attempts + 1):
@@ -243,6 +248,24 @@ def rewrite_results(df: DataFrame) -> DataFrame:
     return done.select("post_id", "axis", "direction", "original", "rewrite")
 
 
+def packed(df: DataFrame, shared: Sequence[str]) -> DataFrame:
+    """Neighbouring rows that agree in the text columns ``shared`` as one row, the other columns in the array ``rows``."""
+    rest = [f for f in df.schema.fields if f.name not in shared]
+    inner = T.StructType(rest)
+    schema = T.StructType([*(df.schema[c] for c in shared), T.StructField("rows", T.ArrayType(inner, False), False)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if len(batch):
+                ends = np.unique(np.concatenate([pc.run_end_encode(batch.column(c)).run_ends.to_numpy() for c in shared]))
+                offsets = pa.array(np.concatenate([[0], ends]).astype(np.int32))
+                rows = pa.StructArray.from_arrays([batch.column(f.name) for f in rest], [f.name for f in rest])
+                first = batch.select(list(shared)).take(offsets[:-1])
+                yield pa.RecordBatch.from_arrays([*first.columns, pa.ListArray.from_arrays(offsets, rows)], [*shared, "rows"])
+
+    return df.select(*shared, *(f.name for f in rest)).mapInArrow(run, schema)
+
+
 def run_resumable(
     work: DataFrame,
     infer: Callable[[DataFrame], DataFrame],
@@ -250,18 +273,23 @@ def run_resumable(
     keys: Sequence[str],
     schema: str,
     slices: int = 1,
+    shared: Sequence[str] = (),
 ) -> DataFrame:
     """Run ``infer`` on unfinished work and append its non-null results to the checkpoint table; returns the table.
 
     ``infer`` maps work rows to rows of ``schema``. Rows it leaves out, or whose value is null, stay unfinished and are
     tried again by the next run. Each of the ``slices`` is committed on its own, so a stopped run loses one at most.
-    Answers are read back from the table and never asked for twice.
+    Answers are read back from the table and never asked for twice. With ``shared`` columns, ``infer`` gets ``packed`` rows,
+    and a slice holds whole ones.
     """
     spark = work.sparkSession
     value_columns = [c for c in spark.createDataFrame([], schema).columns if c not in keys]
-    part = F.pmod(F.xxhash64(*keys), F.lit(slices)).cast("int")
+    # Nothing stored: nothing to join the work list with, whose texts would be shuffled for it.
+    left = pending(work, read_checkpoint(spark, checkpoint, schema), keys) if exists(spark, checkpoint) else work
+    left = packed(left, shared) if shared else left
+    part = F.pmod(F.xxhash64(*(shared or keys)), F.lit(slices)).cast("int")
     # The work list is read once; a slice then reads its own folder of what is open.
-    left = stage(pending(work, read_checkpoint(spark, checkpoint, schema), keys).withColumn("_slice", part), ["_slice"])
+    left = stage(left.withColumn("_slice", part), ["_slice"])
     for i in range(slices):
         todo = left.filter(F.col("_slice") == i).drop("_slice")
         results = infer(todo).select(*keys, *value_columns).dropna(subset=value_columns, how="any")
@@ -311,12 +339,21 @@ def generate_rewrites(
     fn: Callable[[Request], str | None],
     checkpoint: str,
     slices: int = 1,
+    calls: int = CALLS,
     **call,
 ) -> DataFrame:
-    """Rewrites ``(post_id, axis, direction, original, rewrite)`` of a work list."""
+    """Rewrites ``(post_id, axis, direction, original, rewrite)`` of a work list.
+
+    A post's text is written and dealt out once for its axes, which become rows again where the calls are made. Only
+    while there are few posts, so that they may not occupy all calls, the axes of a post are dealt out apart.
+    """
+    text = ("post_id", "original")
 
     def infer(todo: DataFrame) -> DataFrame:
-        return rewrite_results(infer_batches(rewrite_prompts(todo, axes, n_axes), fn, key=("post_id", "axis"), **call))
+        many = todo.count() >= POSTS_PER_CALL * calls
+        todo = todo.repartition(calls, F.xxhash64(*text)) if many else todo
+        prompts = rewrite_prompts(todo.select(*text, F.inline("rows")), axes, n_axes)
+        return rewrite_results(infer_batches(prompts, fn, calls, key=("post_id", "axis"), dealt=many, **call))
 
     schema = "post_id string, axis string, direction string, original string, rewrite string"
-    return run_resumable(worklist, infer, checkpoint, ["post_id", "axis"], schema, slices)
+    return run_resumable(worklist, infer, checkpoint, ["post_id", "axis"], schema, slices, text)

@@ -208,7 +208,8 @@ def read_checkpoint(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def append_checkpoint(df: DataFrame, path: str) -> None:
-    df.write.mode("append").parquet(path)
+    """Append rows; Zstandard stores a text that neighbouring rows repeat about once, however long it is."""
+    df.write.mode("append").option("compression", "zstd").parquet(path)
 
 
 def reuse_or_build(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> DataFrame:

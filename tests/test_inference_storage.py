@@ -414,3 +414,37 @@ def test_stream_continues_where_it_stopped(spark, tmp_path):
         st.stream_score(st.stream_table(spark, arrived, tb.VECTOR_SCHEMA), model, out, state).awaitTermination()
     rows = {r.post_id: round(r.score, 4) for r in spark.read.parquet(out).collect()}
     assert rows == {"0": 0.5, "1": 0.7311, "2": 0.8808, "3": 0.9526} and spark.read.parquet(out).count() == 4
+
+
+def test_posts_are_packed_and_dealt_out_once(spark, tmp_path):
+    """Neighbouring axes of a post share its text until the calls are made; the rewrites are those of the long work list."""
+    cfg, schema = load_config(), "post_id string, axis string, score double, direction string, target double, original string"
+    axes = [a["name"] for a in cfg.axes][:3]
+    rows = [(str(i) if i % 9 else None, a, 0.3, "up", 0.7, f"text {i // 2}") for i in range(200) for a in axes]
+    work = spark.createDataFrame(rows, schema).coalesce(1)
+    small = infer.packed(work, ("post_id", "original"))
+    assert small.count() == 200
+    again = small.select("post_id", "original", F.inline("rows")).select(*work.columns)
+    assert sorted(map(str, again.collect())) == sorted(map(str, work.collect()))
+    for calls in (2, 64):  # whole posts are dealt out, or their axes apart
+        path = str(tmp_path / f"rewrites-{calls}")
+        done = infer.generate_rewrites(work, axis_dim(spark, cfg), 7, lambda p: p[-3:], path, slices=2, calls=calls)
+        want = sorted((r[0] or "", r[1], r[5], r[5][-3:].strip()) for r in rows)
+        assert sorted((r.post_id or "", r.axis, r.original, r.rewrite) for r in done.collect()) == want
+
+
+def test_arrivals_are_written_in_parts_of_bounded_size(spark, tmp_path, monkeypatch):
+    """As many files as the posts have splits, still in two arrivals."""
+    from registry import storage
+
+    monkeypatch.setattr(storage, "_fresh", lambda spark, name: str(tmp_path / name))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16384")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1024")
+    try:
+        splits = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").rdd.getNumPartitions()
+        storage.stream_prefilter(spark, "/root/testdata/sf0.001").count()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert splits > 8 and 4 < len(list((tmp_path / "arrived").glob("part-*"))) <= splits
+    assert {p.name for p in (tmp_path / "state" / "commits").glob("[0-9]*")} == {"0", "1"}
