@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 
 from pyspark.sql import functions as F
@@ -295,9 +296,11 @@ where engagement >= 10 and lang = 'en' and length(text) >= 100 and not starts_wi
 def stream_prefilter(spark, sf):
     arrived, out, state = (_fresh(spark, n) for n in ("arrived", "kept", "state"))
     posts = fx.posts(spark, sf).select("post_id", "text", "lang", "engagement")
-    posts.repartition(4, "post_id").write.parquet(arrived)
+    # Two arrivals at every size, in files that a task can write: as many as the posts are read in, four at least.
+    files = max(4, fx.table(spark, sf, "documents").rdd.getNumPartitions())
+    posts.repartition(files, "post_id").write.parquet(arrived)
     schema = "post_id string, text string, lang string, engagement bigint"
-    stream = st.stream_prefilter(st.stream_table(spark, arrived, schema, files_per_batch=2))
+    stream = st.stream_prefilter(st.stream_table(spark, arrived, schema, files_per_batch=math.ceil(files / 2)))
     st.append_available(stream.select("post_id", "lang", "engagement"), out, state).awaitTermination()
     return spark.read.parquet(out)
 
