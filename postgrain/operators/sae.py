@@ -81,24 +81,40 @@ def _gradients(p: dict[str, np.ndarray], x: np.ndarray, l1: float) -> tuple[dict
 
 
 def _train_chunk(x: np.ndarray, state: dict, step: int, epochs: range, cfg: dict, rng: np.random.Generator) -> list[tuple[int, float, float]]:
-    """Adam over shuffled mini-batches, in place on ``state``; decoder rows are made unit length after every step."""
-    w, m, s = state["w"], state["m"], state["s"]
+    """Adam over shuffled mini-batches, in place on ``state``; decoder rows are made unit length after every step.
+
+    A step works on all parameters as one array, of which those in ``state`` become views.
+    """
+    flat = {kind: np.concatenate([params[k].ravel() for k in NAMES]) for kind, params in state.items()}
+    ends = np.cumsum([state["w"][k].size for k in NAMES])
+    for kind, params in state.items():
+        params |= {k: v.reshape(params[k].shape) for k, v in zip(NAMES, np.split(flat[kind], ends[:-1]))}
+    w, m, s = flat["w"], flat["m"], flat["s"]
+    part, root = np.empty_like(w), np.empty_like(w)
     history = []
     for epoch in epochs:
         order = rng.permutation(len(x))
         recon = 0.0
         for start in range(0, len(x), cfg["batch"]):
-            grads, loss = _gradients(w, x[order[start : start + cfg["batch"]]], cfg["l1"])
+            grads, loss = _gradients(state["w"], x[order[start : start + cfg["batch"]]], cfg["l1"])
+            g = np.concatenate([grads[k].ravel() for k in NAMES])
             step += 1
             rate = cfg["lr"] * math.sqrt(1 - BETA2**step) / (1 - BETA1**step)
             eps = ADAM_EPS * math.sqrt(1 - BETA2**step)
-            for k, g in grads.items():
-                m[k] = BETA1 * m[k] + (1 - BETA1) * g
-                s[k] = BETA2 * s[k] + (1 - BETA2) * g * g
-                w[k] = w[k] - rate * m[k] / (np.sqrt(s[k]) + eps)
-            w["W_dec"] = unit_rows(w["W_dec"])
+            m *= BETA1
+            m += np.multiply(g, 1 - BETA1, out=part)
+            s *= BETA2
+            np.multiply(g, 1 - BETA2, out=part)
+            part *= g
+            s += part
+            np.sqrt(s, out=root)
+            root += eps
+            np.multiply(m, rate, out=part)
+            part /= root
+            w -= part
+            state["w"]["W_dec"][:] = unit_rows(state["w"]["W_dec"])
             recon += loss
-        history.append((epoch, recon, _active(x, w)))
+        history.append((epoch, recon, _active(x, state["w"]) if cfg.get("densities", True) else 0.0))
     return history
 
 
@@ -143,6 +159,7 @@ def sae_fit(
     key: str = "pair_id",
     col: str = "diff",
     vectors: DataFrame | None = None,
+    densities: bool = True,
 ) -> tuple[Sae, DataFrame]:
     """Train on unit vectors; returns the weights and the history ``(epoch, recon, density)``.
 
@@ -152,7 +169,8 @@ def sae_fit(
     optimiser moments by row count, and only the averaged model (its size is fixed) comes back to the driver. The result
     depends on the number of workers, never on partitions or cores. A lost task is repeated from the written table with
     the same seed. In the history the last epoch of each round has the density of the averaged model, others that of the
-    workers' own weights; ``recon`` is the loss while training. ``vectors`` from ``sae_vectors`` spare the writing.
+    workers' own weights; ``recon`` is the loss while training. ``vectors`` from ``sae_vectors`` spare the writing;
+    without ``densities``, which need all vectors once more an epoch, those of the history are null.
     """
     spark = diffs.sparkSession
     data = vectors if vectors is not None else sae_vectors(diffs, workers, key, col)
@@ -166,7 +184,7 @@ def sae_fit(
     model = Sae.initial(dim, features, seed)
     zeros = {k: np.zeros_like(v) for k, v in model.params.items()}
     state = {"w": model.params, "m": zeros, "s": zeros}
-    cfg = {"l1": l1, "lr": lr, "batch": batch, "chunk": chunk, "seed": seed}
+    cfg = {"l1": l1, "lr": lr, "batch": batch, "chunk": chunk, "seed": seed, "densities": densities}
     steps_per_epoch = math.ceil(math.ceil(n / len(sizes)) / batch)
     history: dict[int, list[float]] = {}
     try:
@@ -177,11 +195,11 @@ def sae_fit(
             if first:
                 history[first - 1][1] = before
             history |= {epoch: [recon, active] for epoch, recon, active in recorded}
-        if history:
+        if history and densities:
             history[epochs - 1][1] = _round(data, state, 0, range(epochs, epochs), cfg)[2]
     finally:
         data.unpersist()
-    rows = [(epoch, recon, active / (n * features)) for epoch, (recon, active) in sorted(history.items())]
+    rows = [(epoch, recon, active / (n * features) if densities else None) for epoch, (recon, active) in sorted(history.items())]
     return Sae(state["w"]), spark.createDataFrame(rows, "epoch int, recon double, density double")
 
 
@@ -195,7 +213,7 @@ def _round(data: DataFrame, state: dict, step: int, span: range, cfg: dict) -> t
             own = {kind: {k: v.copy() for k, v in params.items()} for kind, params in given.items()}
             recorded, before, n, taken = {}, 0.0, 0, step
             for k, (_, x) in enumerate(pieces):
-                before, n = before + _active(x, given["w"]), n + len(x)
+                before, n = before + (_active(x, given["w"]) if cfg.get("densities", True) else 0.0), n + len(x)
                 rng = np.random.default_rng([cfg["seed"], span.start, worker, k])
                 for epoch, recon, active in _train_chunk(x, own, taken, span, cfg, rng):
                     recorded[epoch] = recorded.get(epoch, 0.0) + np.array([recon, active])
@@ -257,7 +275,7 @@ def l1_sweep(diffs: DataFrame, l1s: Sequence[float], col: str = "diff", key: str
     """Train once per coefficient on vectors written once: ``(l1, features, dead, density)``."""
     found, vectors = None, sae_vectors(diffs, workers, key, col)
     for l1 in l1s:
-        sae, _ = sae_fit(diffs, l1=l1, workers=workers, vectors=vectors, **fit)
+        sae, _ = sae_fit(diffs, l1=l1, workers=workers, vectors=vectors, densities=False, **fit)
         acts = sae_encode(diffs.select(col), sae, col).select(F.posexplode("activations").alias("feature", "value"))
         density = acts.groupBy("feature").agg(F.avg((F.col("value") > 0).cast("double")).alias("density"))
         row = density.agg(

@@ -206,6 +206,22 @@ def test_sae_workers_do_not_follow_the_rows(spark, monkeypatch):
     assert set(seen) == {ae.WORKERS}
 
 
+def test_weights_without_densities(spark, directions, monkeypatch):
+    """The same weights to the last bit when the history leaves out its densities, as a sweep does."""
+    _, df, _ = directions
+    passes, active = [], ae._active
+    monkeypatch.setattr(ae, "_active", lambda *a: passes.append(1) or active(*a))
+    fits = [ae.sae_fit(df, features=4, epochs=4, local_epochs=2, workers=2, densities=d) for d in (True, False)]
+    (one, full), (two, bare) = fits
+    assert all((one.params[k] == two.params[k]).all() for k in ae.NAMES)
+    assert full.select("recon").collect() == bare.select("recon").collect()
+    assert full.filter("density is null").isEmpty() and bare.filter("density is not null").isEmpty()
+    rng = np.random.default_rng(0)
+    state = {kind: {k: rng.random((1 if k[0] == "b" else 3, 3)) for k in ae.NAMES} for kind in "wms"}
+    ae._train_chunk(rng.random((20, 3)), state, 0, range(2), {"batch": 8, "l1": 0.1, "lr": 0.01, "densities": False}, rng)
+    assert not passes
+
+
 def test_probe_and_sweep(spark, directions):
     _, df, axes = directions
     probe = ae.axis_probe(df, axes).first()
