@@ -14,7 +14,10 @@ from pyspark.sql import functions as F
 from postgrain.functions.text import words
 from postgrain.functions.vectors import matrix_list
 from postgrain.operators.topn import topn
-from postgrain.session import spread, stage
+from postgrain.session import BROADCAST_ROWS, spread, stage
+
+BUCKETS = 1 << 22  # hash buckets of terms, a table of fixed size
+WIDE = 32  # buckets whose terms are counted first, for each term of the vocabulary
 
 
 def english_stop_words() -> list[str]:
@@ -49,6 +52,11 @@ def ngram_counts(
     term. Stop words go before terms are formed. ``max_features`` keeps the most frequent terms (alphabetical on ties).
     Terms are formed inside one post. Counts are combined before the shuffle, so a topic with a third of all posts
     sends no more rows than its vocabulary per map task.
+
+    With few ``max_features``, most of the many rare terms are never counted as text: a first pass counts ``BUCKETS``
+    hash buckets, whose load no term in them exceeds, and a second one the terms of the most loaded buckets. Unless the
+    vocabulary is full with terms more frequent than any other bucket's load, more buckets are counted, all in the end;
+    so the result is exact.
     """
     stop = list(english_stop_words() if stop_words is None else stop_words)
     docs = spread(docs.select(group, text))
@@ -58,14 +66,43 @@ def ngram_counts(
     tokenised = docs.select(group, tokens.alias("_tokens"))
     parts = [grams(F.col("_tokens"), m) for m in range(n[0], n[1] + 1)]
     terms = tokenised.select(group, F.explode(F.concat(*parts) if len(parts) > 1 else parts[0]).alias("term"))
-    # The texts are read once; vocabulary and result both come from the stored counts.
-    counts = stage(terms.groupBy(group, "term").agg(F.count(F.lit(1)).alias("tf")))
     groups = docs.agg(F.count_distinct(group)).scalar()
-    totals = counts.groupBy("term").agg(F.count(F.lit(1)).alias("_df"), F.sum("tf").alias("_total"))
-    vocabulary = totals.filter((F.col("_df") >= min_df) & (F.col("_df") <= F.lit(max_df) * groups))
-    if max_features is not None:
-        vocabulary = topn(vocabulary, [], [F.col("_total").desc(), F.col("term")], max_features, value=F.col("_total"))
-    return stage(counts.join(vocabulary.select("term"), "term", "left_semi").select(group, "term", "tf"))
+    bucket = F.pmod(F.xxhash64("term"), F.lit(BUCKETS))
+    loads, wide = None, None if max_features is None else max_features * WIDE
+    if wide is not None and wide < BUCKETS:
+        buckets = terms.select(bucket.alias("_bucket")).groupBy("_bucket").agg(F.count(F.lit(1)).alias("_load"))
+        loads = stage(buckets.withColumn("_load", _octave(F.col("_load"))))
+        sizes = loads.groupBy("_load").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("_load")).collect()  # some 300 rows
+    while True:
+        # The load from which the most loaded buckets, ``wide`` or a few more, are counted; None for all.
+        least, seen = None, 0
+        for row in sizes if loads is not None else []:
+            seen += row.n
+            if seen >= wide:
+                least = row["_load"] if seen <= BROADCAST_ROWS else None
+                break
+        some = terms
+        if least is not None:
+            kept = loads.filter(F.col("_load") >= least).select("_bucket")
+            some = terms.withColumn("_bucket", bucket).join(F.broadcast(kept), "_bucket", "left_semi")
+        # The result comes from the stored counts.
+        counts = stage(some.groupBy(group, "term").agg(F.count(F.lit(1)).alias("tf")))
+        totals = counts.groupBy("term").agg(F.count(F.lit(1)).alias("_df"), F.sum("tf").alias("_total"))
+        vocabulary = totals.filter((F.col("_df") >= min_df) & (F.col("_df") <= F.lit(max_df) * groups))
+        if max_features is not None:
+            vocabulary = topn(vocabulary, [], [F.col("_total").desc(), F.col("term")], max_features, value=F.col("_total"))
+        if least is not None:
+            vocabulary = stage(vocabulary)
+            found = vocabulary.agg(F.count(F.lit(1)).alias("n"), F.min(_octave(F.col("_total"))).alias("last")).first()
+            if found.n < max_features or found.last < least:  # a term of another bucket may belong to them
+                wide *= 8
+                continue
+        return stage(counts.join(vocabulary.select("term"), "term", "left_semi").select(group, "term", "tf"))
+
+
+def _octave(n: Column) -> Column:
+    """An eighth of an octave: a whole number that never falls as ``n`` rises."""
+    return F.floor(F.log2(n) * 8).cast("int")
 
 
 def class_tfidf(counts: DataFrame, group: str = "topic", top: int | None = 10) -> DataFrame:

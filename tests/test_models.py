@@ -436,6 +436,27 @@ def test_terms_small(spark):
     assert {r.topic: r.name for r in info}[0].startswith("0_cat")
 
 
+@pytest.mark.parametrize("buckets, wide", [(64, 1), (1 << 12, 1), (1 << 12, 2)])
+def test_terms_by_loaded_buckets(spark, monkeypatch, buckets, wide):
+    """The same vocabulary whether few buckets, more of them in a later round, or all terms are counted."""
+    rng = np.random.default_rng(3)
+    rows = [(None if k % 50 == 7 else k % 5, " ".join(f"w{int(v)}" for v in rng.zipf(1.4, 40) % 3000)) for k in range(300)]
+    docs = spark.createDataFrame(rows, "topic int, text string")
+    fit = {"min_df": 2, "max_df": 0.8, "stop_words": []}
+    every = tm.ngram_counts(docs, max_features=None, **fit).toPandas()
+    order = every.groupby("term").tf.sum().reset_index().sort_values(["tf", "term"], ascending=[False, True])
+    counted = []
+    real = tm.stage
+    monkeypatch.setattr(tm, "BUCKETS", buckets)
+    monkeypatch.setattr(tm, "WIDE", wide)
+    monkeypatch.setattr(tm, "stage", lambda df: counted.append((tuple(df.columns), staged := real(df))) or staged)
+    got = {(r.topic, r.term): r.tf for r in tm.ngram_counts(docs, max_features=20, **fit).collect()}
+    best = set(order.term[:20])
+    assert got == {(None if np.isnan(t) else int(t), w): n for t, w, n in every.itertuples(index=False) if w in best}
+    terms = [c.select("term").distinct().count() for names, c in counted if names == ("topic", "term", "tf")]
+    assert terms[0] < terms[1] if buckets == 64 else terms[0] < len(order)
+
+
 def test_stop_words_default(spark):
     docs = spark.createDataFrame([(0, "this is about pets")], "topic int, text string")
     terms = {r.term for r in tm.ngram_counts(docs, min_df=1, max_df=1.0).collect()}
