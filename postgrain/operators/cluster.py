@@ -97,9 +97,10 @@ def _parent(cell: Column) -> Column:
     return F.transform(cell, lambda c: F.shiftright(c, 1))
 
 
-def _touching(df: DataFrame, cell: str, out: str, k: int) -> DataFrame:
-    """One row for the cell and each of its 3**k - 1 neighbours, named ``out``."""
-    steps = ", ".join(f"array({', '.join(f'{s}L' for s in o)})" for o in itertools.product((-1, 0, 1), repeat=k))
+def _touching(df: DataFrame, cell: str, out: str, k: int, half: bool = False) -> DataFrame:
+    """One row for the cell and each of its 3**k - 1 neighbours, named ``out``; with ``half`` no neighbour that sorts before it."""
+    chosen = (o for o in itertools.product((-1, 0, 1), repeat=k) if not half or o >= (0,) * k)
+    steps = ", ".join(f"array({', '.join(f'{s}L' for s in o)})" for o in chosen)
     stepped = df.withColumn("_step", F.explode(F.expr(f"array({steps})")))
     return stepped.withColumn(out, F.array(*(F.col(cell)[i] + F.col("_step")[i] for i in range(k)))).drop("_step")
 
@@ -133,14 +134,24 @@ def _sites(points: DataFrame, key: str, col: str) -> DataFrame:
 # -- clustering ----------------------------------------------------------------------------------------------------
 
 
+def dense_cells(sites: DataFrame, eps: float, min_samples: int, k: int) -> DataFrame:
+    """Small cells with ``min_samples`` points in themselves and the touching small cells wholly within ``eps`` of them."""
+    tight = stage(_boxes(sites, eps, _clique_level(k), k))
+    few = _side(_fan_out(tight.filter(F.col("w") < min_samples)), "a")
+    around = _to_boxes(_touching(few, "cell_a", "cell_b", k), _side(tight, "b"), tight.count(), "cell_b")
+    close = _judged(around, eps, k).filter("joined").groupBy("cell_a").agg(F.sum("w_b").alias("close"))
+    close = close.filter(F.col("close") >= min_samples).select(F.col("cell_a").alias("cell"))
+    return stage(tight.filter(F.col("w") >= min_samples).select("cell").unionByName(close))
+
+
 def core_sites(sites: DataFrame, eps: float, min_samples: int, k: int) -> DataFrame:
     """Positions with at least ``min_samples`` points within ``eps``."""
     eps2 = F.lit(eps * eps)
     clique = _clique_level(k)
     cells = sites.withColumn("cell", _cell(F.col("x"), eps, clique))
-    dense = cells.groupBy("cell").agg(F.sum("w").alias("cw")).filter(F.col("cw") >= min_samples).select("cell")
+    dense = dense_cells(sites, eps, min_samples, k)
     sure = cells.join(dense, "cell", "left_semi").select("sid", "x", "w")
-    # Fewer than min_samples points per small cell are left to test, however dense the data is.
+    # Fewer than min_samples points per small cell and its close neighbours are left to test, however dense the data is.
     tested = stage(cells.join(dense, "cell", "left_anti").select("sid", "x", "w"))
 
     boxes = stage(_boxes(sites, eps, 0, k))
@@ -195,7 +206,7 @@ def linked_cells(core: DataFrame, eps: float, k: int) -> DataFrame:
     clique = _clique_level(k)
     small = _cell(F.col("x"), eps, clique)
     tight = stage(_boxes(core, eps, clique, k, name="sid"))
-    touching = _touching(_side(_fan_out(tight), "a"), "cell_a", "cell_b", k).filter("cell_a < cell_b")
+    touching = _touching(_side(_fan_out(tight), "a"), "cell_a", "cell_b", k, half=True).filter("cell_a < cell_b")
     touching = _judged(_to_boxes(touching, _side(tight, "b"), tight.count(), "cell_b"), eps, k).filter("joined")
     links = stage(touching.select(F.col("name_a").alias("a"), F.col("name_b").alias("b")))
     names = tight.select("cell", "name")
@@ -208,7 +219,7 @@ def linked_cells(core: DataFrame, eps: float, k: int) -> DataFrame:
     for level in range(clique + 1):
         boxes = stage(_boxes(rooted, eps, level, k, name="name", root=True).withColumn("parent", _parent(F.col("cell"))))
         if pairs is None:
-            around = _touching(_side(_fan_out(boxes.drop("parent")), "a"), "cell_a", "cell_b", k).filter("cell_a <= cell_b")
+            around = _touching(_side(_fan_out(boxes.drop("parent")), "a"), "cell_a", "cell_b", k, half=True)
             opened = _to_boxes(around, _side(boxes.drop("parent"), "b"), boxes.count(), "cell_b")
         else:
             opened = _opened(pairs, boxes).filter("parent_a != parent_b or cell_a <= cell_b")

@@ -398,6 +398,24 @@ def test_dense_region_opens_no_pairs_of_cells(spark):
     assert roots == {0, 2000}
 
 
+def test_even_density_compares_few_points_with_boxes(spark, monkeypatch):
+    """Two points a small cell: hardly one has enough by itself, nearly all have with the cells around."""
+    x = np.random.default_rng(31).uniform(size=(2000, 2)) * 2
+    df = cl.stage(spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(x)], "sid long, point array<double>"))
+    compared, real = [], cl.stage
+
+    def counting(rows):
+        out = real(rows)
+        compared.append(out.count() if "inside" in rows.columns else 0)
+        return out
+
+    monkeypatch.setattr(cl, "stage", counting)
+    core = {r.sid for r in cl.core_sites(cl._sites(df, "sid", "point"), 0.25, 5, 2).collect()}
+    near = (((x[:, None] - x[None]) ** 2).sum(-1) <= 0.25 * 0.25).sum(1)
+    assert core == set(np.flatnonzero(near >= 5).tolist())
+    assert sum(compared) < len(x)
+
+
 def test_components_of_a_long_path_and_a_hub(spark):
     path = [(i, i + 1) for i in range(100, 160)]
     hub = [(5, i) for i in range(200, 260)]
