@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from postgrain.llm.bitmap import split
 from postgrain.llm.byte_bpe import encode_and_check
 from postgrain.llm.fair_mix import mix, row_key
 from postgrain.llm.group_join import link_rows
@@ -60,8 +61,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
         suspects = stage(counted.filter(~F.col("stays") | F.col("once") & (F.col("n") > 1)).drop("n", "once"))
         key = suspects.select(F.col("doc_id").alias("__id"), F.col("__row").alias("__of"), "stays")
         on = keyed["doc_id"].eqNullSafe(key["__id"]) & keyed["__row"].eqNullSafe(key["__of"])
-        kept = keyed.join(key, on, "left_anti")
-        several = keyed.join(key.filter("stays"), on, "left_semi").dropDuplicates(["doc_id", "__row"])
+        # Texts are shuffled only where a bitmap of fixed size says that their key may be among these.
+        near, clear = split(keyed, ["doc_id", "__row"], suspects, ["doc_id", "__row"])
+        repeated, _ = split(keyed, ["doc_id", "__row"], suspects.filter("stays"), ["doc_id", "__row"])
+        kept = clear.unionByName(near.join(key, on, "left_anti"))
+        several = repeated.join(key.filter("stays"), on, "left_semi").dropDuplicates(["doc_id", "__row"])
         return kept.unionByName(several).drop("__row")
 
     return shielded(docs, work)
@@ -90,7 +94,8 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         taken = stage(taken.filter("__all > 0"))
         own = F.col("__key") == F.col("__of")
         single = keyed.join(taken.filter("__n = 1"), own).withColumn("__copies", F.col("__all"))
-        equal = positions(keyed.join(taken.filter("__n > 1"), own), "__key", [])
+        repeated, _ = split(keyed, ["__key"], taken.filter("__n > 1"), ["__of"])
+        equal = positions(repeated.join(taken.filter("__n > 1"), own), "__key", [])
         more = (F.col("pos") < F.col("__all") % F.col("__n")).cast("long")
         equal = equal.withColumn("__copies", F.floor(F.col("__all") / F.col("__n")) + more).drop("pos", "of")
         both = single.unionByName(equal).filter("__copies > 0")

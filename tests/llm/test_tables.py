@@ -318,6 +318,46 @@ def test_near_duplicates_of_null_and_repeated_ids(spark, documents):
     assert alone.count() == 1 and alone.columns == got.columns
 
 
+def shuffled_bytes(plan) -> int:
+    """Bytes that the shuffles of an executed plan wrote."""
+    name = plan.nodeName()
+    if name == "AdaptiveSparkPlan":
+        return shuffled_bytes(plan.executedPlan())
+    if name.endswith("QueryStage"):
+        return shuffled_bytes(plan.plan())
+    own = plan.metrics().apply("shuffleBytesWritten").value() if name == "Exchange" else 0
+    return own + sum(shuffled_bytes(plan.children().apply(k)) for k in range(plan.children().size()))
+
+
+def test_near_duplicates_shuffles_few_texts(spark, documents):
+    import corpus_pipeline as pipe
+
+    texts = [" ".join(f"{k * 7919 + j:x}" for j in range(200)) for k in range(0, 4000, 10)]
+    rows = [(k, t, "en", "s") for k, t in enumerate(texts)] + [(1000 + k, texts[k], "en", "s") for k in range(5)] + [(9, texts[9], "en", "s")]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as where the rows that go are many
+    try:
+        done = pipe.near_duplicates(spark, documents(rows), "")
+        assert sorted(r.doc_id for r in done.collect()) == list(range(400))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    one = sum(map(len, texts)) // 10
+    assert 0 < shuffled_bytes(done._jdf.queryExecution().executedPlan()) < one
+
+
+def test_split_by_bitmap(spark):
+    from postgrain.llm.bitmap import split
+
+    rows = spark.createDataFrame([(i, None if i % 5 == 0 else f"k{i}") for i in range(3000)] + [(None, "x"), (None, None)], "a long, b string")
+    wanted = rows.filter("a % 7 = 0 or a is null").select(rows["a"].alias("c"), rows["b"].alias("d"))
+    among, others = split(rows, ["a", "b"], wanted, ["c", "d"])
+    among, others = ([tuple(r) for r in df.collect()] for df in (among, others))
+    assert {tuple(r) for r in wanted.collect()} <= set(among) and len(among) < 460
+    assert sorted(among + others, key=repr) == sorted((tuple(r) for r in rows.collect()), key=repr)
+    nothing, everything = split(rows, ["a", "b"], wanted.limit(0), ["c", "d"])
+    assert nothing.count() == 0 and everything.count() == 3002
+
+
 def test_pipeline_by_parts(spark, documents, odd):
     import corpus_pipeline as pipe
     from postgrain.session import stage
