@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
 from postgrain.llm.hashing import pieces
-from postgrain.llm.workers import lean, per_worker
+from postgrain.llm.workers import mapped, per_worker
 
 CACHED_BYTES = 48 << 20  # about, in each half of a worker's cache; a full half becomes the older one
 ENTRY_BYTES = 240  # of a cached pre-token besides its characters and ids
@@ -160,7 +160,7 @@ def encode(docs: DataFrame, path: str, pattern: str, keep: list[str], text: str
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [ids], [*keep, "ids"])
 
     made = docs.select(*keep, F.col(text).alias("__text"))
-    return made.mapInArrow(lean(run), docs.select(*keep).schema.add("ids", ArrayType(IntegerType())))
+    return mapped(made, run, docs.select(*keep).schema.add("ids", ArrayType(IntegerType())), "byte_bpe")
 
 
 def decode(encoded: DataFrame, path: str, pattern: str, keep: list[str]) -> DataFrame:
@@ -173,7 +173,7 @@ def decode(encoded: DataFrame, path: str, pattern: str, keep: list[str]) -> Data
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [out], [*keep, "decoded"])
 
     made = encoded.select(*keep, F.col("ids").alias("__ids"))
-    return made.mapInArrow(lean(run), encoded.select(*keep).schema.add("decoded", "binary"))
+    return mapped(made, run, encoded.select(*keep).schema.add("decoded", "binary"), "byte_bpe")
 
 
 def encode_and_check(docs: DataFrame, path: str, pattern: str, keep: list[str], text: str = "text") -> DataFrame:
@@ -193,7 +193,7 @@ def encode_and_check(docs: DataFrame, path: str, pattern: str, keep: list[str],
             ]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + made, schema.names)
 
-    return docs.select(*keep, F.col(text).alias("__text")).mapInArrow(lean(run), schema)
+    return mapped(docs.select(*keep, F.col(text).alias("__text")), run, schema, "byte_bpe")
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str, keep: list[str], text: str = "text") -> DataFrame:
@@ -215,4 +215,4 @@ def round_trip(docs: DataFrame, path: str, pattern: str, keep: list[str], text:
             made = [pa.array(count, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + made, schema.names)
 
-    return docs.select(*keep, F.col(text).alias("__text")).mapInArrow(lean(run), schema)
+    return mapped(docs.select(*keep, F.col(text).alias("__text")), run, schema, "byte_bpe")

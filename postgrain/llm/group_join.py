@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from postgrain.llm.hashing import shingle_sets, text_digest
-from postgrain.llm.workers import lean
+from postgrain.llm.workers import mapped
 from postgrain.session import stage
 
 REACH = 0.35  # part of a set's smallest hashes that is compared in step 2
@@ -71,7 +71,7 @@ def document_sets(docs: DataFrame, n: int, keep: list[str]) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, [*keep, "n_shingles", "set"])
 
     schema = docs.select(*keep).schema.add("n_shingles", "long").add("set", "binary")
-    return docs.select(*keep, "text").mapInArrow(lean(run), schema)
+    return mapped(docs.select(*keep, "text"), run, schema)
 
 
 def settle(tokens: list[np.ndarray], nodes: list[int], needed: list[int], task: int) -> pa.RecordBatch:
@@ -126,7 +126,7 @@ def surviving_nodes(docs: DataFrame, n: int, percent: int) -> DataFrame:
         if nodes:
             yield settle(tokens, nodes, needed, task)
 
-    rows = docs.select("text").mapInArrow(lean(run), "hash long, node long, info long")
+    rows = mapped(docs.select("text"), run, "hash long, node long, info long")
     same = Window.partitionBy("hash")  # a node once a task, several nodes of a block once a block
     several = (F.min("node").over(same) != F.max("node").over(same)) | (F.count(F.lit(1)).over(same) > F.count("node").over(same))
     answered = rows.withColumn("several", several).filter(F.col("several") & F.col("node").isNotNull() & (F.col("info") >= 0))
@@ -164,7 +164,7 @@ def survivor_sets(docs: DataFrame, chosen: DataFrame, n: int) -> DataFrame:
             columns = [pa.array(node, pa.int64()), pa.array(size, pa.int64()), pa.array(data, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["node", "n", "shingles"])
 
-    made = docs.select(bit.alias("bit"), "text").mapInArrow(lean(run), "node long, n long, shingles binary")
+    made = mapped(docs.select(bit.alias("bit"), "text"), run, "node long, n long, shingles binary")
     kept = made.join(chosen.select("node"), "node", "left_semi")
     return kept.groupBy("node").agg(F.first("n").alias("n"), F.first("shingles").alias("shingles"))
 
@@ -182,7 +182,7 @@ def prefix_lists(sets: DataFrame, percent: int) -> DataFrame:
                 columns = [pa.array(hashes), pa.array(np.full(n, node)), pa.array(np.full(n, n))]
                 yield pa.RecordBatch.from_arrays(columns, ["hash", "node", "n"])
 
-    tokens = sets.mapInArrow(lean(explode), "hash long, node long, n long")
+    tokens = mapped(sets, explode, "hash long, node long, n long")
     often = tokens.groupBy("hash").agg(F.count(F.lit(1)).alias("often")).filter(F.col("often") > 1)
     shared = tokens.join(often, "hash").groupBy("node", "n")
     ordered = shared.agg(F.sort_array(F.collect_list(F.struct("often", "hash"))).alias("common"))  # a node's own shingles
@@ -230,7 +230,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     one = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
     two = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(lean(run), "a long, b long")
+    return mapped(pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y"), run, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:

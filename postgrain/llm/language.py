@@ -23,13 +23,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postgrain.llm.hashing import chunks
-from postgrain.llm.workers import lean, only
+from postgrain.llm.workers import mapped
 from postgrain.session import stage
 
 BUCKETS = 1 << 16
 ORDERS = (2, 3, 4)
 ROWS = BUCKETS * len(ORDERS)
 UNKNOWN = "und"
+SLICE_BYTES = 1 << 17  # of texts that are worked on at once; its n-grams and their weights take some 90 times the room
 MOST_LANGUAGES = 256  # the driver and every task hold the model, which grows with them
 
 
@@ -145,7 +146,7 @@ def fit_languages(docs: DataFrame, key: str = "doc_id", rows_per_language: int =
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column, names = batch.column("text"), batch.column("lang").to_pylist()
-            for row, raw, offsets in chunks(column):
+            for row, raw, offsets in chunks(column, SLICE_BYTES):
                 found, begins = grams(raw, offsets)
                 lang = np.array([place[x] for x in names[row : row + len(offsets) - 1]])
                 rows = np.repeat(lang, np.diff(begins))
@@ -153,7 +154,7 @@ def fit_languages(docs: DataFrame, key: str = "doc_id", rows_per_language: int =
                 yield pa.RecordBatch.from_arrays([pa.array(cell // ROWS), pa.array(cell % ROWS), pa.array(n)], ["lang_at", "bucket", "n"])
 
     counted = sample.coalesce(sample.sparkSession.sparkContext.defaultParallelism)
-    counts = counted.mapInArrow(lean(count), "lang_at long, bucket long, n long").groupBy("lang_at", "bucket").agg(F.sum("n").alias("n"))
+    counts = mapped(counted, count, "lang_at long, bucket long, n long").groupBy("lang_at", "bucket").agg(F.sum("n").alias("n"))
     found = counts.toPandas()  # at most languages x ROWS rows, however long the texts
     table = np.zeros((len(languages), ROWS))
     table[found.lang_at, found.bucket] = found.n
@@ -168,14 +169,14 @@ def fit_languages(docs: DataFrame, key: str = "doc_id", rows_per_language: int =
         right = np.zeros((len(place), codes.shape[1] + 1))
         for batch in batches:
             names = batch.column("lang").to_pylist()
-            for row, raw, offsets in chunks(batch.column("text")):
+            for row, raw, offsets in chunks(batch.column("text"), SLICE_BYTES):
                 lang = np.array([place[x] for x in names[row : row + len(offsets) - 1]])
                 hits = np.column_stack([model.margins(raw, offsets) * codes[lang] > 0, np.ones(len(lang), dtype=bool)])
                 np.add.at(right, lang, hits)
         lang, bit = np.indices(right.shape)
         yield pa.RecordBatch.from_arrays([pa.array(x.ravel()) for x in (lang, bit, right)], ["lang_at", "bit", "n"])
 
-    hits = counted.mapInArrow(lean(judge), "lang_at long, bit long, n double").groupBy("lang_at", "bit").agg(F.sum("n").alias("n")).toPandas()
+    hits = mapped(counted, judge, "lang_at long, bit long, n double").groupBy("lang_at", "bit").agg(F.sum("n").alias("n")).toPandas()
     right = np.zeros((len(languages), codes.shape[1] + 1))
     right[hits.lang_at, hits.bit] = hits.n
     trust = right[:, :-1] / np.maximum(right[:, -1:], 1) + 1e-9
@@ -209,13 +210,12 @@ def predict_languages(docs: DataFrame, model: LanguageModel, keep: list[str], am
     made = docs.select(*sent, *([] if "text" in keep else [F.col("text").alias("read")]), has_letter(F.col("text")).alias("known"))
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        only("language")
         m = LanguageModel(*shared.value)
         for batch in batches:
             column = pc.if_else(batch.column("known"), batch.column(read), pa.scalar(None, batch.column(read).type))
             name, score = np.zeros(len(column), dtype=np.int64), np.ones(len(column))
             if m.codes.size:
-                for row, raw, offsets in chunks(column):
+                for row, raw, offsets in chunks(column, SLICE_BYTES):
                     share = -len(m.languages) * m.losses(m.margins(raw, offsets))
                     share = np.exp(share - share.max(axis=1, keepdims=True))
                     here = slice(row, row + len(share))
@@ -225,5 +225,5 @@ def predict_languages(docs: DataFrame, model: LanguageModel, keep: list[str], am
             columns = [batch.column(i) for i in range(len(keep))] + [names, pa.array(np.where(known, score, 0.0))]
             yield pa.RecordBatch.from_arrays(columns, [*keep, "lang_pred", "score"])
 
-    out = made.mapInArrow(lean(predict), schema)
+    out = mapped(made, predict, schema)
     return out.withColumn("ambiguous", (F.col("lang_pred") != UNKNOWN) & (F.col("score") < ambiguous_below))

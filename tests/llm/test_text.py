@@ -337,6 +337,49 @@ def test_worker_keeps_one_operator():
     assert per_worker(("test_a", 1), lambda: "y") == "y"
 
 
+def test_lean_work_drops_what_other_operators_kept():
+    """A task without values of its own leaves none of other operators beside its own memory; one with them keeps them."""
+    from postgrain.llm.workers import lean, only, per_worker
+
+    per_worker(("test_c", 1), lambda: "x")
+    seen = []
+    list(lean(lambda batches: seen.append(dict(only("test_c"))) or batches, "test_c")(iter([])))
+    assert seen == [{("test_c", 1): "x"}]
+    list(lean(lambda batches: batches)(iter([])))
+    assert per_worker(("test_c", 1), lambda: "y") == "y"
+
+
+def test_made_batches_leave_in_parts():
+    from postgrain.llm.workers import BATCH_BYTES, lean
+
+    text = ["é" * (k * 997 % 40_000) for k in range(200)] + [None, "", "z" * (2 * BATCH_BYTES)]
+    batch = pa.RecordBatch.from_pydict({"id": list(range(203)), "text": text}).slice(1)
+    made = list(lean(lambda batches: batches)(iter([batch, batch.slice(0, 0), batch.slice(0, 3)])))
+    assert pa.Table.from_batches(made).to_pydict() == pa.Table.from_batches([batch, batch.slice(0, 3)]).to_pydict()
+    assert len(made) > 4 and all(b.nbytes < 2 * BATCH_BYTES or b.num_rows <= 50 for b in made)
+
+
+def test_texts_reach_workers_in_batches_by_bytes(spark):
+    """10,000 long texts would be one batch of any size; an executor holds several beside its heap."""
+    from postgrain.llm.workers import BATCH_BYTES, BATCH_SETTING, mapped
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64()), pa.array([batch.nbytes], pa.int64())], ["n", "size"])
+
+    rows = spark.range(0, 400, 1, 1).select(F.repeat(F.lit("word "), 5000).alias("text"))
+    before = spark.conf.get(BATCH_SETTING, None)
+    try:
+        spark.conf.unset(BATCH_SETTING)
+        got = mapped(rows, sizes, "n long, size long").collect()
+        assert sum(r.n for r in got) == 400 and max(r.size for r in got) < 1.5 * BATCH_BYTES
+        spark.conf.set(BATCH_SETTING, "1m")
+        assert max(r.size for r in mapped(rows, sizes, "n long, size long").collect()) < 1.5 * 2**20
+        assert spark.conf.get(BATCH_SETTING) == "1m"
+    finally:
+        spark.conf.unset(BATCH_SETTING) if before is None else spark.conf.set(BATCH_SETTING, before)
+
+
 def test_byte_cache_is_bounded(monkeypatch):
     import public_tokenizers
 
