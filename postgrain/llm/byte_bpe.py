@@ -6,16 +6,22 @@ in a constant number of steps, however long the pre-token. A merge leaves entrie
 entries no longer agree with the list and are skipped. A pre-token of n bytes takes O(n log n) time at worst (a bucket is
 a heap, so that equal ranks merge from the left), where rescanning after each merge would take O(n^2).
 
+The new pre-tokens of a slice of texts share one queue, with a part that merges with nothing between them: a bucket is
+found once for all its entries, and a pair is looked up by the ids of its parts. A bucket is left as soon as a merge makes
+a pair of lower rank, so that each pre-token sees its merges in the order that it would see alone.
+
 Nulls and empty texts have no ids. Texts are never cut. Rows are independent of each other; other columns play no part.
 """
 
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+import sys
+from collections.abc import Iterable, Iterator
 from heapq import heappop, heappush
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -28,6 +34,7 @@ from postgrain.llm.workers import mapped, per_worker
 CACHED_BYTES = 48 << 20  # about, in each half of a worker's cache; a full half becomes the older one
 ENTRY_BYTES = 240  # of a cached pre-token besides its characters and ids
 CACHED_LENGTH = 64
+TOGETHER = 1 << 14  # bytes of pre-tokens in one queue, about; a longer one has a queue of its own
 
 
 class ByteBpe:
@@ -41,111 +48,170 @@ class ByteBpe:
         self.split = regex.compile(pattern).findall
         self.shift = max(1, (len(self.bytes).bit_length() + 1) // 2)  # bits of a rank that one bitmap level covers
         self.buckets: list[list[int]] = [[] for _ in self.bytes]
-        self.low = [0] * ((len(self.bytes) >> self.shift) + 1)  # all buckets and bitmaps are empty between pre-tokens
+        self.low = [0] * ((len(self.bytes) >> self.shift) + 1)  # all buckets and bitmaps are empty between queues
         self.bit = [1 << k for k in range(max(1 << self.shift, len(self.low)))]
-        self.pairs = [[ranks.get(bytes((a, b))) for b in range(256)] for a in range(256)]
-        self.cache: dict[str, tuple[int, ...]] = {}
-        self.older: dict[str, tuple[int, ...]] = {}
+        self.pair_up()
+        self.cache: dict[str, bytes] = {}  # ids as 32-bit integers
+        self.older: dict[str, bytes] = {}
         self.room = CACHED_BYTES
 
+    def pair_up(self) -> None:
+        """The rank of every pair of parts: ``after[a][b]`` and ``ahead[b][a]``. Parts are ids; a byte that is no piece of the
+        vocabulary has one beyond its ids, and the last stands for the part between pre-tokens."""
+        part = self.ranks | {x: len(self.bytes) + x[0] for x in map(bytes, zip(range(256))) if x not in self.ranks}
+        self.stop = len(self.bytes) + 256
+        none: dict[int, int] = {}
+        self.after, self.ahead = [none] * (self.stop + 1), [none] * (self.stop + 1)
+        self.byte_part = np.array([*(part[bytes([k])] for k in range(256)), self.stop], dtype=np.int32)
+        self.byte_pair = np.full((257, 257), -1, dtype=np.int32)
+        for piece, rank in self.ranks.items():
+            for k in range(1, len(piece)):
+                a, b = part.get(piece[:k]), part.get(piece[k:])
+                if a is not None and b is not None:
+                    for table, x, y in ((self.after, a, b), (self.ahead, b, a)):
+                        if table[x] is none:
+                            table[x] = {}
+                        table[x][y] = rank
+            if len(piece) == 2:
+                self.byte_pair[piece[0], piece[1]] = rank
+
     @classmethod
     def load(cls, path: str, pattern: str) -> ByteBpe:
         with open(path, "rb") as f:
             return cls({base64.b64decode(piece): int(rank) for piece, rank in map(bytes.split, f)}, pattern)
 
-    def merge(self, piece: bytes) -> tuple[int, ...]:
-        """Ids of one pre-token."""
-        ranks = self.ranks
-        whole = ranks.get(piece)
-        if whole is not None:
-            return (whole,)
-        n = len(piece)
+    def merge(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of each pre-token, as 32-bit integers."""
+        lengths = np.array([len(x) for x in pieces], dtype=np.int64)
+        stops = np.concatenate(([0], np.cumsum(lengths + 1)))  # a part between pre-tokens, and one at both ends
+        n = int(stops[-1]) + 1
+        raw = np.full(n, 256, dtype=np.int64)
+        inner = np.ones(n, dtype=bool)
+        inner[stops] = False
+        raw[inner] = np.frombuffer(b"".join(pieces), dtype=np.uint8)
+        pair = np.append(self.byte_pair[raw[:-1], raw[1:]], -1)
+        parts: list[int] = self.byte_part[raw].tolist()
         end = list(range(1, n + 1))  # where the part at each position ends; the next part begins there
         before = list(range(-1, n))  # where the previous part begins
-        waiting = [-1] * n  # the rank at which each part would merge with the next; other entries of the queue are stale
-        buckets, low, bit, shift, rank_of = self.buckets, self.low, self.bit, self.shift, ranks.get
+        waiting: list[int] = pair.tolist()  # the rank at which each part would merge with the next; other entries are stale
+        buckets, low, bit, shift = self.buckets, self.low, self.bit, self.shift
         mask, top = (1 << shift) - 1, 0
-        pairs = self.pairs
-        for i, rank in enumerate([pairs[a][b] for a, b in zip(piece, piece[1:])]):
-            if rank is not None:
-                waiting[i] = rank
-                bucket = buckets[rank]
-                if not bucket:
-                    top |= bit[rank >> shift]
-                    low[rank >> shift] |= bit[rank & mask]
-                bucket.append(i)  # positions rise, so that the bucket is a heap
+        at = np.flatnonzero(pair >= 0)
+        at = at[np.argsort(pair[at], kind="stable")]
+        found, first = np.unique(pair[at], return_index=True)
+        at, first = at.tolist(), [*first.tolist(), len(at)]
+        for k, rank in enumerate(found.tolist()):
+            buckets[rank] = at[first[k] : first[k + 1]]  # positions rise, so that the bucket is a heap
+            top |= bit[rank >> shift]
+            low[rank >> shift] |= bit[rank & mask]
         while top:
             word = (top & -top).bit_length() - 1
             bits = low[word]
             rank = word << shift | (bits & -bits).bit_length() - 1
             bucket = buckets[rank]
-            i = heappop(bucket)
-            if not bucket:
-                low[word] = bits = bits & (bits - 1)
-                if not bits:
-                    top &= top - 1
-            if waiting[i] != rank:
-                continue
-            gone = end[i]
-            end[i] = last = end[gone]
-            waiting[gone] = waiting[i] = -1
-            if last < n:
+            after, ahead = self.after[rank].get, self.ahead[rank].get
+            lowest = rank
+            while bucket and lowest == rank:
+                i = heappop(bucket)
+                if waiting[i] != rank:
+                    continue
+                gone = end[i]
+                end[i] = last = end[gone]
                 before[last] = i
-                new = rank_of(piece[i : end[last]])
-                if new is not None:
-                    waiting[i] = new
-                    bucket = buckets[new]
-                    if not bucket:
+                parts[i], parts[gone] = rank, -1
+                waiting[gone] = -1
+                waiting[i] = new = after(parts[last], -1)
+                if new >= 0:
+                    if not buckets[new]:
                         top |= bit[new >> shift]
                         low[new >> shift] |= bit[new & mask]
-                    heappush(bucket, i)
-            left = before[i]
-            if left >= 0:
-                new = rank_of(piece[left:last])
-                if new is None:
-                    waiting[left] = -1
-                else:
-                    waiting[left] = new
-                    bucket = buckets[new]
-                    if not bucket:
+                    heappush(buckets[new], i)
+                    if new < lowest:
+                        lowest = new
+                left = before[i]
+                waiting[left] = new = ahead(parts[left], -1)
+                if new >= 0:
+                    if not buckets[new]:
                         top |= bit[new >> shift]
                         low[new >> shift] |= bit[new & mask]
-                    heappush(bucket, left)
-        out, i = [], 0
-        while i < n:
-            out.append(ranks[piece[i : end[i]]])
-            i = end[i]
-        return tuple(out)
-
-    def pre_token(self, text: str) -> tuple[int, ...]:
-        """Ids of one pre-token that is not in the younger half of the cache."""
-        found = self.older.get(text) or self.merge(text.encode())
-        if len(text) <= CACHED_LENGTH:
-            if self.room <= 0:
-                self.cache, self.older, self.room = {}, self.cache, CACHED_BYTES
-            self.cache[text] = found
-            self.room -= ENTRY_BYTES + len(text) + 8 * len(found)
+                    heappush(buckets[new], left)
+                    if new < lowest:
+                        lowest = new
+            if not bucket:
+                low[word] &= ~bit[rank & mask]
+                if not low[word]:
+                    top &= ~bit[word]
+        ids = np.array(parts, dtype=np.int32)
+        kept = (ids >= 0) & inner
+        ids_before = np.cumsum(kept)[stops]
+        ids = ids[kept]
+        if len(ids) and ids.max() >= len(self.bytes):
+            raise KeyError(f"byte {int(ids.max()) - len(self.bytes)} is not in the vocabulary")
+        ends = (4 * ids_before).tolist()
+        packed = ids.tobytes()
+        return [packed[a:b] for a, b in zip(ends, ends[1:])]
+
+    def find(self, texts: Iterable[str]) -> dict[str, bytes]:
+        """Ids of distinct pre-tokens, which are kept in the cache."""
+        found, new, todo, raws, size = {}, {}, [], [], 0
+        cached, older, rank_of = self.cache.get, self.older.get, self.ranks.get
+        for text in texts:
+            if ids := cached(text):
+                found[text] = ids
+            elif ids := older(text):
+                new[text] = ids
+            elif (whole := rank_of(raw := text.encode())) is not None:
+                new[text] = whole.to_bytes(4, sys.byteorder)
+            else:
+                todo.append(text)
+                raws.append(raw)
+                size += len(raw)
+                if size >= TOGETHER:
+                    new.update(zip(todo, self.merge(raws)))
+                    todo, raws, size = [], [], 0
+        if todo:
+            new.update(zip(todo, self.merge(raws)))
+        self.remember(new)
+        found.update(new)
         return found
 
+    def remember(self, new: dict[str, bytes]) -> None:
+        for text, ids in new.items():
+            if len(text) <= CACHED_LENGTH:
+                if self.room <= 0:
+                    self.cache, self.older, self.room = {}, self.cache, CACHED_BYTES
+                self.cache[text] = ids
+                self.room -= ENTRY_BYTES + len(text) + len(ids)
+
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each text of a slice, as 32-bit integers. Each distinct pre-token of the slice is looked up once."""
+        split = [self.split(text) if text else [] for text in texts]
+        ids_of = self.find(set(chain.from_iterable(split))).__getitem__
+        return [b"".join(map(ids_of, parts)) for parts in split]
+
     def encode(self, text: str | None) -> list[int]:
-        if not text:
-            return []
-        cached, parts = self.cache.get, []
-        for piece in self.split(text):
-            parts.append(cached(piece) or self.pre_token(piece))
-        return list(chain.from_iterable(parts))
+        return unpacked(self.encode_all([text])[0])
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes.__getitem__, ids))
 
 
+def unpacked(ids: bytes) -> list[int]:
+    return memoryview(ids).cast("i").tolist()
+
+
+def id_lists(encoded: list[bytes]) -> pa.ListArray:
+    offsets = np.cumsum([0, *(len(x) // 4 for x in encoded)], dtype=np.int32)
+    return pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(b"".join(encoded), dtype=np.int32)))
+
+
 def loaded(path: str, pattern: str) -> ByteBpe:
     """One vocabulary per Python worker, kept with its cache for the worker's later tasks."""
     return per_worker(("byte_bpe", path, pattern), lambda: ByteBpe.load(path, pattern))
 
 
 def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches by bytes of text, not rows: the ids of a slice, as Python lists, take some ten times the room of its text."""
+    """Batches by bytes of text, not rows: the pre-tokens of a slice, as Python strings, take some ten times the room of its text."""
     for batch in batches:
         yield from pieces(batch, "__text")
 
@@ -156,7 +222,7 @@ def encode(docs: DataFrame, path: str, pattern: str, keep: list[str], text: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(path, pattern)
         for batch in slices(batches):
-            ids = pa.array([bpe.encode(x.as_py()) for x in batch.column("__text")], pa.list_(pa.int32()))
+            ids = id_lists(bpe.encode_all(batch.column("__text").to_pylist()))
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [ids], [*keep, "ids"])
 
     made = docs.select(*keep, F.col(text).alias("__text"))
@@ -185,11 +251,11 @@ def encode_and_check(docs: DataFrame, path: str, pattern: str, keep: list[str],
 
         bpe = loaded(path, pattern)
         for batch in slices(batches):
-            ids = [bpe.encode(x.as_py()) for x in batch.column("__text")]
+            encoded = bpe.encode_all(batch.column("__text").to_pylist())
             made = [
-                pa.array([len(x) for x in ids], pa.int64()),
-                pa.array(ids, pa.list_(pa.int32())),
-                pa.array([sha256(bpe.decode(x)).hexdigest() for x in ids], pa.string()),
+                pa.array([len(x) // 4 for x in encoded], pa.int64()),
+                id_lists(encoded),
+                pa.array([sha256(bpe.decode(unpacked(x))).hexdigest() for x in encoded], pa.string()),
             ]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + made, schema.names)
 
@@ -207,8 +273,8 @@ def round_trip(docs: DataFrame, path: str, pattern: str, keep: list[str], text:
         decimal = [str(k) for k in range(len(bpe.bytes))].__getitem__
         for batch in slices(batches):
             count, ids_sha, text_sha = [], [], []
-            for value in batch.column("__text"):
-                ids = bpe.encode(value.as_py())
+            for encoded in bpe.encode_all(batch.column("__text").to_pylist()):
+                ids = unpacked(encoded)
                 count.append(len(ids))
                 ids_sha.append(sha256(" ".join(map(decimal, ids)).encode()).hexdigest())
                 text_sha.append(sha256(bpe.decode(ids)).hexdigest())

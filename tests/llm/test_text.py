@@ -90,6 +90,51 @@ def test_byte_bpe_merges_lower_rank_later():
     assert bpe.encode("aaaaa") == [258, 258, 97]
 
 
+def brute_merge(ranks, piece):
+    if piece in ranks:
+        return [ranks[piece]]
+    parts = [piece[k : k + 1] for k in range(len(piece))]
+    while pairs := [(ranks[a + b], k) for k, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in ranks]:
+        _, k = min(pairs)
+        parts[k : k + 2] = [parts[k] + parts[k + 1]]
+    return [ranks[x] for x in parts]
+
+
+def test_byte_bpe_merges_pre_tokens_together():
+    """Pre-tokens in one queue get the ids that each gets alone, in vocabularies in which a merge may make a lower rank too."""
+    rng = random.Random(5)
+    for n in range(60):
+        longer = list({bytes(rng.choices(b"abc", k=rng.randint(2, 5))) for _ in range(rng.randint(0, 40))})
+        rng.shuffle(longer)
+        ranks = {x: k for k, x in enumerate(longer + [bytes([k]) for k in range(256)])}
+        pieces = [bytes(rng.choices(b"abcd"[: rng.randint(1, 4)], k=rng.randint(1, 40))) for _ in range(rng.choice([1, 9, 300]))]
+        bpe = byte_bpe.ByteBpe(ranks, r"\S+")
+        want = [brute_merge(ranks, x) for x in pieces]
+        assert [bpe.encode(x.decode()) for x in pieces] == want
+        pieces = [x for x in pieces if x not in ranks]
+        got = [byte_bpe.unpacked(x) for x in byte_bpe.ByteBpe(ranks, r"\S+").merge(pieces)]
+        assert got == [brute_merge(ranks, x) for x in pieces]
+        assert not any(bpe.buckets) and not any(bpe.low)
+    with pytest.raises(KeyError):
+        byte_bpe.ByteBpe({b"ab": 0, b"b": 1}, r"\S+").encode("aba")
+    assert byte_bpe.ByteBpe({b"ab": 0, b"b": 1}, r"\S+").encode("abbab") == [0, 1, 0]
+
+
+def test_byte_bpe_merges_once_a_slice(monkeypatch):
+    """The new pre-tokens of a slice go through few queues, each distinct one once, and a known one through none."""
+    bpe = byte_bpe.ByteBpe.load(RANKS, public_tokenizers.PATTERN)
+    queues, merge = [], bpe.merge
+    monkeypatch.setattr(bpe, "merge", lambda pieces: queues.append(list(pieces)) or merge(pieces))
+    texts = [None, "", *(" ".join(f"zqx{chr(97 + k % 26)}{chr(97 + k // 26)}wv" for k in range(a, a + 600)) for a in range(5)), "x" * 3 * byte_bpe.TOGETHER]
+    got = bpe.encode_all(texts)
+    assert [bpe.decode(byte_bpe.unpacked(x)) for x in got] == [(t or "").encode() for t in texts]
+    merged = [x for q in queues for x in q]
+    assert len(merged) == len(set(merged)) > 600
+    assert len(queues) <= 2 + sum(map(len, merged)) // byte_bpe.TOGETHER
+    queues.clear()
+    assert bpe.encode_all(texts[:-1]) == got[:-1] and queues == []
+
+
 def test_token_counts_and_cache(spark, odd, documents, tmp_path):
     from tokenizers import Tokenizer
 
