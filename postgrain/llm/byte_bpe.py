@@ -7,8 +7,9 @@ entries no longer agree with the list and are skipped. A pre-token of n bytes ta
 a heap, so that equal ranks merge from the left), where rescanning after each merge would take O(n^2).
 
 The new pre-tokens of a slice of texts share one queue, with a part that merges with nothing between them: a bucket is
-found once for all its entries, and a pair is looked up by the ids of its parts. A bucket is left as soon as a merge makes
-a pair of lower rank, so that each pre-token sees its merges in the order that it would see alone.
+found once for all its entries, of which those of a wide one are merged as arrays, and a pair is looked up by the ids of its
+parts. A bucket is left as soon as a merge makes a pair of lower rank, so that each pre-token sees its merges in the order
+that it would see alone.
 
 Nulls and empty texts have no ids. Texts are never cut. Rows are independent of each other; other columns play no part.
 """
@@ -32,9 +33,11 @@ from postgrain.llm.hashing import pieces
 from postgrain.llm.workers import mapped, per_worker
 
 CACHED_BYTES = 48 << 20  # about, in each half of a worker's cache; a full half becomes the older one
-ENTRY_BYTES = 240  # of a cached pre-token besides its characters and ids
+ENTRY_BYTES = 140  # of a cached pre-token besides its characters and ids
 CACHED_LENGTH = 64
-TOGETHER = 1 << 14  # bytes of pre-tokens in one queue, about; a longer one has a queue of its own
+TOGETHER = 1 << 17  # bytes of pre-tokens in one queue, about
+WIDE = 64  # entries of a bucket that are merged as arrays, where all pre-tokens are of at most SHORT bytes
+SHORT = 256
 
 
 class ByteBpe:
@@ -90,10 +93,13 @@ class ByteBpe:
         inner[stops] = False
         raw[inner] = np.frombuffer(b"".join(pieces), dtype=np.uint8)
         pair = np.append(self.byte_pair[raw[:-1], raw[1:]], -1)
-        parts: list[int] = self.byte_part[raw].tolist()
-        end = list(range(1, n + 1))  # where the part at each position ends; the next part begins there
-        before = list(range(-1, n))  # where the previous part begins
-        waiting: list[int] = pair.tolist()  # the rank at which each part would merge with the next; other entries are stale
+        owner = np.cumsum(~inner)
+        all_parts = self.byte_part[raw]
+        all_end = np.arange(1, n + 1)  # where the part at each position ends; the next part begins there
+        all_before = np.arange(-1, n)  # where the previous part begins
+        all_waiting = pair.copy()  # the rank at which each part would merge with the next; other entries are stale
+        parts, end, before, waiting = map(memoryview, (all_parts, all_end, all_before, all_waiting))
+        wide = WIDE if lengths.max(initial=0) <= SHORT else n
         buckets, low, bit, shift = self.buckets, self.low, self.bit, self.shift
         mask, top = (1 << shift) - 1, 0
         at = np.flatnonzero(pair >= 0)
@@ -111,6 +117,29 @@ class ByteBpe:
             bucket = buckets[rank]
             after, ahead = self.after[rank].get, self.ahead[rank].get
             lowest = rank
+            if len(bucket) >= wide:  # the first entry of each pre-token
+                at = np.array(bucket)
+                at = np.sort(at[all_waiting[at] == rank])
+                first = np.diff(owner[at], prepend=0) > 0
+                buckets[rank] = bucket = at[~first].tolist()
+                at = at[first]
+                gone = all_end[at]
+                last = all_end[gone]
+                left = all_before[at]
+                all_end[at], all_before[last] = last, at
+                all_parts[at], all_parts[gone] = rank, -1
+                all_waiting[gone] = -1
+                right_ranks = [after(x, -1) for x in all_parts[last].tolist()]
+                left_ranks = [ahead(x, -1) for x in all_parts[left].tolist()]
+                all_waiting[at], all_waiting[left] = right_ranks, left_ranks
+                for new, i in zip(right_ranks + left_ranks, at.tolist() + left.tolist()):
+                    if new >= 0:
+                        if not buckets[new]:
+                            top |= bit[new >> shift]
+                            low[new >> shift] |= bit[new & mask]
+                        heappush(buckets[new], i)
+                        if new < lowest:
+                            lowest = new
             while bucket and lowest == rank:
                 i = heappop(bucket)
                 if waiting[i] != rank:
@@ -141,10 +170,9 @@ class ByteBpe:
                 low[word] &= ~bit[rank & mask]
                 if not low[word]:
                     top &= ~bit[word]
-        ids = np.array(parts, dtype=np.int32)
-        kept = (ids >= 0) & inner
+        kept = (all_parts >= 0) & inner
         ids_before = np.cumsum(kept)[stops]
-        ids = ids[kept]
+        ids = all_parts[kept]
         if len(ids) and ids.max() >= len(self.bytes):
             raise KeyError(f"byte {int(ids.max()) - len(self.bytes)} is not in the vocabulary")
         ends = (4 * ids_before).tolist()

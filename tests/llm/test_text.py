@@ -100,8 +100,11 @@ def brute_merge(ranks, piece):
     return [ranks[x] for x in parts]
 
 
-def test_byte_bpe_merges_pre_tokens_together():
+@pytest.mark.parametrize("wide, short", [(1, 256), (8, 256), (64, 256), (1, 20), (1 << 30, 256)])
+def test_byte_bpe_merges_pre_tokens_together(monkeypatch, wide, short):
     """Pre-tokens in one queue get the ids that each gets alone, in vocabularies in which a merge may make a lower rank too."""
+    monkeypatch.setattr(byte_bpe, "WIDE", wide)
+    monkeypatch.setattr(byte_bpe, "SHORT", short)
     rng = random.Random(5)
     for n in range(60):
         longer = list({bytes(rng.choices(b"abc", k=rng.randint(2, 5))) for _ in range(rng.randint(0, 40))})
